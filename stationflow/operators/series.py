@@ -40,17 +40,19 @@ def running(
     order: Sequence[str],
     chunk: Column,
     values: Mapping[str, tuple[str, Column]],
+    upto: int = 0,
 ) -> DataFrame:
     """Running aggregates from the start of each series to the current row.
 
     ``chunk`` must not decrease along ``order``. ``values`` maps an output
-    name to (count | sum | min | max, column).
+    name to (count | sum | min | max, column). ``upto=-1`` leaves the current
+    row out.
     """
     by = list(by)
     tagged = df.withColumn("__chunk", chunk)
     inner = (
         Window.partitionBy(*by, "__chunk").orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .rowsBetween(Window.unboundedPreceding, upto)
     )
     local = tagged.select(
         "*", *[_RUNNING[fn][0](col).over(inner).alias(f"__in_{out}") for out, (fn, col) in values.items()]

@@ -79,25 +79,25 @@ def encoder_windows(
 ) -> DataFrame:
     """Encoder/decoder positions: variable encoder length, fixed prediction length.
 
-    A sample that ends at a given row uses the longest encoder that fits
-    between the shortest allowed and ``length``.
+    A sample starts at every position. Its encoder takes ``length`` rows, or
+    what is left near the end of the split, but not less than the shortest
+    length allowed.
     """
     known, unknown = classify_features(features, model_type, target)
     shortest = length if model_type == "nbeats" else max(1, length - horizon)
-    pos = F.col(idx)
-    sized = df.select(by, split, pos.alias("decoder_start"))
-    ends = df.groupBy(by, split).agg((F.max(pos) + 1).alias("__n"))
-    out = sized.join(ends, [by, split])
-    start = F.greatest(F.col("decoder_start") - length, F.lit(0))
-    return out.where(
-        (F.col("decoder_start") + horizon <= F.col("__n"))
-        & (F.col("decoder_start") - start >= shortest)
-    ).select(
-        by, split,
-        start.alias("encoder_start"),
-        (F.col("decoder_start") - start).alias("encoder_length"),
-        "decoder_start",
-        F.lit(horizon).alias("prediction_length"),
+    ends = df.groupBy(by, split).agg((F.max(idx) + 1).alias("__n"))
+    samples = ends.where(F.col("__n") >= shortest + horizon).select(
+        by, split, "__n",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - shortest - horizon)).alias(
+            "encoder_start"
+        ),
+    )
+    encoder = F.least(F.lit(length), F.col("__n") - F.col("encoder_start") - horizon).cast("bigint")
+    return samples.select(
+        by, split, "encoder_start",
+        encoder.alias("encoder_length"),
+        (F.col("encoder_start") + encoder).alias("decoder_start"),
+        F.lit(horizon).cast("bigint").alias("prediction_length"),
         F.lit(",".join(known)).alias("known_reals"),
         F.lit(",".join(unknown)).alias("unknown_reals"),
     )
