@@ -24,9 +24,14 @@ def finite_or_null(col: Column | str) -> Column:
     return F.when(~bad, value)
 
 
+def fixed_text(col: Column | str, digits: int) -> Column:
+    """Text with a fixed number of decimals, decided by the exact binary value."""
+    return F.replace(F.format_number(as_col(col).cast("double"), digits), F.lit(","), F.lit(""))
+
+
 def round_even(col: Column | str, digits: int) -> Column:
-    """Half-even rounding of the printed decimal value."""
-    return F.bround(as_col(col), digits)
+    """Rounding decided by the exact binary value, halves to even."""
+    return fixed_text(col, digits).cast("double")
 
 
 def zero_sum(col: Column | str) -> Column:

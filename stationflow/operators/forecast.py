@@ -45,9 +45,9 @@ def seasonal_naive(rows: DataFrame, season: int = 24, target: str = "temp_ar_c")
     Row ``j`` of the last season serves the hours j+1, j+1+season, ...
     """
     j = F.col("position") - (F.col("sequence_length") - season)
-    hours = F.sequence(j + 1, F.col("horizon").cast("bigint"), F.lit(season).cast("bigint"))
+    hours = F.sequence((j + 1).cast("int"), F.col("horizon").cast("int"), F.lit(season))
     return rows.where((j >= 0) & (j < F.col("horizon"))).select(
-        "request_id", F.explode(hours).cast("int").alias("hour_ahead"),
+        "request_id", F.explode(hours).alias("hour_ahead"),
         F.col(target).cast("double").alias("value"),
     )
 

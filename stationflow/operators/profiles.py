@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
-from ..functions import text as X
+from ..functions import numbers as N, text as X
 from .quantiles import approx_quantiles, exact_quantiles
 
 
@@ -26,7 +26,7 @@ def monthly_profiles(
         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in cols])),
     )
     rounded = [
-        (F.bround(F.col("s")[n], digits) if digits is not None else F.col("s")[n]).alias(n)
+        (N.round_even(F.col("s")[n], digits) if digits is not None else F.col("s")[n]).alias(n)
         for n in stats
     ]
     return long.select(by, "month", "column", *rounded)
@@ -46,7 +46,7 @@ def seasonal_extremes(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    p = [(F.bround(c, digits) if digits is not None else F.col(c)).alias(c) for c in ("p5", "p95")]
+    p = [(N.round_even(c, digits) if digits is not None else F.col(c)).alias(c) for c in ("p5", "p95")]
     return out.select(by, "month", "column", *p)
 
 
@@ -81,7 +81,7 @@ def annual_summary(profiles: DataFrame, meta: DataFrame, by: str = S.KEY, col: s
 
 def _number(col: Column) -> Column:
     """Two decimals without trailing zeros, at least one digit after the point."""
-    return F.regexp_replace(F.format_string("%.2f", col), r"(\.\d)0$", "$1")
+    return F.regexp_replace(N.fixed_text(col, 2), r"(\.\d)0$", "$1")
 
 
 def _or_unknown(col: Column) -> Column:

@@ -33,11 +33,10 @@ def semantic_drift(
 ) -> DataFrame:
     """1 - cosine between the base centroid and each current one, with an alert flag."""
     reference = centroid(base, vec).select("centroid").scalar()
-    drift = F.lit(1.0) - N.cosine_similarity("centroid", reference)
-    value = F.round(drift, digits) if digits is not None else drift
-    return centroid(current, vec, by).select(
-        *by, value.alias("drift"), (value > threshold).alias("alert")
-    )
+    drift = F.lit(1.0) - N.cosine_similarity("centroid", "__ref")
+    value = N.round_even(drift, digits) if digits is not None else drift
+    both = centroid(current, vec, by).withColumn("__ref", reference)
+    return both.select(*by, value.alias("drift"), (value > threshold).alias("alert"))
 
 
 def topk_similar(

@@ -107,10 +107,13 @@ def discover_staging_files(spark: SparkSession, root: str) -> DataFrame:
     """``municipio, path`` of files named like their folder; a missing folder has none."""
     if not _exists(spark, root):
         return spark.createDataFrame([], f"{S.KEY} string, path string")
-    files = list_files(spark, root, "*.csv")
-    parts = F.split("path", "/")
-    folder = F.element_at(parts, -2)
-    return files.where(F.col("name") == F.concat(folder, F.lit(".csv"))).select(
+    return staging_files(list_files(spark, root, "*.csv"))
+
+
+def staging_files(files: DataFrame) -> DataFrame:
+    """Rows of ``path`` whose file is named like its folder."""
+    folder = F.element_at(F.split("path", "/"), -2)
+    return files.where(X.file_name("path") == F.concat(folder, F.lit(".csv"))).select(
         folder.alias(S.KEY), "path"
     )
 
@@ -128,11 +131,20 @@ def read_staging(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFr
 
 
 def expand_archives(spark: SparkSession, root: str) -> DataFrame:
-    """CSV members of every ZIP under a folder: ``archive, name, member, content``.
+    """CSV members of every ZIP under a folder: ``archive, name, member, content``."""
+    files = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.{zip,ZIP}").load(root)
+    )
+    return archive_members(files)
+
+
+def archive_members(files: DataFrame) -> DataFrame:
+    """CSV members of archives given as ``path, content``.
 
     Folders inside an archive are dropped; equal names get ``_1``, ``_2``, ...
-    One task reads one archive at a time and passes its members on one by one.
-    An archive without CSV fails the job.
+    A task passes the members on one by one. An archive without CSV fails the
+    job.
     """
     import io
     import pathlib
@@ -161,10 +173,6 @@ def expand_archives(spark: SparkSession, root: str) -> DataFrame:
                 if not taken:
                     raise ValueError(f"no CSV in archive {path}")
 
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{zip,ZIP}").load(root)
-    )
     return files.select("path", "content").mapInPandas(
         members, "archive string, name string, member string, content binary"
     )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schema as S
+from ..functions import numbers as N
 from ..operators.accuracy import prediction_rows, upsert_accuracy
 from ..operators.profiles import replace_docs
 from ..operators.series import time_chunk
@@ -57,11 +58,12 @@ def profile_documents(profiles: DataFrame, stats: Sequence[str], by: str = S.KEY
     inner = profiles.groupBy(by, "month").agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("column", F.struct(*stats).alias("v"))))).alias("__c")
     )
-    return inner.groupBy(by).agg(
-        F.to_json(
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("month").cast("string"), "__c"))))
-        ).alias("value")
+    months = F.array_sort(
+        F.collect_list(F.struct("month", "__c")),
+        lambda a, b: F.when(a["month"] < b["month"], -1).when(a["month"] > b["month"], 1).otherwise(0),
     )
+    named = F.transform(months, lambda m: F.struct(m["month"].cast("string"), m["__c"]))
+    return inner.groupBy(by).agg(F.to_json(F.map_from_entries(named)).alias("value"))
 
 
 def write_profiles(profiles: DataFrame, extremes: DataFrame, meta: DataFrame, root: str, by: str = S.KEY) -> None:
@@ -110,7 +112,7 @@ def write_scores(scores: DataFrame, path: str, stamp: str) -> None:
         F.map_from_entries(F.collect_list(F.struct("metric", "score"))).alias("scores"),
     ).select(F.to_json(F.struct(F.lit(stamp).alias("timestamp"), "n_examples", "scores")).alias("value"))
     payload.write.mode("overwrite").text(f"{path}/results_{stamp}_json")
-    table = scores.select("metric", F.format_string("%.4f", "score").alias("score"))
+    table = scores.select("metric", N.fixed_text("score", 4).alias("score"))
     table.coalesce(1).write.mode("overwrite").option("header", "true").csv(f"{path}/results_{stamp}_csv")
 
 
