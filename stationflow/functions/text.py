@@ -108,14 +108,24 @@ _PII_PATTERNS = {"cpf": CPF_PATTERN, "email": EMAIL_PATTERN, "phone": PHONE_PATT
 
 
 def _verdict(rules: list[tuple[Column, str, str]]) -> Column:
-    """First rule that holds decides; no rule means the text passed."""
-    threat, reason = F.lit(None).cast("string"), F.lit("")
-    for hit, kind, why in reversed(rules):
-        threat = F.when(hit, F.lit(kind)).otherwise(threat)
-        reason = F.when(hit, F.lit(why)).otherwise(reason)
-    return F.struct(
-        threat.isNull().alias("passed"), threat.alias("threat_type"), reason.alias("reason")
+    """First rule that holds decides; no rule means the text passed.
+
+    The number of the rule is worked out once; the fields are looked up by it.
+    """
+    number = F.lit(None).cast("int")
+    for i in range(len(rules), 0, -1):
+        number = F.when(rules[i - 1][0], F.lit(i)).otherwise(number)
+    kinds = F.array(*[F.lit(kind) for _, kind, _ in rules])
+    reasons = F.array(*[F.lit(why) for _, _, why in rules])
+    fields = F.transform(
+        F.array(number),
+        lambda n: F.struct(
+            n.isNull().alias("passed"),
+            F.get(kinds, n - 1).alias("threat_type"),
+            F.coalesce(F.get(reasons, n - 1), F.lit("")).alias("reason"),
+        ),
     )
+    return F.get(fields, F.lit(0))
 
 
 def check_input(col: Column | str) -> Column:

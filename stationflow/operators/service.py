@@ -131,64 +131,79 @@ def ttl_dedupe(
     kinds = dict(df.dtypes)
     key_schema = ", ".join(f"{k} {kinds[k]}" for k in key)
     rows = df.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
-    times = rows.groupBy(*key, "__us").agg(F.min(row_id).alias("__first")).withColumn(
-        "__span", F.floor(F.col("__us") / F.lit(width)).cast("bigint")
+    times = rows.groupBy(*key, "__us").agg(F.min(row_id).alias("__first"))
+    # One row per span; its list holds the distinct instants of ``spans`` lifetimes.
+    cut = times.groupBy(
+        *key, F.floor(F.col("__us") / F.lit(width)).cast("bigint").alias("__span")
+    ).agg(F.sort_array(F.collect_list(F.struct("__us", "__first"))).alias("__rows"))
+    instants = F.col("__rows.__us")
+    never = np.iinfo("int64").min // 2
+
+    def summarise(batches):
+        for pdf in batches:
+            his, outs = [], []
+            for span, t in zip(pdf["__span"], pdf["__t"]):
+                t = np.asarray(t)
+                nxt = np.searchsorted(t, t + ttl_us, side="right")
+                final = t.copy()
+                for i in range(len(t) - 1, -1, -1):
+                    if nxt[i] < len(t):
+                        final[i] = final[nxt[i]]
+                entries = min(int(np.searchsorted(t, span * width + ttl_us, side="right")) + 1, len(t))
+                ends = np.flatnonzero(np.append(np.diff(final[:entries]) != 0, True))
+                his.append(t[ends])
+                outs.append(final[ends])
+            yield pd.DataFrame({**{k: pdf[k] for k in key}, "__span": pdf["__span"], "__hi": his, "__exit": outs})
+
+    def chain(batches):
+        for pdf in batches:
+            entered = []
+            for his, outs in zip(pdf["__his"], pdf["__exits"]):
+                anchor, entry = never, []
+                for hi, out in zip(his, outs):
+                    entry.append(anchor)
+                    pos = int(np.searchsorted(np.asarray(hi), anchor + ttl_us, side="right"))
+                    if pos < len(hi):
+                        anchor = int(out[pos])
+                entered.append(entry)
+            yield pd.DataFrame({**{k: pdf[k] for k in key}, "__spans": pdf["__spans"], "__entries": entered})
+
+    def resolve(batches):
+        for pdf in batches:
+            solved = []
+            for t, anchor in zip(pdf["__t"], pdf["__entry"]):
+                t, i = np.asarray(t), 0
+                anchors = np.empty(len(t), dtype="int64")
+                while i < len(t):
+                    end = int(np.searchsorted(t, anchor + ttl_us, side="right"))
+                    if end > i:
+                        anchors[i:end] = anchor
+                        i = end
+                    else:
+                        anchor = int(t[i])
+                solved.append(anchors)
+            yield pd.DataFrame({**{k: pdf[k] for k in key}, "__rows": pdf["__rows"], "__anchors": solved})
+
+    tables = cut.select(*key, "__span", instants.alias("__t")).mapInPandas(
+        summarise, f"{key_schema}, __span bigint, __hi array<bigint>, __exit array<bigint>"
     )
-    none = np.iinfo("int64").min // 2
-
-    def head(pdf):
-        return {k: pdf[k].iloc[0] for k in key}
-
-    def summarise(pdf):
-        t = np.sort(pdf["__us"].to_numpy())
-        nxt = np.searchsorted(t, t + ttl_us, side="right")
-        final = t.copy()
-        for i in range(len(t) - 1, -1, -1):
-            if nxt[i] < len(t):
-                final[i] = final[nxt[i]]
-        span = int(pdf["__span"].iloc[0])
-        entries = min(int(np.searchsorted(t, span * width + ttl_us, side="right")) + 1, len(t))
-        hi, out = [], []
-        for i in range(entries):
-            if out and out[-1] == final[i]:
-                hi[-1] = int(t[i])
-            else:
-                hi.append(int(t[i]))
-                out.append(int(final[i]))
-        return pd.DataFrame([{**head(pdf), "__span": span, "__hi": hi, "__exit": out}])
-
-    def chain(pdf):
-        pdf = pdf.sort_values("__span")
-        anchor, entry = none, []
-        for hi, out in zip(pdf["__hi"], pdf["__exit"]):
-            entry.append(anchor)
-            pos = int(np.searchsorted(np.asarray(hi), anchor + ttl_us, side="right"))
-            if pos < len(hi):
-                anchor = int(out[pos])
-        return pd.DataFrame({**{k: pdf[k] for k in key}, "__span": pdf["__span"], "__entry": entry})
-
-    def resolve(pdf):
-        pdf = pdf.sort_values("__us")
-        t, anchor = pdf["__us"].to_numpy(), int(pdf["__entry"].iloc[0])
-        anchors, i = np.empty(len(t), dtype="int64"), 0
-        while i < len(t):
-            end = int(np.searchsorted(t, anchor + ttl_us, side="right"))
-            if end > i:
-                anchors[i:end] = anchor
-                i = end
-            else:
-                anchor = int(t[i])
-        return pd.DataFrame(
-            {**{k: pdf[k] for k in key}, "__us": t, "__first": pdf["__first"], "__anchor": anchors}
+    ordered = F.sort_array(F.collect_list(F.struct("__span", "__hi", "__exit")))
+    entries = (
+        tables.groupBy(*key).agg(ordered.alias("__all"))
+        .select(
+            *key, F.col("__all.__span").alias("__spans"), F.col("__all.__hi").alias("__his"),
+            F.col("__all.__exit").alias("__exits"),
         )
-
-    span_key = [*key, "__span"]
-    tables = times.select(*span_key, "__us").groupBy(*span_key).applyInPandas(
-        summarise, f"{key_schema}, __span bigint, __hi array<bigint>, __exit array<bigint>"
+        .mapInPandas(chain, f"{key_schema}, __spans array<bigint>, __entries array<bigint>")
+        .select(*key, F.inline(F.arrays_zip("__spans", "__entries")).alias("__span", "__entry"))
     )
-    entries = tables.groupBy(*key).applyInPandas(chain, f"{key_schema}, __span bigint, __entry bigint")
-    solved = times.join(entries, span_key).groupBy(*span_key).applyInPandas(
-        resolve, f"{key_schema}, __us bigint, __first {kinds[row_id]}, __anchor bigint"
+    row_kind = f"array<struct<__us:bigint,__first:{kinds[row_id]}>>"
+    solved = (
+        cut.join(entries, [*key, "__span"])
+        .select(*key, "__rows", instants.alias("__t"), "__entry")
+        .mapInPandas(resolve, f"{key_schema}, __rows {row_kind}, __anchors array<bigint>")
+        .select(*key, F.inline(F.arrays_zip("__rows", "__anchors")).alias("__r", "__anchor"))
+        .select(*key, "__r.__us", "__r.__first", "__anchor")
     )
     is_hit = ~((F.col("__anchor") == F.col("__us")) & (F.col(row_id) == F.col("__first")))
     return rows.join(solved, [*key, "__us"]).select(

@@ -29,7 +29,7 @@ def feature_summary(spark, sf):
 
 
 @query(f"""WITH {WX} SELECT 'umidade_rel_ar_percent' AS "column", count(*) FILTER (WHERE umidade_rel_ar_percent IS NULL) AS nulls,
-{sr('100.0 * count(*) FILTER (WHERE umidade_rel_ar_percent IS NULL) / count(*) AS percent')} FROM wx""")
+{sr('100.0 * count(*) FILTER (WHERE umidade_rel_ar_percent IS NULL) / count(*) AS percent')} FROM wx HAVING count(*) FILTER (WHERE umidade_rel_ar_percent IS NULL) > 0""")
 def missing_summary(spark, sf):
     return rounded(E.missing_summary(wx(spark, sf)), "percent")
 

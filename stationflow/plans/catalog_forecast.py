@@ -80,7 +80,7 @@ pd AS (SELECT id, CAST(t AS DATE) AS d, v, hour(t) AS hr, CASE WHEN hour(t) < 7
 
 
 def _points(spark, sf):
-    return V.prediction_points(spark, sf).select("id", F.inline("points"))
+    return V.prediction_points(spark, sf).select("id", F.inline_outer("points"))
 
 
 @query(f"""WITH {POINTS} SELECT id, strftime(d, '%Y-%m-%d') AS target_date, period, CASE period WHEN 'madrugada' THEN 'Madrugada (00h–07h)'
