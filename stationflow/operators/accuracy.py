@@ -71,7 +71,8 @@ def pair_errors(
     values = decode_forecast("forecast_json")
     if align == "position":
         w = Window.partitionBy("id", "bucket").orderBy("t", "actual")
-        placed = actuals.withColumn("position", F.row_number().over(w))
+        # by id alone: the window, the join and the error per bucket share this shuffle
+        placed = actuals.repartition(F.col("id")).withColumn("position", F.row_number().over(w))
         joined = placed.join(predictions.select("id", values.alias("__values")), "id")
         hour = F.col("start_h") + F.col("position") - 1
         inside = hour <= F.col("end_h")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schema as S
 from ..functions import numbers as N, times as D
+from .joins import spread_join
 from .scaling import inverse_scaler
-from .series import index_series, stride_sample
 from .windows import last_n_before
 
 
@@ -84,7 +84,6 @@ def batch_forecast(
     scorer: Scorer = seasonal_naive,
     by: str = S.KEY,
     t: str = S.TIME,
-    indexed: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Status per request, and the forecast points of those that can be served.
 
@@ -93,11 +92,11 @@ def batch_forecast(
     """
     resolved = resolve_models(requests, catalogue)
     known = resolved.where(F.col("status") == "ok").drop("status")
-    served, rows = last_n_before(known, series, F.col("sequence_length"), by=by, t=t, indexed=indexed)
+    served, rows = last_n_before(known, series, F.col("sequence_length"), by=by, t=t)
     status = served.select("request_id", "status").unionByName(
         resolved.where(F.col("status") != "ok").select("request_id", "status")
     )
-    info = served.select("request_id", "reference_date", "horizon", "sequence_length", "model_key")
+    info = known.select("request_id", "reference_date", "horizon", "sequence_length", "model_key")
     scored = scorer(rows.join(info.select("request_id", "horizon", "sequence_length"), "request_id"))
     points = scored.join(info.select("request_id", "reference_date", "model_key"), "request_id").select(
         "request_id", "model_key", "hour_ahead",
@@ -171,10 +170,10 @@ def period_report(points: DataFrame, by: Sequence[str], date, period: str) -> Da
 
 def window_stats(
     requests: DataFrame, series: DataFrame, cols: Sequence[str], n: int = 48,
-    by: str = S.KEY, t: str = S.TIME, indexed: bool = False,
+    by: str = S.KEY, t: str = S.TIME,
 ) -> DataFrame:
     """min, max, mean per column over the last ``n`` rows before each request."""
-    status, rows = last_n_before(requests, series, n, by=by, t=t, indexed=indexed)
+    status, rows = last_n_before(requests, series, n, by=by, t=t)
     wide = rows.groupBy("request_id").agg(
         F.count(F.lit(1)).alias("window_rows"),
         *[F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean")).alias(c) for c in cols],
@@ -188,10 +187,10 @@ def window_stats(
 
 def window_sample(
     requests: DataFrame, series: DataFrame, cols: Sequence[str], n: int = 48, max_rows: int = 24,
-    by: str = S.KEY, t: str = S.TIME, digits: int | None = 4, indexed: bool = False,
+    by: str = S.KEY, t: str = S.TIME, digits: int | None = 4,
 ) -> DataFrame:
     """The last ``max_rows`` rows of each request's window."""
-    _, rows = last_n_before(requests, series, n, by=by, t=t, indexed=indexed)
+    _, rows = last_n_before(requests, series, n, by=by, t=t)
     values = [N.round_even(c, digits).alias(c) if digits is not None else F.col(c) for c in cols]
     return rows.where(F.col("position") >= n - max_rows).select("request_id", t, *values)
 
@@ -228,7 +227,7 @@ def stride_rows(df: DataFrame, max_points: int, by: str, pos: str) -> DataFrame:
     """Every k-th row where ``pos`` already counts the rows of a group from 0."""
     ends = df.groupBy(by).agg((F.max(pos) + 1).alias("__n"))
     stride = F.greatest(F.ceil(F.col("__n") / F.lit(max_points)), F.lit(1))
-    return df.join(ends, by).where(F.col(pos) % stride == 0).drop("__n")
+    return spread_join(df, ends, [by], [pos]).where(F.col(pos) % stride == 0).drop("__n")
 
 
 def fit_per_station(
@@ -274,7 +273,7 @@ def fit_per_station(
 
     models = grid.mapInPandas(solve, f"{by} string, penalty double, weights array<double>")
     val = pairs.where(F.col("split") == "val").select(by, F.array(*x).alias("__x"), "__y")
-    scored = val.join(models, by).withColumn("__p", N.dot("__x", "weights"))
+    scored = spread_join(val, models, [by], ["__y", "__x"]).withColumn("__p", N.dot("__x", "weights"))
     diff = F.col("__p") - F.col("__y")
     metrics = scored.groupBy(by, "penalty").agg(
         F.avg(diff * diff).alias("val_loss"),

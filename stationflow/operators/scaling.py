@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schema as S
+from .joins import spread_join
 
 
 def fit_scaler(train: DataFrame, features: Sequence[str], by: str = S.KEY) -> DataFrame:
@@ -20,15 +21,14 @@ def fit_scaler(train: DataFrame, features: Sequence[str], by: str = S.KEY) -> Da
     )
 
 
-def _with_stats(df: DataFrame, stats: DataFrame, by: str) -> DataFrame:
-    # One row per station: Spark broadcasts it when its measured size allows,
-    # and splits a large station through adaptive skew handling otherwise.
-    return df.join(stats, by)
+def _others(df: DataFrame, by: str) -> list[str]:
+    return [n for n, kind in df.dtypes if n != by and not kind.startswith(("map", "array", "struct"))]
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, features: Sequence[str], by: str = S.KEY) -> DataFrame:
+    """(x - mean) / deviation with the statistics of the training rows."""
     scaled = {c: (F.col(c) - F.col(f"{c}__mean")) / F.col(f"{c}__std") for c in features}
-    return _with_stats(df, stats, by).select(*[scaled[c].alias(c) if c in scaled else c for c in df.columns])
+    return spread_join(df, stats, [by], _others(df, by)).select(*[scaled[c].alias(c) if c in scaled else c for c in df.columns])
 
 
 def inverse_scaler(
@@ -36,7 +36,7 @@ def inverse_scaler(
 ) -> DataFrame:
     """Back to original units. ``targets`` maps a column to the feature it was scaled as."""
     real = {c: F.col(c) * F.col(f"{f}__std") + F.col(f"{f}__mean") for c, f in targets.items()}
-    return _with_stats(df, stats, by).select(*[real[c].alias(c) if c in real else c for c in df.columns])
+    return spread_join(df, stats, [by], _others(df, by)).select(*[real[c].alias(c) if c in real else c for c in df.columns])
 
 
 def group_normalizer(
@@ -52,7 +52,7 @@ def group_normalizer(
     value = {"softplus": inverse_softplus, "none": v, "log": F.log(v + eps)}[transform]
     rows = df.withColumn("__v", value)
     stats = rows.groupBy(by).agg(F.avg("__v").alias("center"), (F.stddev_samp("__v") + eps).alias("scale"))
-    return rows.join(stats, by).select(
+    return spread_join(rows, stats, [by], _others(df, by)).select(
         *df.columns, ((F.col("__v") - F.col("center")) / F.col("scale")).alias(f"{target}_norm"),
         "center", "scale",
     )

@@ -107,19 +107,20 @@ def _with_history(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows numbered inside their chunk, and per chunk the ``depth`` rows before it.
 
-    Both sides read the same shuffle of the rows by ``(key, chunk)``.
+    The rows are shuffled once. For the second table each task keeps the last
+    ``depth`` rows per chunk before it sends them.
     """
     tagged = df.withColumn("__chunk", time_chunk(t, hours))
-    inner = Window.partitionBy(by, "__chunk").orderBy(t, *tie)
-    local = tagged.select(
-        "*",
-        F.row_number().over(inner).alias("__rn"),
-        F.count(F.lit(1)).over(Window.partitionBy(by, "__chunk")).alias("__size"),
+    local = tagged.withColumn(
+        "__rn", F.row_number().over(Window.partitionBy(by, "__chunk").orderBy(t, *tie))
     )
+    backwards = Window.partitionBy(by, "__chunk").orderBy(*[F.desc(c) for c in (t, *tie)])
     last = (
-        local.where(F.col("__size") - F.col("__rn") < depth)
+        tagged.select(by, t, *tie, "__chunk", *cols)
+        .withColumn("__back", F.row_number().over(backwards))
+        .where(F.col("__back") <= depth)
         .groupBy(by, "__chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("__rn", *cols))).alias("__tail"))
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("__back")).alias("__pos"), *cols))).alias("__tail"))
     )
     # A chunk holds at least one row, so ``depth`` chunks back are enough.
     before = Window.partitionBy(by).orderBy("__chunk").rowsBetween(-depth, -1)

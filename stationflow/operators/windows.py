@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema as S
-from .series import BLOCK_ROWS, index_series, running, time_chunk
+from .joins import spread_join
+from .series import BLOCK_ROWS, running, time_chunk
 
 
 def make_windows(
@@ -129,6 +130,19 @@ def rows_until(
     return counted.where(F.col("__kind") == 1).select("__req.*", F.col(out).cast("bigint").alias(out))
 
 
+def _chunk_lists(series: DataFrame, by: str, t: str, hours: int) -> DataFrame:
+    """Per station the list of its time spans with their row counts.
+
+    Its length is the age of the series in spans, not its number of rows.
+    """
+    counts = series.groupBy(by, time_chunk(t, hours).alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy(by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return placed.groupBy(by).agg(
+        F.sort_array(F.collect_list(F.struct("chunk", "before", "n"))).alias("__chunks")
+    )
+
+
 def last_n_before(
     requests: DataFrame,
     series: DataFrame,
@@ -137,38 +151,60 @@ def last_n_before(
     ref: str = "reference_date",
     by: str = S.KEY,
     t: str = S.TIME,
-    indexed: bool = False,
+    hours: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Last ``n`` rows at or before each request.
 
-    Returns (requests with status, rows). A request with fewer rows than it
-    needs is ``insufficient_rows`` and gets none. ``indexed`` says the series
-    already has ``time_idx``.
+    Returns (requests with ``status`` and ``rows_until``, rows with
+    ``position`` 0 to n-1). A request with fewer rows than it needs is
+    ``insufficient_rows`` and gets none.
+
+    Row counts per time span tell which spans a request can need. Only their
+    rows are joined, by equality on (station, span); few requests are
+    broadcast and the series is not shuffled at all.
     """
-    need = F.lit(n) if isinstance(n, int) else n
-    status = rows_until(requests.withColumn("__need", need.cast("bigint")), series, ref, by, t).withColumn(
-        "status",
-        F.when((F.col("rows_until") >= F.col("__need")) & (F.col("__need") > 0), "ok")
-        .otherwise("insufficient_rows"),
+    need = (F.lit(n) if isinstance(n, int) else n).cast("bigint")
+    hours = hours or (max(24, n) if isinstance(n, int) else 24 * 21)
+    asked = spread_join(
+        requests.withColumn("__need", need), _chunk_lists(series, by, t, hours), [by], [request_id], "left"
+    ).withColumn("__at", time_chunk(ref, hours))
+    older = F.filter("__chunks", lambda c: c["chunk"] < F.col("__at"))
+    prior = F.coalesce(F.element_at(F.transform(older, lambda c: c["before"] + c["n"]), -1), F.lit(0))
+    asked = asked.withColumn("__prior", F.when(F.size(older) > 0, prior).otherwise(F.lit(0)))
+    known = F.filter("__chunks", lambda c: c["chunk"] <= F.col("__at"))
+    spare = F.filter(known, lambda c: c["before"] <= F.col("__prior") - F.col("__need"))
+    first = F.when(F.size(spare) > 0, F.get(spare, F.size(spare) - 1)).otherwise(F.get(known, F.lit(0)))
+    asked = asked.withColumn("__first", first)
+    spans = F.transform(
+        F.filter(known, lambda c: c["chunk"] >= F.col("__first")["chunk"]), lambda c: c["chunk"]
     )
-    idx = series if indexed else index_series(series, by, t)
-    lo, hi = F.col("rows_until") - F.col("__need"), F.col("rows_until") - 1
-
-    def block(col: Column) -> Column:
-        return F.floor(col / F.lit(BLOCK_ROWS)).cast("bigint")
-
-    spans = status.where(F.col("status") == "ok").select(
-        F.col(request_id), F.col(by), lo.alias("__lo"), hi.alias("__hi"),
-        F.explode(F.sequence(block(lo), block(hi))).alias("__block"),
+    asked = asked.withColumn("__base", F.coalesce(F.col("__first")["before"], F.lit(0))).withColumn(
+        "__spans", spans
+    ).drop("__chunks", "__at", "__prior", "__first")
+    wanted = asked.select(
+        request_id, by, F.col(ref).alias("__ref"), "__need", "__base", F.explode("__spans").alias("__chunk")
     )
+    found = (
+        series.withColumn("__chunk", time_chunk(t, hours)).join(wanted, [by, "__chunk"])
+        .where(F.col(t) <= F.col("__ref")).drop("__chunk", "__ref")
+    )
+    # A request sees its n rows and at most two spans more.
+    group = Window.partitionBy(request_id)
     rows = (
-        idx.withColumn("__block", block(F.col("time_idx")))
-        .join(spans, [by, "__block"])
-        .where(F.col("time_idx").between(F.col("__lo"), F.col("__hi")))
-        .withColumn("position", F.col("time_idx") - F.col("__lo"))
-        .drop("__block", "__lo", "__hi")
+        found.withColumn("__back", F.row_number().over(group.orderBy(F.desc(t))))
+        .withColumn("__seen", F.count(F.lit(1)).over(group))
+        .where((F.col("__base") + F.col("__seen") >= F.col("__need")) & (F.col("__back") <= F.col("__need")))
+        .withColumn("position", F.col("__need") - F.col("__back"))
+        .drop("__back", "__seen", "__base", "__need")
+    )
+    seen = found.groupBy(request_id).agg(F.count(F.lit(1)).alias("__seen"))
+    total = F.col("__base") + F.coalesce(F.col("__seen"), F.lit(0))
+    enough = (total >= F.col("__need")) & (F.col("__need") > 0)
+    status = asked.join(seen, request_id, "left").select(
+        *requests.columns, total.alias("rows_until"),
+        F.when(enough, "ok").otherwise("insufficient_rows").alias("status"),
     )
-    return status.drop("__need"), rows
+    return status, rows
 
 
 def interval_join(
