@@ -88,6 +88,18 @@ EXFILTRATION_PATTERNS = [
     r"(google_api_key|openai_api_key|secret|password|token|credential)\s*(=|:|\s)",
     r"(print|show|reveal|expose|leak|dump|output|repeat|return)\s+.{0,40}(api.?key|secret|password|token|env(ironment)?\s*var)",
 ]
+# Words of which every match of the pattern at the same place above holds one.
+INJECTION_WORDS = [
+    ["ignore", "forget", "disregard", "override"],
+    ["you are now", "act as", "pretend", "from now on you"],
+    ["system", "repeat"],
+]
+EXFILTRATION_WORDS = [
+    ["api_key", "secret", "password", "token", "credential"],
+    ["api", "secret", "password", "token", "env"],
+]
+# Characters other than a-z that equal a letter when case is ignored.
+CASE_TWINS = "ſKİı"
 CPF_PATTERN = r"\b\d{3}\.?\d{3}\.?\d{3}-?\d{2}\b"
 EMAIL_PATTERN = r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b"
 PHONE_PATTERN = r"(?:\+55\s?)?\(?\d{2}\)?\s?\d{4,5}[-\s]?\d{4}\b"
@@ -107,40 +119,63 @@ API_KEY_REASON = "Padrão de API key Google detectado na resposta."
 _PII_PATTERNS = {"cpf": CPF_PATTERN, "email": EMAIL_PATTERN, "phone": PHONE_PATTERN}
 
 
-def _verdict(rules: list[tuple[Column, str, str]]) -> Column:
-    """First rule that holds decides; no rule means the text passed.
+def _once(value: Column, fn) -> Column:
+    """``fn`` of a value that is worked out once per row."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
 
-    The number of the rule is worked out once; the fields are looked up by it.
-    """
-    number = F.lit(None).cast("int")
-    for i in range(len(rules), 0, -1):
-        number = F.when(rules[i - 1][0], F.lit(i)).otherwise(number)
-    kinds = F.array(*[F.lit(kind) for _, kind, _ in rules])
-    reasons = F.array(*[F.lit(why) for _, _, why in rules])
-    fields = F.transform(
-        F.array(number),
+
+def _verdict(number: Column, rules: list[tuple[str, str]]) -> Column:
+    """Struct of the rule with this number; null means the text passed."""
+    kinds = F.array(*[F.lit(kind) for kind, _ in rules])
+    reasons = F.array(*[F.lit(why) for _, why in rules])
+    return _once(
+        number,
         lambda n: F.struct(
             n.isNull().alias("passed"),
             F.get(kinds, n - 1).alias("threat_type"),
             F.coalesce(F.get(reasons, n - 1), F.lit("")).alias("reason"),
         ),
     )
-    return F.get(fields, F.lit(0))
+
+
+def _first_true(hits: list[Column]) -> Column:
+    number = F.lit(None).cast("int")
+    for i in range(len(hits), 0, -1):
+        number = F.when(hits[i - 1], F.lit(i)).otherwise(number)
+    return number
 
 
 def check_input(col: Column | str) -> Column:
-    """Struct (passed, threat_type, reason) for an incoming message."""
+    """Struct (passed, threat_type, reason) for an incoming message.
+
+    A search for plain words comes before each pattern and spares it on most
+    texts; the pattern alone decides.
+    """
     text = as_col(col)
-    rules = [
-        (text.rlike("(?iuU)" + p), "prompt_injection", INJECTION_REASON.format(p[:60]))
-        for p in INJECTION_PATTERNS
-    ]
-    rules += [
-        (text.rlike("(?iuU)" + p), "exfiltration", EXFILTRATION_REASON.format(p[:60]))
-        for p in EXFILTRATION_PATTERNS
-    ]
-    rules += [(text.rlike("(?U)" + p), "pii", PII_REASON) for p in _PII_PATTERNS.values()]
-    return _verdict(rules)
+    patterns = [*INJECTION_PATTERNS, *EXFILTRATION_PATTERNS]
+    words = [*INJECTION_WORDS, *EXFILTRATION_WORDS]
+
+    def number(t: Column) -> Column:
+        low, twins = t["low"], t["twins"]
+        hits = []
+        for pattern, needed in zip(patterns, words):
+            possible = twins
+            for word in needed:
+                possible = possible | low.contains(word)
+            hits.append(possible & t["text"].rlike("(?iuU)" + pattern))
+        hits.append(t["text"].rlike("(?U)" + CPF_PATTERN))
+        hits.append(t["text"].contains("@") & t["text"].rlike("(?U)" + EMAIL_PATTERN))
+        hits.append(t["text"].rlike("(?U)" + PHONE_PATTERN))
+        return _first_true(hits)
+
+    twins = F.lit(False)
+    for ch in CASE_TWINS:
+        twins = twins | text.contains(ch)
+    prepared = F.struct(text.alias("text"), F.lower(text).alias("low"), twins.alias("twins"))
+    rules = [("prompt_injection", INJECTION_REASON.format(p[:60])) for p in INJECTION_PATTERNS]
+    rules += [("exfiltration", EXFILTRATION_REASON.format(p[:60])) for p in EXFILTRATION_PATTERNS]
+    rules += [("pii", PII_REASON)] * 3
+    return _verdict(_once(prepared, number), rules)
 
 
 def detect_pii(col: Column | str) -> Column:
@@ -154,11 +189,10 @@ def detect_pii(col: Column | str) -> Column:
 def check_output(col: Column | str) -> Column:
     """Struct (passed, threat_type, reason) for an answer; flags only."""
     text = as_col(col)
-    rules = [
-        (text.contains(lit), "system_leak", SYSTEM_REASON.format(lit)) for lit in SYSTEM_LITERALS
-    ]
-    rules.append((text.rlike(API_KEY_PATTERN), "api_key_leak", API_KEY_REASON))
-    return _verdict(rules)
+    hits = [text.contains(lit) for lit in SYSTEM_LITERALS] + [text.rlike(API_KEY_PATTERN)]
+    rules = [("system_leak", SYSTEM_REASON.format(lit)) for lit in SYSTEM_LITERALS]
+    rules.append(("api_key_leak", API_KEY_REASON))
+    return _verdict(_first_true(hits), rules)
 
 
 def strip_text(col: Column | str) -> Column:
@@ -169,17 +203,19 @@ def strip_text(col: Column | str) -> Column:
 def validate_message(col: Column | str, max_chars: int = S.MAX_MESSAGE_CHARS) -> Column:
     """Struct (status, threat_type) of a message: empty, too_long, blocked or ok."""
     text = strip_text(col)
-    checked = check_input(text)
-    status = (
-        F.when(text == "", "empty")
-        .when(F.length(text) > max_chars, "too_long")
-        .when(~checked["passed"], "blocked")
-        .otherwise("ok")
-    )
-    return F.struct(
-        status.alias("status"),
-        F.when(status == "blocked", checked["threat_type"]).alias("threat_type"),
-    )
+
+    def verdict(t: Column) -> Column:
+        status = F.when(t == "", "empty").when(F.length(t) > max_chars, "too_long")
+        threat = F.when(status.isNull(), check_input(t)["threat_type"])
+        return _once(
+            F.struct(status.alias("s"), threat.alias("t")),
+            lambda v: F.struct(
+                F.coalesce(v["s"], F.when(v["t"].isNotNull(), "blocked"), F.lit("ok")).alias("status"),
+                v["t"].alias("threat_type"),
+            ),
+        )
+
+    return _once(text, verdict)
 
 
 def split_snippets(col: Column | str, sep: str = "\n\n") -> Column:

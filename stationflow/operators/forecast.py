@@ -24,8 +24,8 @@ def model_catalogue(spark: SparkSession) -> DataFrame:
 
 
 def lookup(df: DataFrame, config: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Left join with a table that is a fixed parameter of the job."""
-    return df.join(F.broadcast(config), list(on), "left")
+    """Left join with a configuration table. Spark knows its size and broadcasts it when small."""
+    return df.join(config, list(on), "left")
 
 
 def resolve_models(requests: DataFrame, catalogue: DataFrame) -> DataFrame:

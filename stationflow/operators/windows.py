@@ -60,10 +60,15 @@ def window_index(
     idx: str = "split_idx",
 ) -> DataFrame:
     """Start positions only, for training jobs that read the rows themselves."""
-    ends = df.groupBy(by, split).agg(F.max(idx).alias("__last"))
-    count = F.col("__last") + 2 - length - horizon
-    return ends.where(count > 0).select(
-        by, split, F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("start_idx")
+    return _starts(df, length + horizon, by, split, idx).select(by, split, "start_idx")
+
+
+def _starts(df: DataFrame, span: int, by: str, split: str, idx: str) -> DataFrame:
+    """Rows that have ``span`` rows of their split from themselves on; ``__n`` is the split's size."""
+    ends = df.groupBy(by, split).agg((F.max(idx) + 1).alias("__n"))
+    rows = df.select(by, split, F.col(idx).alias("start_idx"))
+    return spread_join(rows, ends, [by, split], ["start_idx"]).where(
+        F.col("start_idx") + span <= F.col("__n")
     )
 
 
@@ -86,13 +91,7 @@ def encoder_windows(
     """
     known, unknown = classify_features(features, model_type, target)
     shortest = length if model_type == "nbeats" else max(1, length - horizon)
-    ends = df.groupBy(by, split).agg((F.max(idx) + 1).alias("__n"))
-    samples = ends.where(F.col("__n") >= shortest + horizon).select(
-        by, split, "__n",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__n") - shortest - horizon)).alias(
-            "encoder_start"
-        ),
-    )
+    samples = _starts(df, shortest + horizon, by, split, idx).withColumnRenamed("start_idx", "encoder_start")
     encoder = F.least(F.lit(length), F.col("__n") - F.col("encoder_start") - horizon).cast("bigint")
     return samples.select(
         by, split, "encoder_start",

@@ -15,17 +15,15 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
 
 
 def raw_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str = S.RAW_ENCODING) -> DataFrame:
-    """Lines of raw files: ``path, line, block_start, line_no``.
+    """Lines of raw files: ``path, line``.
 
     The text source keeps the bytes of a line, so they can be decoded here and
-    large files stay splittable. ``line_no`` grows along a file split.
+    large files stay splittable.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(_paths(paths))
     return lines.select(
         F.col("_metadata.file_path").alias("path"),
         F.decode(F.col("value").cast("binary"), encoding).alias("line"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_no"),
     )
 
 
@@ -35,14 +33,16 @@ def read_station_csv(
     columns: Sequence[str] | None = None,
     sep: str = S.RAW_SEP,
     encoding: str = S.RAW_ENCODING,
+    skip: int = 8,
     required: Sequence[str] = (S.RAW_DATE, S.RAW_HOUR),
 ) -> DataFrame:
-    """Raw station rows, all text: ``path`` and the header columns but the last.
+    """Raw station rows, all text: ``path``, ``municipio`` from the file name, the header columns but the last.
 
-    The lines above the header are skipped; the header is the first line of a
-    file that names the date and hour columns. ``columns`` fixes the output;
-    without it the headers of all files are united by name. Columns a file
-    does not have are null.
+    A line is told by its content, as a split of a large file does not know
+    its line numbers: the header names the date and hour columns, a data line
+    starts with a date. A file may hold ``skip`` other lines; more fail the job.
+    ``columns`` fixes the output; without it the headers of all files are
+    united by name. Columns a file does not have are null.
     """
     lines = raw_lines(spark, paths, encoding)
     fields = F.split(F.col("line"), _literal(sep), -1)
@@ -50,31 +50,41 @@ def read_station_csv(
     is_header = F.lit(True)
     for name in required:
         is_header = is_header & F.array_contains(trimmed, name)
-    headers = (
-        lines.where(F.col("block_start") == 0)
-        .withColumn("__h", F.when(is_header, F.struct("line_no", trimmed.alias("names"))))
-        .where(F.col("__h").isNotNull())
-        .groupBy("path")
-        .agg(F.min("__h").alias("__h"))
-        .select(
-            "path", F.col("__h.line_no").alias("__at"),
-            F.slice("__h.names", F.lit(1), F.greatest(F.size("__h.names") - 1, F.lit(0))).alias("__names"),
-        )
+    is_data = F.col("line").rlike(r"^\s*\d{4}[/-]\d{2}[/-]\d{2}\s*" + _literal(sep))
+    other = ~is_data & ~is_header & (F.trim("line") != "")
+    files = lines.groupBy("path").agg(
+        F.min(F.when(is_header & ~is_data, trimmed)).alias("__h"), F.count_if(other).alias("__other")
+    )
+    problem = F.when(F.col("__h").isNull(), F.lit("no header in ")).when(
+        F.col("__other") > skip, F.lit("unreadable lines in ")
     )
+    checked = F.when(
+        problem.isNotNull(), F.raise_error(F.concat(problem, F.col("path"))).cast("array<string>")
+    ).otherwise(F.slice("__h", F.lit(1), F.greatest(F.size("__h") - 1, F.lit(0))))
+    slug = X.parse_station_filename(plain_name(X.file_name("path")))["slug"]
+    headers = files.select("path", checked.alias("__names"), slug.alias(S.KEY))
     if columns is None:
         # Few distinct headers exist: one per file layout, not per file.
-        layouts = headers.select("__names").distinct().limit(1000).collect()
+        layouts = headers.select("__names").distinct().limit(MAX_LAYOUTS + 1).collect()
+        if len(layouts) > MAX_LAYOUTS:
+            raise ValueError("too many different headers; name the columns to read")
         columns = list(dict.fromkeys(n for r in layouts for n in r[0] if n))
     # One row per file; Spark measures it and broadcasts it when small.
-    body = lines.join(headers, "path").where(
-        ((F.col("block_start") > 0) | (F.col("line_no") > F.col("__at"))) & (F.trim("line") != "")
-    )
+    body = lines.where(is_data).join(headers, "path")
 
     def value(name: str) -> Column:
         at = F.array_position("__names", name)
         return F.when(at > 0, F.nullif(F.get(fields, (at - 1).cast("int")), F.lit(""))).alias(name)
 
-    return body.select("path", *[value(c) for c in columns])
+    return body.select("path", S.KEY, *[value(c) for c in columns])
+
+
+MAX_LAYOUTS = 1000
+
+
+def plain_name(name: Column) -> Column:
+    """File name as it is on disk; paths come URL-encoded."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
 def _literal(sep: str) -> str:
@@ -96,7 +106,7 @@ def discover_station_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def station_files(files: DataFrame, name: str = "name") -> DataFrame:
-    parsed = X.parse_station_filename(F.url_decode(F.replace(F.col(name), F.lit("+"), F.lit("%2B"))))
+    parsed = X.parse_station_filename(plain_name(F.col(name)))
     return (
         files.withColumn("__p", parsed).where(F.col("__p").isNotNull())
         .select(F.col("__p.slug").alias(S.KEY), F.col("__p.original").alias("original"), "path")

@@ -14,9 +14,7 @@ from .. import schema as S
 from ..operators import accuracy as A
 from ..operators.cleaning import clean
 from ..operators.service import metric_histogram, quantile_columns
-from ..sources import sinks
-from ..sources.raw import _exists, read_station_csv, station_files
-from ..functions import text as X
+from ..sources.raw import _exists, read_station_csv
 
 
 def _trigger(writer, every: str | None):
@@ -140,10 +138,8 @@ def incremental_raw_ingest(
         paths = [r[0] for r in batch.select("path").distinct().toLocalIterator()]
         if not paths:
             return
-        rows = read_station_csv(spark, paths, columns)
-        files = rows.select("path").distinct().select("path", X.file_name("path").alias("name"))
-        slugs = station_files(files).select("path", S.KEY)
-        cleaned = clean(rows.join(slugs, "path").drop("path"))
+        rows = read_station_csv(spark, paths, columns).where(F.col(S.KEY).isNotNull())
+        cleaned = clean(rows.drop("path"))
         (
             cleaned.withColumn("ano", F.year(S.TIME)).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy(S.KEY, "ano").parquet(out)

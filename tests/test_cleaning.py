@@ -35,8 +35,9 @@ def two_files(tmp_path):
 
 def test_station_file_is_read_and_cleaned(spark, two_files):
     df = raw.read_station_csv(spark, two_files[0])
-    assert df.columns[1:] == HEADER.split(";")[:-1]
+    assert df.columns[2:] == HEADER.split(";")[:-1]
     out = C.clean(df.drop("path")).orderBy("data_hora").collect()
+    assert {r["municipio"] for r in out} == {"dom_pedrito"}
     assert [r["temp_ar_c"] for r in out] == [25.5, 26.3, 25.8]
     assert [r["precipitacao_total_mm"] for r in out] == [0.0, 2.5, None]
     assert out[1]["data_hora"] == dt.datetime(2024, 1, 2, 1)
@@ -65,6 +66,18 @@ def test_large_file_is_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_broken_files_fail(spark, tmp_path):
+    headless = station_file(tmp_path / "a.csv", ["2024/01/01;0000 UTC;1;2;"], header="x;y")
+    with pytest.raises(Exception, match="no header"):
+        raw.read_station_csv(spark, headless, ["Data"]).collect()
+    odd = station_file(tmp_path / "b.csv", ["01.01.2024;0000 UTC;1;2;"])
+    with pytest.raises(Exception, match="unreadable lines"):
+        raw.read_station_csv(spark, odd, ["Data"]).count() or raw.read_station_csv(spark, odd).collect()
+    bad = station_file(tmp_path / "c.csv", ["2024/99/01;0000 UTC;1;2;"])
+    with pytest.raises(Exception):
+        C.clean(raw.read_station_csv(spark, bad).drop("path")).collect()
+
+
 def test_bad_hour_fails(spark):
     df = spark.createDataFrame([("2024/01/01", "99xx UTC")], ["Data", "Hora UTC"])
     with pytest.raises(Exception):
