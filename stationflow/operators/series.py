@@ -102,34 +102,42 @@ def index_series(
     )
 
 
-def _with_history(
-    df: DataFrame, by: str, t: str, tie: Sequence[str], cols: Sequence[str], depth: int, hours: int
-) -> tuple[DataFrame, DataFrame]:
-    """Rows numbered inside their chunk, and per chunk the ``depth`` rows before it.
+def _rows_before_chunks(
+    tagged: DataFrame, by: str, t: str, tie: Sequence[str], cols: Sequence[str], depth: int
+) -> DataFrame:
+    """For each chunk the last ``depth`` rows before it, labelled with that chunk.
 
-    The rows are shuffled once. For the second table each task keeps the last
-    ``depth`` rows per chunk before it sends them.
+    Row counts per chunk tell from which earlier chunks they come, and how
+    many from each. A task keeps the last ``depth`` rows per chunk before it
+    sends them, so little is shuffled.
     """
-    tagged = df.withColumn("__chunk", time_chunk(t, hours))
-    local = tagged.withColumn(
-        "__rn", F.row_number().over(Window.partitionBy(by, "__chunk").orderBy(t, *tie))
+    kept = list(dict.fromkeys([t, *tie, *cols]))
+    order = Window.partitionBy(by).orderBy("__chunk")
+    counts = tagged.groupBy(by, "__chunk").agg(F.count(F.lit(1)).alias("n"))
+    placed = counts.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # A chunk holds at least one row, so ``depth`` chunks back are enough.
+    sources = F.collect_list(F.struct(F.col("__chunk").alias("source"), "upto")).over(order.rowsBetween(-depth, -1))
+    start = F.col("upto") - F.col("n")
+    wanted = placed.select(by, F.col("__chunk").alias("__target"), start.alias("__start"), sources.alias("__src")).select(
+        by, "__target",
+        F.inline(
+            F.transform(
+                F.filter("__src", lambda c: F.col("__start") - c["upto"] < depth),
+                lambda c: F.struct(
+                    c["source"].alias("__chunk"), (depth - F.col("__start") + c["upto"]).alias("__take")
+                ),
+            )
+        ),
     )
     backwards = Window.partitionBy(by, "__chunk").orderBy(*[F.desc(c) for c in (t, *tie)])
     last = (
-        tagged.select(by, t, *tie, "__chunk", *cols)
+        tagged.select(by, "__chunk", *kept)
         .withColumn("__back", F.row_number().over(backwards))
         .where(F.col("__back") <= depth)
-        .groupBy(by, "__chunk")
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("__back")).alias("__pos"), *cols))).alias("__tail"))
     )
-    # A chunk holds at least one row, so ``depth`` chunks back are enough.
-    before = Window.partitionBy(by).orderBy("__chunk").rowsBetween(-depth, -1)
-    tails = F.flatten(F.collect_list("__tail").over(before))
-    carry = last.select(
-        by, "__chunk",
-        F.slice(tails, F.greatest(F.size(tails) - depth + 1, F.lit(1)), depth).alias("__carry"),
+    return last.join(wanted, [by, "__chunk"]).where(F.col("__back") <= F.col("__take")).select(
+        by, F.col("__target").alias("__chunk"), *kept
     )
-    return local, carry
 
 
 def add_lags(
@@ -193,48 +201,29 @@ def add_series_features(
     diffs: Mapping[str, str] | None = None,
     hours: int = CHUNK_HOURS,
 ) -> DataFrame:
-    """Lags, moving averages and differences from one shuffle and one sort."""
+    """Lags, moving averages and differences from one shuffle and one sort.
+
+    Each chunk also receives the few rows before it that its first rows look
+    back at; they are dropped once the windows are computed.
+    """
     lags, means, diffs = dict(lags or {}), dict(means or {}), dict(diffs or {})
-    past = {**lags, **{f"__prev_{c}": (c, 1) for c in set(diffs.values())}}
-    if not past and not means:
+    reach = [k for _, k in lags.values()] + [size - 1 for _, size in means.values()] + [1] * len(diffs)
+    if not reach:
         return df
-    depth = max([k for _, k in past.values()] + [size - 1 for _, size in means.values()] + [1])
-    used = list(dict.fromkeys([c for c, _ in past.values()] + [c for c, _ in means.values()]))
-    local, carry = _with_history(df, by, t, tie, used, depth, hours)
-
-    inner = Window.partitionBy(by, "__chunk").orderBy(t, *tie)
-    in_chunk = [F.lag(c, k).over(inner).alias(f"__lag_{out}") for out, (c, k) in past.items()]
-    for out, (c, size) in means.items():
-        frame = inner.rowsBetween(-(size - 1), 0)
-        in_chunk += [
-            F.sum(c).over(frame).alias(f"__sum_{out}"),
-            F.count(c).over(frame).alias(f"__cnt_{out}"),
-        ]
-    rows = local.select("*", *in_chunk).join(carry, [by, "__chunk"])
-
-    rn, tail = F.col("__rn"), F.col("__carry")
-
-    def lagged(out: str, c: str, k: int) -> Column:
-        carried = F.get(tail, F.size(tail) - 1 + (rn - k))[c]
-        return F.when(rn > k, F.col(f"__lag_{out}")).otherwise(carried)
-
-    def mean(out: str, c: str, size: int) -> Column:
-        missing = F.least(F.greatest(F.lit(size) - rn, F.lit(0)), F.size(tail))
-        older = F.filter(
-            F.transform(F.slice(tail, F.size(tail) - missing + 1, missing), lambda x: x[c]),
-            lambda x: x.isNotNull(),
-        )
-        older_sum = F.aggregate(older, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-        total = older_sum + F.coalesce(F.col(f"__sum_{out}"), F.lit(0.0))
-        full = F.try_divide(F.col(f"__sum_{out}"), F.col(f"__cnt_{out}"))
-        return F.when(rn >= size, full).otherwise(
-            F.try_divide(total, F.size(older) + F.col(f"__cnt_{out}"))
-        )
-
-    computed = {out: lagged(out, c, k) for out, (c, k) in lags.items()}
-    computed.update({out: mean(out, c, size) for out, (c, size) in means.items()})
-    computed.update({out: F.col(c) - lagged(f"__prev_{c}", c, 1) for out, c in diffs.items()})
-    return rows.select(*df.columns, *[col.alias(out) for out, col in computed.items()])
+    used = [c for c, _ in (*lags.values(), *means.values())] + list(diffs.values())
+    tagged = df.withColumn("__chunk", time_chunk(t, hours))
+    earlier = _rows_before_chunks(tagged, by, t, tie, list(dict.fromkeys(used)), max(*reach, 1))
+    rows = tagged.withColumn("__own", F.lit(True)).unionByName(
+        earlier.withColumn("__own", F.lit(False)), allowMissingColumns=True
+    )
+    w = Window.partitionBy(by, "__chunk").orderBy(t, *tie)
+    computed = {out: F.lag(c, k).over(w) for out, (c, k) in lags.items()}
+    computed.update({out: F.avg(c).over(w.rowsBetween(-(size - 1), 0)) for out, (c, size) in means.items()})
+    computed.update({out: F.col(c) - F.lag(c, 1).over(w) for out, c in diffs.items()})
+    return (
+        rows.select(*df.columns, "__own", *[col.alias(out) for out, col in computed.items()])
+        .where("__own").drop("__own")
+    )
 
 
 def select_required(df: DataFrame, cols: Sequence[str]) -> DataFrame:
