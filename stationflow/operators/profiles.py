@@ -37,15 +37,14 @@ def seasonal_extremes(
     approx: bool = False, digits: int | None = None,
 ) -> DataFrame:
     """p5 and p95 per station, month and column; exact unless ``approx``."""
-    quantiles = approx_quantiles if approx else exact_quantiles
-    parts = []
-    for col in [c for c in cols if c in df.columns]:
-        rows = df.select(by, F.month(t).alias("month"), F.col(col).cast("double").alias(col))
-        q = quantiles(rows, [by, "month"], col, {"p5": 0.05, "p95": 0.95})
-        parts.append(q.withColumn("column", F.lit(col)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    cols = [c for c in cols if c in df.columns]
+    probs = {"p5": 0.05, "p95": 0.95}
+    rows = df.select(by, F.month(t).alias("month"), *[F.col(c).cast("double").alias(c) for c in cols])
+    if approx:
+        long = rows.unpivot([by, "month"], cols, "column", "value")
+        out = approx_quantiles(long, [by, "month", "column"], "value", probs)
+    else:
+        out = exact_quantiles(rows, [by, "month"], cols, probs)
     p = [(N.round_even(c, digits) if digits is not None else F.col(c)).alias(c) for c in ("p5", "p95")]
     return out.select(by, "month", "column", *p)
 

@@ -7,32 +7,76 @@ rank are looked at again, as (value, count) pairs.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-RANGES = 1024
+SEGMENTS = 32
+RANGES = 32
+_CUT_AT = [0.0005, *[i / SEGMENTS for i in range(1, SEGMENTS)], 0.9995]
 
 
-def _range_of(df: DataFrame, col: str, ranges: int) -> Column:
-    """Number of the value range; two open ranges take the tails."""
-    cut = df.agg(F.percentile_approx(F.col(col).cast("double"), [0.001, 0.999]).alias("cut")).scalar()
-    lo, hi, v = F.get(cut, F.lit(0)), F.get(cut, F.lit(1)), F.col(col).cast("double")
-    flat = F.when(v < lo, F.lit(0)).when(v > hi, F.lit(2)).otherwise(F.lit(1))
-    return F.coalesce(F.width_bucket(v, lo, hi, F.lit(ranges)), flat.cast("bigint"))
+def _range_of(v: Column, cuts: Sequence[float] | None, ranges: int) -> Column:
+    """Number of the value range, growing with the value.
+
+    Approximate quantiles cut the values into segments of equal weight, so a
+    peak in the data is spread; a segment has ``ranges`` parts of equal width.
+    """
+    cuts = sorted(set(cuts or []))
+
+    def segment(j: int) -> Column:
+        first = F.lit(j * (ranges + 2)).cast("bigint")
+        if j in (0, len(cuts)):
+            return first
+        low, high = cuts[j - 1], cuts[j]
+        width = (high - low) / ranges
+        if width == 0 or width == float("inf"):
+            return first
+        return first + F.floor((v - F.lit(low)) / F.lit(width)).cast("bigint")
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return segment(low)
+        mid = (low + high + 1) // 2
+        return F.when(v < F.lit(cuts[mid - 1]), search(low, mid - 1)).otherwise(search(mid, high))
+
+    return search(0, len(cuts))
+
+
+def _ranged(df: DataFrame, by: Sequence[str], cols: Sequence[str], ranges: int) -> DataFrame:
+    """Long rows ``by..., __col, __v, __range``.
+
+    One pass over the data finds the cuts of all columns: a few numbers each.
+    """
+    cuts = df.agg(
+        *[F.percentile_approx(F.col(c).cast("double"), _CUT_AT).alias(f"__{i}") for i, c in enumerate(cols)]
+    ).first()
+    parts = []
+    for i, c in enumerate(cols):
+        v = F.col(c).cast("double")
+        parts.append(
+            df.where(v.isNotNull()).select(
+                *by, F.lit(c).alias("__col"), v.alias("__v"), _range_of(v, cuts[i], ranges).alias("__range")
+            )
+        )
+    return reduce(DataFrame.unionAll, parts)
 
 
 def values_at_ranks(
-    df: DataFrame, by: Sequence[str], col: str, ranks: Column, ranges: int = RANGES
+    df: DataFrame, by: Sequence[str], cols: Sequence[str] | str, ranks: Column, ranges: int = RANGES,
+    name: str = "column",
 ) -> DataFrame:
-    """Rows ``by..., rank, value, n`` for zero-based ranks.
+    """Rows ``by..., column, n, rank, value`` for zero-based ranks.
 
-    ``ranks`` is an array expression over ``n``, the number of values of the group.
+    ``ranks`` is an array expression over ``n``, the number of values of the
+    group. A single column name leaves the ``column`` field out.
     """
-    by = list(by)
-    rows = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v"))
-    tagged = rows.withColumn("__range", _range_of(rows, "__v", ranges))
+    if isinstance(cols, str):
+        return values_at_ranks(df, by, [cols], ranks, ranges, "__col").drop("__col")
+    tagged = _ranged(df, by, list(cols), ranges).withColumnRenamed("__col", name)
+    by = [*by, name]
     counts = tagged.groupBy(*by, "__range").agg(F.count(F.lit(1)).alias("__c"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    group = Window.partitionBy(*by)
     upto = group.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)
     spans = counts.select(
         *by, "__range",
@@ -65,11 +109,14 @@ def values_at_ranks(
 
 
 def exact_quantiles(
-    df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float], ranges: int = RANGES
+    df: DataFrame, by: Sequence[str], cols: Sequence[str] | str, probs: dict[str, float], ranges: int = RANGES
 ) -> DataFrame:
-    """One column per name in ``probs``, linear interpolation between neighbours."""
-    by = list(by)
+    """One field per name in ``probs``, linear interpolation between neighbours.
+
+    One row per group for a single column name, per group and ``column`` for a list.
+    """
     n = F.col("n")
+    keys = [*by] if isinstance(cols, str) else [*by, "column"]
 
     def position(p: float) -> Column:
         return F.lit(float(p)) * (n - 1)
@@ -77,8 +124,8 @@ def exact_quantiles(
     ranks = F.array(
         *[f(position(p)).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)]
     )
-    found = values_at_ranks(df, by, col, ranks, ranges)
-    merged = found.groupBy(*by).agg(
+    found = values_at_ranks(df, by, cols, ranks, ranges)
+    merged = found.groupBy(*keys).agg(
         F.map_from_entries(F.collect_set(F.struct("rank", "value"))).alias("__at"),
         F.first("n").alias("n"),
     )
@@ -89,7 +136,7 @@ def exact_quantiles(
         high = F.try_element_at("__at", F.ceil(pos).cast("bigint"))
         return low + (high - low) * (pos - F.floor(pos))
 
-    return merged.select(*by, *[interpolated(p).alias(name) for name, p in probs.items()])
+    return merged.select(*keys, *[interpolated(p).alias(name) for name, p in probs.items()])
 
 
 def approx_quantiles(df: DataFrame, by: Sequence[str], col: str, probs: dict[str, float]) -> DataFrame:
