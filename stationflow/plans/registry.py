@@ -25,4 +25,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import catalog_ingest, catalog_series, catalog_analytics, catalog_forecast, catalog_text  # noqa: F401
+    from . import catalog_ingest, catalog_series, catalog_analytics, catalog_forecast, catalog_text, catalog_streaming  # noqa: F401

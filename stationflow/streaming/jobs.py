@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from .. import schema as S
 from ..operators import accuracy as A
@@ -22,7 +23,7 @@ def _trigger(writer, every: str | None):
 
 
 def prediction_ingest(
-    spark: SparkSession, in_dir: str, out: str, schema: str, checkpoint: str,
+    spark: SparkSession, in_dir: str, out: str, schema: str | StructType, checkpoint: str,
     predicted_at: Callable[[], Column], every: str | None = None,
 ) -> StreamingQuery:
     """Forecast files to the prediction log. Ids come with the forecasts, so a batch that is
