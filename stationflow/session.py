@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -32,13 +31,11 @@ def get_session(app: str = "stationflow", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that every executor can reach.
 
-    The root is the folder named by ``spark.checkpoint.dir``. Only a local
-    session (tests) may fall back to a temporary folder of the machine.
+    The root is the folder named by ``spark.checkpoint.dir``; where that is
+    unset, a folder in the warehouse, which a session shares with its
+    executors as well.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="stationflow-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/stationflow-shared"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
