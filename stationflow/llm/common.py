@@ -58,13 +58,13 @@ def gather_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(np.asarray(starts, dtype=np.int64) - before, lengths) + np.arange(int(lengths.sum()))
 
 
-def slices(texts: list, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of a batch that hold about ``most`` characters, one text at least."""
+def slices(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about ``most``, one row at least."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(sizes):
+        size += n
         if size >= most:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from stationflow.session import shared_dir
@@ -20,9 +21,8 @@ from stationflow.session import shared_dir
 from .common import gather_ranges, slices
 
 END_ID = 0
-SLICE_CHARS = 4_000_000
-MEMO_WORDS = 400_000
-MEMO_WORD_CHARS = 48
+SLICE_CHARS = 500_000
+MEMO_WORDS = 200_000
 
 # Characters whose class is the same in Python's patterns and in the tokenizer's: other texts are encoded whole.
 _UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f\\u2010-\\u2027\\u20ac]")
@@ -100,7 +100,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the count of each text."""
         parts, counts = [], np.zeros(len(texts), dtype=np.int64)
-        for lo, hi in slices(texts, SLICE_CHARS):
+        for lo, hi in slices([len(t) for t in texts], SLICE_CHARS):
             run: list[str] = []
             bounds = [0]
             todo = []
@@ -144,11 +144,11 @@ def encoded(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            for lo, hi in slices(texts, SLICE_CHARS):
-                ids, counts = with_end(*encoder.encode(texts[lo:hi]))
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
+            for lo, hi in slices(sizes.tolist(), SLICE_CHARS):
                 part = batch.slice(lo, hi - lo)
+                ids, counts = with_end(*encoder.encode([t or "" for t in part.column(text).to_pylist()]))
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in kept]
                     + [pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))],
@@ -196,18 +196,18 @@ def write_token_table(
         .option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#ids.list.element", "true")
         .parquet(out)
     )
+    sums = docs.sparkSession.read.parquet(out).groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    earlier = F.sum("n").over(W.orderBy("shard")) - F.col("n")  # one row for each file
+    sums.select("shard", earlier.alias("earlier")).write.parquet(f"{out}-shards")
 
 
 def read_token_table(spark: SparkSession, path: str, columns: tuple[str, ...] = ("ids",)) -> DataFrame:
     """``doc_id start n_tokens`` and the asked columns of a token table.
 
     ``start`` counts the ids of all documents before. Only the asked columns
-    are read; the sums of the shards are one row per file.
+    are read. What comes before each file is a small table beside it.
     """
-    rows = spark.read.parquet(path)
-    sums = rows.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    earlier = sums.select("shard", (F.sum("n").over(W.orderBy("shard")) - F.col("n")).alias("earlier"))
-    return rows.join(earlier, "shard").select(
+    return spark.read.parquet(path).join(spark.read.parquet(f"{path}-shards"), "shard").select(
         "doc_id", (F.col("earlier") + F.col("before")).alias("start"), "n_tokens", *columns
     )
 
