@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, tokens
-from .common import table
+from . import decontam, langid, packing, quality, tokens
+from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,12 +25,39 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned without the held-out fold."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.learn(docs, labels.where(~held_out(F.col("doc_id"), 5, 0)))
+    return docs.select(
+        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), quality.score(F.col("text"), model).alias("score")
+    ).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query(decontam.SQL)
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document."""
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
 @query()
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned without the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    fold = held_out(F.col("doc_id"), 4, 2)
+    found = langid.judge(F.col("text"), langid.learn(docs.where(~fold)))
+    return docs.select("doc_id", fold.alias("held_out"), found.alias("f")).select(
+        "doc_id", "held_out", "f.lang_pred", "f.score", "f.rejected"
+    )
+
+
 @query()
 def op9_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids, written in order and read back."""
