@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, packing, quality, tokens
+from . import decontam, langid, packing, quality, secrets, tokens
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,10 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids, written in order and read back."""
     return tokens.token_table(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.by_document(docs, secrets.find(docs))
