@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, packing, quality, secrets, tokens
+from . import decontam, langid, packing, quality, secrets, tokens, topk
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
 
+@query(topk.SQL)
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors of every hundredth vector."""
+    rows = topk.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.search(rows.where("vec_id % 100 = 0"), rows)
+
+
 @query()
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
