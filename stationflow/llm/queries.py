@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontam, langid, packing, quality, secrets, tokens, topk
+from . import chat, decontam, langid, packing, quality, secrets, tokens, topk, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,21 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(rows.where("vec_id % 100 = 0"), rows)
 
 
+@query(warc.SQL)
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back."""
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
+@query(chat.SQL)
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, and one that spells control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return chat.format_conversations(rows.unionByName(more))
+
+
 @query()
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids."""
