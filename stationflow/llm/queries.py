@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, langid, packing, quality, secrets, tokens, topk, warc
+from . import chat, decontam, jaccard, langid, packing, quality, secrets, tokens, topk, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates and number of links of every document."""
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+
+
 @query()
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learned without the held-out fold."""
