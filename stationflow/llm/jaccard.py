@@ -220,7 +220,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall
 
     ``doc_id class_id text_class n_links key``. ``class_id`` is the smallest id
     among all documents connected by similar pairs, ``text_class`` the smallest
-    with the same shingles, ``n_links`` the number of other documents at the
+    with the same shingles (null for texts without words), ``n_links`` the number of other documents at the
     threshold, ``key`` the digest of the text.
 
     Chosen path: in each run a set goes to a bucket for every token that it
@@ -290,6 +290,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall
         "cid", "class_id", F.col("first_id").alias("text_class"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     return features.select("doc_id", "key", "cid").join(known, "cid", "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_class", "doc_id").alias("text_class"),
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "text_class",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "key",
     )
