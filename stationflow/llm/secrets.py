@@ -78,16 +78,17 @@ def battery(tokens: DataFrame) -> DataFrame:
         F.sequence(F.lit(1), F.size("__v") - 1), F.lit(0.0),
         lambda s, i: s + (F.get("__v", i) - mean) * (F.get("__v", i - 1) - mean),
     )
+    # upper, lower or digit; the characters that join words and paths do not count
     kinds = F.translate(
-        "value", "BCDEFGHIJKLMNOPQRSTUVWXYZbcdefghijklmnopqrstuvwxyz123456789/_-",
-        "A" * 25 + "a" * 25 + "0" * 9 + "+" * 3,
+        "value", "BCDEFGHIJKLMNOPQRSTUVWXYZbcdefghijklmnopqrstuvwxyz123456789+/_-", "A" * 25 + "a" * 25 + "0" * 9
     )
-    runs = F.length(F.regexp_replace(kinds, r"(.)\1*", "x"))
-    df = df.withColumns({"__s": squares, "__p": products, "__r": runs})
+    df = df.withColumns({"__s": squares, "__p": products, "__t": kinds})
+    df = df.withColumn("__r", F.length(F.regexp_replace("__t", r"(.)\1*", "x")))
     n, k, x = F.col("__n"), F.col("__k"), F.col("__x")
     chi = k * F.col("__s") / n - n
     uniform = -(chi - (k - 1 + n * x)) / F.sqrt(2 * (k - 1) + 4 * n * x)
-    changes = (F.col("__r") - 1 - (n - 1) * PLAIN_CHANGES) / F.sqrt((n - 1) * PLAIN_CHANGES * (1 - PLAIN_CHANGES))
+    places = F.greatest(F.length("__t") - 1, F.lit(1))
+    changes = (F.col("__r") - 1 - places * PLAIN_CHANGES) / F.sqrt(places * PLAIN_CHANGES * (1 - PLAIN_CHANGES))
     close = -(F.col("__p") / ((n - 1) * spread) - F.col("__c")) * F.sqrt(n - 1)
     score = (uniform + changes + close) / (3 + 6 * TEST_CORRELATION) ** 0.5
     return df.withColumn("p", upper_tail(score)).drop(*[c for c in df.columns if c.startswith("__")])
@@ -198,7 +199,8 @@ def redact(docs: DataFrame, spans: DataFrame, mark: str = "[SECRET]") -> DataFra
     )
     joined = docs.join(listed, F.col("doc_id").eqNullSafe(F.col("__d")) & (text_key(F.col("text")) == F.col("__k")), "left")
     new = F.when(F.col("__s").isNotNull(), cut).otherwise(F.col("text"))
-    columns = {"text": new}
+    out = joined.withColumn("text", new)
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.when(F.col("__s").isNotNull(), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return joined.withColumns(columns).select(*docs.columns)
+        n = F.length("text").cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.col("__s").isNotNull(), n).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -181,8 +181,7 @@ def _resolve(q: np.ndarray, ids: np.ndarray, keys: np.ndarray, cut: np.ndarray,
         kept: list[dict] = [{} for _ in ids]
         # any part >= cutoff / lists, in whole numbers: part >= ceil(cutoff / lists)
         parts = len(_cuts(dim, lists))
-        least = -(-cut.astype(object) // parts)
-        least = np.array([int(x) for x in least], dtype=np.int64)
+        least = np.array([c if c == -(1 << 63) else -(-c // parts) for c in cut.tolist()], dtype=np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
