@@ -137,16 +137,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
             F.least(p, F.size("w") - F.col("m")),
         ),
     )
+    texts = docs.select(F.col("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
     found = (
-        base.dropDuplicates(["doc_id", "key"]).alias("b")
+        texts.alias("b")
         .join(hits.alias("h"), F.col("b.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("b.key") == F.col("h.key")))
-        .select("b.doc_id", "b.key", "m", "w", F.array_distinct(F.flatten(around)).alias("starts"))
+        .select("b.doc_id", "b.key", "m", "at", words(F.col("b.text")).alias("w"))
+        .select("doc_id", "key", "m", "w", F.array_distinct(F.flatten(around)).alias("starts"))
         .select(
             "doc_id", "key", "m",
             F.explode(F.transform(
                 "starts", lambda s: F.struct(s.alias("s"), F.array_join(F.slice("w", (s + 1).cast("int"), F.col("m")), " ").alias("span"))
             )).alias("x"),
-        ).select("doc_id", "key", "m", "x.s", "x.span")
+        ).select("doc_id", "key", "m", "x.s", "x.span").distinct()
     )
     spans = windows.select("m", "span").distinct()
     found = staged(found.join(spans, ["m", "span"], "left_semi"), "found")
