@@ -57,8 +57,11 @@ def learn(labelled: DataFrame, docs: int = DICT_DOCS, dict_bytes: int = DICT_BYT
         F.col("lang").isNotNull() & F.length("text").between(1, DICT_TEXT_CHARS)
     )
     rows = rows.withColumn("h", F.xxhash64(F.monotonically_increasing_id(), "text"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    few = rows.join(counts, "lang").where(F.pmod("h", F.lit(1 << 20)) < F.lit((1 << 20) * 1.5 * docs) / F.col("n") + 1)
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language, as in the result
+    rate = F.lit(0.0)
+    for r in counts:
+        rate = F.when(F.col("lang") == r.lang, (1 << 20) * 1.5 * docs / r.n + 1).otherwise(rate)
+    few = rows.where(F.pmod("h", F.lit(1 << 20)) < rate)
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
     found: dict[str, list[str]] = {}
     for r in few.withColumn("r", rank).where(F.col("r") <= docs).orderBy("lang", "r").select("lang", "text").collect():
