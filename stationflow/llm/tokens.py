@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from stationflow.session import shared_dir
 
-from .common import gather_ranges, slices
+from .common import gather_ranges, slices, small_batches, staged
 
 END_ID = 0
 SLICE_CHARS = 500_000
@@ -234,5 +234,6 @@ def token_table(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Write documents as a token table in the shared folder and read each one's digest back."""
     spark = docs.sparkSession
     out = shared_dir(spark, "tokens")
-    write_token_table(docs, out, path)
-    return ids_crc32(read_token_table(spark, out))
+    with small_batches(spark):
+        write_token_table(docs, out, path)
+        return staged(ids_crc32(read_token_table(spark, out)), "digests")
