@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import staged, text_key
+from .common import small_batches, staged, text_key
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -232,6 +232,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall
     are repeated so often that a pair at the threshold meets with ``target_recall``.
     Pairs stay inside the task that compares them; each counts in one group only.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, threshold, target_recall)
+
+
+def _near_duplicates(docs: DataFrame, threshold: float, target_recall: float) -> DataFrame:
     runs = runs_needed(threshold, target_recall)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")

@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import small_batches, staged
 from .tokens import encoded, tokenizer_path
 
 CAPACITY = 2048
@@ -177,7 +177,8 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     """Tokenize, cut and place whole documents: one row per piece."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ids = encoded(rows, path or tokenizer_path()).select("doc_id", "ids")
-    return place(cut_pieces(ids, capacity), capacity)
+    with small_batches(docs.sparkSession):
+        return place(cut_pieces(ids, capacity), capacity)
 
 
 def fill(pieces: DataFrame, placed: DataFrame) -> DataFrame:
