@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from .. import schema as S
@@ -110,36 +111,69 @@ def first_metric(
     return merged
 
 
-def parse_param(col: Column | str) -> Column:
-    """Struct (kind, int_value, float_value, bool_value, list_value, text_value) of a parameter text."""
-    text = F.trim(as_col(col))
-    is_list = text.rlike(r"^[\[\(].*[\]\)]$")
-    is_int = text.rlike(r"^[+-]?\d+(_\d+)*$")
-    is_float = text.rlike(r"^[+-]?(\d+\.\d*|\.\d+|\d+(\.\d*)?[eE][+-]?\d+)([eE][+-]?\d+)?$")
-    is_bool = F.lower(text).isin("true", "false")
-    is_none = text == "None"
-    quoted = text.rlike(r"^'[^']*'$") | text.rlike(r'^"[^"]*"$')
-    kind = (
-        F.when(is_list, "list").when(is_int, "int").when(is_float, "float")
-        .when(is_bool, "bool").when(is_none, "none").otherwise("text")
-    )
-    inner = F.regexp_replace(text, r"^[\[\(]|[\]\)]$", "")
-    items = F.filter(
-        F.transform(F.split(inner, ","), lambda x: F.regexp_replace(F.trim(x), r"^['\"]|['\"]$", "")),
-        lambda x: x != "",
-    )
-    return F.struct(
-        kind.alias("kind"),
-        F.when(is_int, F.replace(text, F.lit("_"), F.lit("")).try_cast("bigint")).alias("int_value"),
-        F.when(is_float, text.try_cast("double")).alias("float_value"),
-        F.when(is_bool, F.lower(text) == "true").alias("bool_value"),
-        F.when(is_list, items).alias("list_value"),
-        F.when(
-            kind == "text", F.when(quoted, F.substr(text, F.lit(2), F.length(text) - 2)).otherwise(text)
-        ).alias("text_value"),
+_PARAM = (
+    "kind string, int_value bigint, float_value double, bool_value boolean, list_value array<string>, "
+    "text_value string, json_value string"
+)
+
+
+def _param_value(text: str):
+    """The value that a parameter text spells; a text that spells none is itself."""
+    import ast
+
+    text = text.strip()
+    if text.lower() in ("true", "false"):
+        return text.lower() == "true"
+    try:
+        return ast.literal_eval(text)
+    except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+        return text
+
+
+def _param_row(text: str | None) -> tuple:
+    import json
+
+    if text is None:
+        return (None,) * 7
+    value = _param_value(text)
+    if isinstance(value, (set, frozenset)):
+        value = sorted(value, key=repr)
+    if not isinstance(value, (bool, int, float, list, tuple, dict, type(None))):
+        value = str(value)
+    kinds = ((bool, "bool"), (int, "int"), (float, "float"), ((list, tuple), "list"), (dict, "map"), (type(None), "none"), (str, "text"))
+    kind = next(name for types, name in kinds if isinstance(value, types))
+    encode = lambda v: json.dumps(v, ensure_ascii=False, default=str)
+    if kind == "map":
+        value = {str(k): v for k, v in value.items()}
+    return (
+        kind,
+        value if kind == "int" and -(1 << 63) <= value < 1 << 63 else None,
+        value if kind == "float" else None,
+        value if kind == "bool" else None,
+        [x if isinstance(x, str) else encode(x) for x in value] if kind == "list" else None,
+        value if kind == "text" else None,
+        encode(value),
     )
 
 
+def parse_param(col: Column | str) -> Column:
+    """Struct (kind, int_value, float_value, bool_value, list_value, text_value, json_value) of a parameter text.
+
+    Lists, tuples and mappings may be nested and hold typed items; ``json_value``
+    has the whole value, also integers beyond 64 bits. ``list_value`` has texts
+    as they are and other items as JSON.
+    """
+    names = [f.split()[0] for f in _PARAM.split(", ")]
+
+    @F.pandas_udf(_PARAM)
+    def parse(texts: pd.Series) -> pd.DataFrame:
+        rows = pd.DataFrame([_param_row(t) for t in texts], columns=names, dtype=object)
+        rows["int_value"] = rows["int_value"].astype("Int64")
+        return rows
+
+    return parse(as_col(col).cast("string"))
+
+
 def require_param(params: Column | str, key: str) -> Column:
     """Parsed parameter of a map; a missing key fails the job."""
     values = as_col(params)

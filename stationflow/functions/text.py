@@ -17,30 +17,31 @@ def _ascii_of(ch: str) -> str:
     return unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
 
 
-def _folding(last: int) -> tuple[str, str, list[tuple[str, str]]]:
-    """Non-ASCII characters whose compatibility form has ASCII letters."""
-    source, target, longer = [], [], []
-    for code in range(0x80, last):
-        if 0xD800 <= code < 0xE000:
-            continue
-        plain = _ascii_of(chr(code))
-        if len(plain) == 1:
-            source.append(chr(code))
-            target.append(plain)
-        elif plain and code < 0x250:
-            longer.append((chr(code), plain))
-    return "".join(source), "".join(target), longer
+def _folding() -> dict[str, str]:
+    """ASCII part of the compatibility form of every character that has one."""
+    found = {chr(c): _ascii_of(chr(c)) for c in range(0x80, 0x110000) if unicodedata.decomposition(chr(c))}
+    return {ch: plain for ch, plain in found.items() if plain}
 
 
-_FOLD_FROM, _FOLD_TO, _FOLD_LONG = _folding(0x10000)
+_FOLD = _folding()
+_FOLD_ONE = {ch: plain for ch, plain in _FOLD.items() if len(plain) == 1}
+_FOLD_MORE = {ch: plain for ch, plain in _FOLD.items() if len(plain) > 1}
 
 
 def fold_ascii(col: Column | str) -> Column:
-    """ASCII form of a text: accents removed, other non-ASCII dropped."""
-    out = as_col(col)
-    for ch, plain in _FOLD_LONG:
-        out = F.replace(out, F.lit(ch), F.lit(plain))
-    out = F.translate(out, _FOLD_FROM, _FOLD_TO)
+    """ASCII form of a text: accents removed, ligatures and signs spelt out, other non-ASCII dropped.
+
+    Characters that stand for one letter are translated; only texts with one
+    that stands for several are taken apart.
+    """
+    out = F.translate(as_col(col), "".join(_FOLD_ONE), "".join(_FOLD_ONE.values()))
+    spelt = F.map_from_arrays(
+        F.array(*[F.lit(ch) for ch in _FOLD_MORE]), F.array(*[F.lit(plain) for plain in _FOLD_MORE.values()])
+    )
+    apart = F.transform(
+        F.split(out, ""), lambda ch: F.when(ch < "\x80", ch).otherwise(F.coalesce(F.try_element_at(spelt, ch), ch))
+    )
+    out = F.when(out.rlike("[" + "".join(_FOLD_MORE) + "]"), F.array_join(apart, "")).otherwise(out)
     return F.regexp_replace(out, r"[^\x00-\x7F]", "")
 
 
@@ -124,58 +125,52 @@ def _once(value: Column, fn) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
-def _verdict(number: Column, rules: list[tuple[str, str]]) -> Column:
-    """Struct of the rule with this number; null means the text passed."""
-    kinds = F.array(*[F.lit(kind) for kind, _ in rules])
-    reasons = F.array(*[F.lit(why) for _, why in rules])
-    return _once(
-        number,
-        lambda n: F.struct(
-            n.isNull().alias("passed"),
-            F.get(kinds, n - 1).alias("threat_type"),
-            F.coalesce(F.get(reasons, n - 1), F.lit("")).alias("reason"),
-        ),
-    )
+def _verdict(hits: list[Column], rules: list[tuple[str, str]]) -> Column:
+    """Struct of the first rule that is hit; a text without a hit passed.
 
-
-def _first_true(hits: list[Column]) -> Column:
-    number = F.lit(None).cast("int")
-    for i in range(len(hits), 0, -1):
-        number = F.when(hits[i - 1], F.lit(i)).otherwise(number)
-    return number
+    One conditional, so that the rules run in compiled code and stop at the first hit.
+    """
+    found = F.lit(None).cast("struct<passed: boolean, threat_type: string, reason: string>")
+    for i, (kind, why) in enumerate(rules):
+        row = F.struct(F.lit(False).alias("passed"), F.lit(kind).alias("threat_type"), F.lit(why).alias("reason"))
+        found = F.when(hits[i], row) if i == 0 else found.when(hits[i], row)
+    nothing = F.struct(
+        F.lit(True).alias("passed"), F.lit(None).cast("string").alias("threat_type"), F.lit("").alias("reason")
+    )
+    return found.otherwise(nothing)
 
 
 def check_input(col: Column | str) -> Column:
     """Struct (passed, threat_type, reason) for an incoming message.
 
-    A search for plain words comes before each pattern and spares it on most
-    texts; the pattern alone decides.
+    A search for plain words, or for three digits in a row, comes before each
+    pattern and spares it on most texts; the pattern alone decides. Texts of one-byte
+    characters need no Unicode rules.
     """
     text = as_col(col)
     patterns = [*INJECTION_PATTERNS, *EXFILTRATION_PATTERNS]
     words = [*INJECTION_WORDS, *EXFILTRATION_WORDS]
-
-    def number(t: Column) -> Column:
-        low, twins = t["low"], t["twins"]
-        hits = []
-        for pattern, needed in zip(patterns, words):
-            possible = twins
-            for word in needed:
-                possible = possible | low.contains(word)
-            hits.append(possible & t["text"].rlike("(?iuU)" + pattern))
-        hits.append(t["text"].rlike("(?U)" + CPF_PATTERN))
-        hits.append(t["text"].contains("@") & t["text"].rlike("(?U)" + EMAIL_PATTERN))
-        hits.append(t["text"].rlike("(?U)" + PHONE_PATTERN))
-        return _first_true(hits)
-
-    twins = F.lit(False)
-    for ch in CASE_TWINS:
-        twins = twins | text.contains(ch)
-    prepared = F.struct(text.alias("text"), F.lower(text).alias("low"), twins.alias("twins"))
+    plain = F.octet_length(text) == F.length(text)
+
+    def matches(pattern: str, flags: str = "") -> Column:
+        ascii_flags = f"(?{flags})" if flags else ""
+        return F.when(plain, text.rlike(ascii_flags + pattern)).otherwise(text.rlike(f"(?{flags}{'u' if flags else ''}U)" + pattern))
+
+    twins = ~plain & text.rlike(f"[{CASE_TWINS}]")
+    hits = []
+    for pattern, needed in zip(patterns, words):
+        possible = F.lower(text).contains(needed[0])
+        for word in needed[1:]:
+            possible = possible | F.lower(text).contains(word)
+        hits.append((possible | twins) & matches(pattern, "i"))
+    digits = matches(r"\d{3}")
+    hits.append(digits & matches(CPF_PATTERN))
+    hits.append(text.contains("@") & matches(EMAIL_PATTERN))
+    hits.append(digits & matches(PHONE_PATTERN))
     rules = [("prompt_injection", INJECTION_REASON.format(p[:60])) for p in INJECTION_PATTERNS]
     rules += [("exfiltration", EXFILTRATION_REASON.format(p[:60])) for p in EXFILTRATION_PATTERNS]
     rules += [("pii", PII_REASON)] * 3
-    return _verdict(_once(prepared, number), rules)
+    return _verdict(hits, rules)
 
 
 def detect_pii(col: Column | str) -> Column:
@@ -192,7 +187,7 @@ def check_output(col: Column | str) -> Column:
     hits = [text.contains(lit) for lit in SYSTEM_LITERALS] + [text.rlike(API_KEY_PATTERN)]
     rules = [("system_leak", SYSTEM_REASON.format(lit)) for lit in SYSTEM_LITERALS]
     rules.append(("api_key_leak", API_KEY_REASON))
-    return _verdict(_first_true(hits), rules)
+    return _verdict(hits, rules)
 
 
 def strip_text(col: Column | str) -> Column:

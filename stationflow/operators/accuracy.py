@@ -53,7 +53,8 @@ def actuals_for(
         D.hours_after(F.col("reference_date"), F.col("start_h")).alias("__from"),
         D.hours_after(F.col("reference_date"), F.col("end_h")).alias("__to"),
     )
-    values = series.select(by, t, F.col(target).cast("double").alias("actual"))
+    # a missing value takes no position
+    values = series.select(by, t, F.col(target).cast("double").alias("actual")).where("actual IS NOT NULL AND NOT isnan(actual)")
     joined = interval_join(asked, values, "__from", "__to", by, t)
     return joined.select("id", by, "bucket", "start_h", "end_h", F.col(t).alias("t"), "actual")
 

@@ -81,8 +81,8 @@ def match_terms_count(files: DataFrame, terms: Sequence[str], name: str = "name"
     return match_terms(files, terms, name, name).groupBy("term").agg(F.count("path").alias("n_files"))
 
 
-def resolve_time_column(df: DataFrame, sample: int = 1000) -> str:
-    """Time column: a time type first, then a known name, then the first readable text column."""
+def resolve_time_column(df: DataFrame) -> str:
+    """Time column: a time type first, then a known name, then the first text column all of whose values are readable."""
     for name, kind in df.dtypes:
         if kind.startswith("timestamp"):
             return name
@@ -91,7 +91,7 @@ def resolve_time_column(df: DataFrame, sample: int = 1000) -> str:
             return name
     texts = [n for n, kind in df.dtypes if kind in ("string", "date")]
     if texts:
-        probe = df.select(*texts).limit(sample).agg(
+        probe = df.select(*texts).agg(
             *[
                 (F.count_if(F.col(c).cast("string").isNotNull() & F.try_to_timestamp(F.col(c).cast("string")).isNull()) == 0).alias(c)
                 for c in texts

@@ -79,13 +79,14 @@ def require_best_run(runs: DataFrame, experiment: str, **kw) -> DataFrame:
 def promotion_gate(
     candidates: DataFrame, production: DataFrame, force: bool = False, on: str = "model_name"
 ) -> DataFrame:
-    """Decision per candidate. A missing value on either side never blocks.
+    """Decision per candidate. A missing value or NaN on either side never blocks.
 
     ``candidates``: model, run_id, mape. ``production``: model, mape.
     """
     current = production.select(on, F.col("mape").alias("current_mape"))
     out = candidates.join(current, on, "left")
-    worse = F.coalesce(F.col("mape") > F.col("current_mape"), F.lit(False))
+    comparable = ~F.isnan("mape") & ~F.isnan("current_mape")  # Spark sorts NaN above all numbers
+    worse = F.coalesce(comparable & (F.col("mape") > F.col("current_mape")), F.lit(False))
     rejected = worse & F.lit(not force)
     return out.select(
         on, "run_id", "mape", "current_mape",

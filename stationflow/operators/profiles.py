@@ -13,7 +13,7 @@ from .quantiles import approx_quantiles, exact_quantiles
 
 def monthly_profiles(
     df: DataFrame, cols: Sequence[str] = tuple(S.TARGET_COLUMNS), by: str = S.KEY, t: str = S.TIME,
-    digits: int | None = None,
+    digits: int | None = 2,
 ) -> DataFrame:
     """mean, std, min, max per station, calendar month and column, over all years."""
     cols = [c for c in cols if c in df.columns]
@@ -34,7 +34,7 @@ def monthly_profiles(
 
 def seasonal_extremes(
     df: DataFrame, cols: Sequence[str] = tuple(S.TARGET_COLUMNS), by: str = S.KEY, t: str = S.TIME,
-    approx: bool = False, digits: int | None = None,
+    approx: bool = False, digits: int | None = 2,
 ) -> DataFrame:
     """p5 and p95 per station, month and column; exact unless ``approx``."""
     cols = [c for c in cols if c in df.columns]

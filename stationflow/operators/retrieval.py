@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import schema as S
 from ..functions import numbers as N
+from ..session import shared_dir
 
 MAX_QUERY_BLOCK = 1024
 
@@ -51,34 +52,34 @@ def topk_similar(
 ) -> DataFrame:
     """The ``k`` documents nearest to each query (squared distance), exact.
 
-    A block of query vectors goes out with the tasks; its size is bounded by
-    ``block`` rows and checked against ``max_bytes``. Each batch of documents
-    returns only its ``k`` best per query, so pairs are never shuffled.
-    Further queries are handled block by block.
+    Different vectors under one ``query_id`` are queries of their own, ranked
+    apart; rows that repeat a query count once. Query vectors stream through the
+    driver a block at a time: a block has ``block`` rows, or fewer where their
+    vectors would take more than ``max_bytes``. It goes out with the tasks, and each
+    batch of documents returns only its ``k`` best per query, so pairs are never
+    shuffled. What a block finds is written to the shared folder before the next.
     """
     import numpy as np
     import pandas as pd
 
+    spark = docs.sparkSession
     kinds = dict(docs.dtypes)
     qkind = dict(queries.dtypes)[query_id]
-    schema = f"{query_id} {qkind}, {doc_id} {kinds[doc_id]}, distance double"
-    numbered = queries.select(query_id, vec).orderBy(query_id)
-    parts, last = [], None
-    while True:
-        todo = numbered if last is None else numbered.where(F.col(query_id) > F.lit(last))
-        rows = todo.limit(block).collect()
-        if not rows:
-            break
-        last = rows[-1][0]
-        ids = [r[0] for r in rows]
-        q = np.array([r[1] for r in rows], dtype="float64")
-        if q.nbytes > max_bytes:
-            raise ValueError("query block too large; lower block")
-        parts.append((ids, q))
-        if len(rows) < block:
-            break
-    if not parts:
-        return docs.sparkSession.createDataFrame([], schema + ", rank int")
+    schema = f"{query_id} {qkind}, __vec long, {doc_id} {kinds[doc_id]}, distance double"
+    asked = queries.select(query_id, F.xxhash64(vec).alias("__vec"), vec).dropDuplicates([query_id, "__vec"])
+    out = shared_dir(spark, "nearest")
+
+    def blocks():
+        ids, vectors, size = [], [], 0
+        for r in asked.toLocalIterator():
+            size += 8 * len(r[2])
+            ids.append((r[0], r[1]))
+            vectors.append(r[2])
+            if len(ids) >= block or size >= max_bytes:
+                yield ids, np.array(vectors, dtype="float64")
+                ids, vectors, size = [], [], 0
+        if ids:
+            yield ids, np.array(vectors, dtype="float64")
 
     def scan(ids, q):
         q2 = (q * q).sum(axis=1)
@@ -96,13 +97,14 @@ def topk_similar(
                 qi, di = np.nonzero(near <= (bound + slack)[:, None])
                 exact = ((q[qi] - d[di]) ** 2).sum(axis=1)
                 yield pd.DataFrame(
-                    {query_id: [ids[i] for i in qi], doc_id: pdf[doc_id].to_numpy()[di], "distance": exact}
+                    {query_id: [ids[i][0] for i in qi], "__vec": [ids[i][1] for i in qi], doc_id: pdf[doc_id].to_numpy()[di], "distance": exact}
                 )
 
         return docs.select(doc_id, vec).mapInPandas(run, schema)
 
-    found = scan(*parts[0])
-    for part in parts[1:]:
-        found = found.unionByName(scan(*part))
-    w = Window.partitionBy(query_id).orderBy("distance", doc_id)
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    spark.createDataFrame([], schema).write.parquet(out)
+    for ids, q in blocks():
+        scan(ids, q).write.mode("append").parquet(out)
+    w = Window.partitionBy(query_id, "__vec").orderBy("distance", doc_id)
+    found = spark.read.schema(schema).parquet(out).withColumn("rank", F.row_number().over(w))
+    return found.where(F.col("rank") <= k).drop("__vec")

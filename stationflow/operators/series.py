@@ -150,15 +150,22 @@ def add_lags(
     tie: Sequence[str] = (),
     prefix: str = "temp_lag_",
 ) -> DataFrame:
-    """Value ``k`` rows (or, with ``mode='time'``, ``k`` hours) earlier."""
+    """Value ``k`` rows (or, with ``mode='time'``, ``k`` hours) earlier.
+
+    With ``mode='time'`` a (station, hour) that occurs more than once fails the job.
+    """
     if mode == "time":
-        out = df
-        for k in lags:
-            past = df.select(
-                F.col(by), D.hours_after(F.col(t), F.lit(k)).alias(t), F.col(col).alias(f"{prefix}{k}h")
-            )
-            out = out.join(past, [by, t], "left")
-        return out
+        # one copy of the series, moved on by each lag: one join
+        moved = df.select(by, F.col(t).alias("__t"), F.col(col).alias("__v"), F.explode(F.array(*[F.lit(k) for k in lags])).alias("__k"))
+        moved = moved.select(by, D.hours_after(F.col("__t"), F.col("__k")).alias(t), "__k", "__v")
+        twice = F.raise_error(F.concat_ws(" ", F.lit("more than one row of"), F.col(by).cast("string"), F.col(t).cast("string")))
+
+        def value(k: int) -> Column:
+            own = F.col("__k") == k
+            only = F.max(F.when(own, F.col("__v")))
+            return F.when(F.count_if(own) > 1, twice.cast(df.schema[col].dataType)).otherwise(only).alias(f"{prefix}{k}h")
+
+        return df.join(moved.groupBy(by, t).agg(*[value(k) for k in lags]), [by, t], "left")
     if mode != "rows":
         raise ValueError("mode must be 'rows' or 'time'")
     return add_series_features(df, by, t, tie, lags={f"{prefix}{k}h": (col, k) for k in lags})

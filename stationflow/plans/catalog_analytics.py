@@ -195,14 +195,19 @@ prof AS (SELECT municipio, month, "column", avg(v) AS mean, stddev_samp(v) AS st
  quantile_cont(v, 0.05) AS p5, quantile_cont(v, 0.95) AS p95 FROM lng GROUP BY 1, 2, 3)"""
 
 
-@query(f"""WITH {WH}, {_profile_cte('wh')} SELECT municipio, month, "column", {sr('mean', 'std', 'min', 'max')} FROM prof""")
+def _two_digits(*names):
+    """Rounded from the exact binary value, as a format does it."""
+    return ", ".join(f"CAST(printf('%.2f', {n}) AS DOUBLE) + 0.0 AS {n.rpartition('.')[2]}" for n in names)
+
+
+@query(f"""WITH {WH}, {_profile_cte('wh')} SELECT municipio, month, "column", {_two_digits('mean', 'std', 'min', 'max')} FROM prof""")
 def monthly_profiles(spark, sf):
-    return rounded(P.monthly_profiles(wh(spark, sf), PROFILE_COLS), "mean", "std", "min", "max")
+    return P.monthly_profiles(wh(spark, sf), PROFILE_COLS)
 
 
-@query(f"""WITH {WH}, {_profile_cte('wh')} SELECT municipio, month, "column", {sr('p5', 'p95')} FROM prof""")
+@query(f"""WITH {WH}, {_profile_cte('wh')} SELECT municipio, month, "column", {_two_digits('p5', 'p95')} FROM prof""")
 def seasonal_extremes(spark, sf):
-    return rounded(P.seasonal_extremes(wh(spark, sf), PROFILE_COLS), "p5", "p95")
+    return P.seasonal_extremes(wh(spark, sf), PROFILE_COLS)
 
 
 @query()
@@ -216,7 +221,7 @@ def snapshot_metadata(spark, sf):
     return P.snapshot_metadata(wh(spark, sf), now())
 
 
-ANNUAL = f"""{WH}, m AS (SELECT municipio, month(data_hora) AS month, avg(temp_ar_c) AS mean FROM wh GROUP BY 1, 2),
+ANNUAL = f"""{WH}, m AS (SELECT municipio, month(data_hora) AS month, CAST(printf('%.2f', avg(temp_ar_c)) AS DOUBLE) AS mean FROM wh GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY municipio ORDER BY mean DESC, month) AS hot,
  row_number() OVER (PARTITION BY municipio ORDER BY mean, month) AS cold FROM m),
 e AS (SELECT municipio, min(data_hora) AS date_start, max(data_hora) AS date_end, count(*) AS row_count FROM wh GROUP BY 1)"""
@@ -239,12 +244,14 @@ def _two(x):
     return f"regexp_replace(printf('%.2f', {x}), '(\\.\\d)0$', '\\1')"
 
 
-@query(f"""WITH {ANNUAL} SELECT e.municipio, 0 AS mes, 'anual' AS mes_nome,
-'Resumo climático anual de ' || e.municipio || ': mês mais quente é ' || {MONTHS}[h.month] || ' (média ' || {_two('h.mean')}
+ANNUAL_TEXT = f"""'Resumo climático anual de ' || e.municipio || ': mês mais quente é ' || {MONTHS}[h.month] || ' (média ' || {_two('h.mean')}
 || '°C), mês mais frio é ' || {MONTHS}[c.month] || ' (média ' || {_two('c.mean')} || '°C). Histórico de '
 || strftime(date_start, '%Y-%m') || ' a ' || strftime(date_end, '%Y-%m') || ', total de ' || format('{{:,}}', row_count)
-|| ' observações horárias.' AS text
-FROM e JOIN r h ON h.municipio = e.municipio AND h.hot = 1 JOIN r c ON c.municipio = e.municipio AND c.cold = 1""")
+|| ' observações horárias.' AS text"""
+ANNUAL_FROM = "FROM e JOIN r h ON h.municipio = e.municipio AND h.hot = 1 JOIN r c ON c.municipio = e.municipio AND c.cold = 1"
+
+
+@query(f"WITH {ANNUAL} SELECT e.municipio, 0 AS mes, 'anual' AS mes_nome, {ANNUAL_TEXT} {ANNUAL_FROM}")
 def annual_chunk(spark, sf):
     w = wh(spark, sf)
     return P.annual_chunk(P.monthly_profiles(w, ["temp_ar_c"]), P.snapshot_metadata(w, now()))
@@ -271,10 +278,10 @@ def _docs(spark, sf):
     return P.monthly_profiles(w, PROFILE_COLS), P.seasonal_extremes(w, PROFILE_COLS), P.snapshot_metadata(w, now())
 
 
-@query(f"""WITH {CHUNKS} SELECT municipio || '_' || CAST(mes AS VARCHAR) AS doc_id, municipio, mes, mes_nome FROM monthly
-UNION ALL SELECT DISTINCT municipio || '_0', municipio, 0, 'anual' FROM monthly""")
+@query(f"""WITH {CHUNKS}, {ANNUAL[len(WH) + 2 :]} SELECT municipio || '_' || CAST(mes AS VARCHAR) AS doc_id, municipio, mes, mes_nome, text FROM monthly
+UNION ALL SELECT e.municipio || '_0', e.municipio, 0, 'anual', {ANNUAL_TEXT} {ANNUAL_FROM}""")
 def build_docs(spark, sf):
-    return P.build_docs(*_docs(spark, sf)).drop("text")
+    return P.build_docs(*_docs(spark, sf))
 
 
 @query("""WITH d AS (SELECT source AS municipio, doc_id, 'old' AS version FROM documents),

@@ -74,11 +74,12 @@ def parse_station_filename(spark, sf):
     return _station_names(spark, sf).select("c_custkey", parsed["original"].alias("original"), parsed["slug"].alias("slug"))
 
 
-@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(substr(text, 1, 60))), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
+@query("""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text || ' fino No7 XII Abc (3)')), '[^\\x00-\\x7F]', '', 'g'), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug
 FROM documents""")
 def slugify(spark, sf):
-    # a name, so the title part of the text
-    return table(spark, sf, "documents").select("doc_id", X.slugify(F.substring("text", 1, 60)).alias("slug"))
+    # whole texts, and signs that stand for several letters or lie beyond the first plane
+    text = F.concat("text", F.lit(" \ufb01no \u21167 \u216b \U0001d400bc \u2476"))
+    return table(spark, sf, "documents").select("doc_id", X.slugify(text).alias("slug"))
 
 
 @query("""SELECT t AS term, count(doc_id) AS n_files FROM (VALUES ('SRC1'), ('src2'), ('nothing')) AS k(t)
@@ -184,19 +185,23 @@ def resolve_governance(spark, sf):
 
 
 @query("""SELECT l_orderkey, l_partkey, l_linenumber,
-CASE l_linenumber WHEN 1 THEN 'int' WHEN 2 THEN 'float' WHEN 3 THEN 'bool' WHEN 4 THEN 'list' ELSE 'text' END AS kind,
+CASE l_linenumber WHEN 1 THEN 'int' WHEN 2 THEN 'float' WHEN 3 THEN 'bool' WHEN 4 THEN 'list' WHEN 5 THEN 'map' WHEN 6 THEN 'int' ELSE 'text' END AS kind,
 CASE l_linenumber WHEN 1 THEN CAST(l_partkey AS DOUBLE) END AS int_value,
 CASE l_linenumber WHEN 2 THEN l_extendedprice END AS float_value,
 CASE l_linenumber WHEN 3 THEN CASE WHEN l_partkey % 2 = 0 THEN 'true' ELSE 'false' END END AS bool_value,
-CASE l_linenumber WHEN 4 THEN l_returnflag || '|' || l_linestatus END AS list_value,
-CASE WHEN l_linenumber > 4 THEN l_returnflag || 'x' END AS text_value FROM lineitem""")
+CASE l_linenumber WHEN 4 THEN l_returnflag || ',' || l_linestatus || '|' || CAST(l_partkey AS VARCHAR) || '|[1, [2.5, true]]' END AS list_value,
+CASE WHEN l_linenumber > 6 THEN l_returnflag || 'x' END AS text_value,
+CASE l_linenumber WHEN 5 THEN '{"a": [' || CAST(l_partkey AS VARCHAR) || ', null], "1": "' || l_returnflag || '"}'
+ WHEN 6 THEN '7' || CAST(l_partkey AS VARCHAR) || '00000000000000000000' END AS json_value FROM lineitem""")
 def parse_param(spark, sf):
     n = F.col("l_linenumber")
     text = (
         F.when(n == 1, F.concat(F.lit(" "), F.col("l_partkey").cast("string")))
         .when(n == 2, F.col("l_extendedprice").cast("string"))
         .when(n == 3, F.when(F.col("l_partkey") % 2 == 0, F.lit("True")).otherwise(F.lit("FALSE")))
-        .when(n == 4, F.concat(F.lit("['"), "l_returnflag", F.lit("', '"), "l_linestatus", F.lit("']")))
+        .when(n == 4, F.concat(F.lit("('"), "l_returnflag", F.lit(","), "l_linestatus", F.lit("', "), F.col("l_partkey").cast("string"), F.lit(", [1, [2.5, True]])")))
+        .when(n == 5, F.concat(F.lit("{'a': ["), F.col("l_partkey").cast("string"), F.lit(", None], 1: '"), "l_returnflag", F.lit("'}")))
+        .when(n == 6, F.concat(F.lit("7"), F.col("l_partkey").cast("string"), F.lit("0" * 20)))
         .otherwise(F.concat("l_returnflag", F.lit("x")))
     )
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", N.parse_param(text).alias("p"))
@@ -204,6 +209,7 @@ def parse_param(spark, sf):
         "l_orderkey", "l_partkey", "l_linenumber", "p.kind", F.col("p.int_value").cast("double").alias("int_value"),
         "p.float_value", F.col("p.bool_value").cast("string").alias("bool_value"),
         F.array_join("p.list_value", "|").alias("list_value"), "p.text_value",
+        F.when(n.isin(5, 6), F.col("p.json_value")).alias("json_value"),
     )
 
 
@@ -239,24 +245,40 @@ def expand_archives(spark, sf):
     return raw.archive_members(zips).select("archive", "name", F.length("content").cast("bigint").alias("size"))
 
 
-@query("""SELECT page_id, count(*) AS n_links FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*"[^"]+"[^>]*>.*?</a\\s*>')) FROM pages) GROUP BY 1""")
+LINKS = """l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*"[^"]+"[^>]*>.*?</a\\s*>')) AS l,
+ generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*"[^"]+"[^>]*>.*?</a\\s*>'), 1) - 1 AS position FROM pages),
+k AS (SELECT page_id, url, position, regexp_extract(l, 'href\\s*=\\s*"([^"]+)"', 1) AS href,
+ trim(regexp_replace(regexp_replace(l, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS text FROM l)"""
+
+
+@query(f"""WITH {LINKS} SELECT page_id, position, href, text FROM k""")
 def page_links(spark, sf):
-    return raw.page_links(table(spark, sf, "pages")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"))
+    links = raw.page_links(table(spark, sf, "pages"))
+    return links.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
+
 
+# Each page gets links that a parser must read with care, their parts taken from the page.
+ARCHIVES = """a AS (SELECT page_id, url, CAST(page_id % 3 AS INTEGER) AS k FROM pages),
+o AS (SELECT *, regexp_extract(url, '^(https?://[^/?#]*)', 1) AS origin,
+ regexp_replace(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '[^/]*$', '') AS folder FROM a)"""
 
-@query("""WITH a AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*"[^"]+"[^>]*>.*?</a\\s*>')) AS l,
- generate_subscripts(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*"[^"]+"[^>]*>.*?</a\\s*>'), 1) AS pos FROM pages),
-h AS (SELECT page_id, url, pos, regexp_extract(l, 'href\\s*=\\s*"([^"]+)"', 1) AS href FROM a),
-b AS (SELECT page_id, min(pos) AS pos FROM h WHERE contains(lower(href), 'e') GROUP BY 1)
-SELECT p.page_id, 2024 AS year, CASE WHEN b.page_id IS NULL THEN NULL ELSE 2.0::DOUBLE END AS score, h.href
-FROM pages p LEFT JOIN b ON b.page_id = p.page_id LEFT JOIN h ON h.page_id = b.page_id AND h.pos = b.pos""")
+
+@query(f"""WITH {ARCHIVES} SELECT page_id, 2024 AS year, CASE k WHEN 0 THEN 10 WHEN 1 THEN 10 ELSE 6 END AS score,
+CASE k WHEN 0 THEN origin || '/z/2024.zip' WHEN 1 THEN origin || CASE WHEN folder = '' THEN '/' ELSE folder END || 'a&b.zip?y=2024'
+ ELSE origin || CASE WHEN folder = '' THEN '/' ELSE folder END || 'first.zip' END AS url FROM o
+UNION ALL SELECT page_id, 2025, CASE k WHEN 0 THEN 2 WHEN 1 THEN 2 ELSE 6 END,
+CASE k WHEN 0 THEN origin || '/z/2024.zip' WHEN 1 THEN origin || CASE WHEN folder = '' THEN '/' ELSE folder END || 'a&b.zip?y=2024'
+ ELSE origin || CASE WHEN folder = '' THEN '/' ELSE folder END || 'second2025.zip' END FROM o""")
 def pick_archive_links(spark, sf):
-    out = raw.pick_archive_links(table(spark, sf, "pages"), [2024], "e", required=False)
-    href = F.regexp_extract("url", r"^https?://[^/]+(/.*)$", 1)
-    return out.select(
-        "page_id", "year", F.col("score").cast("double").alias("score"),
-        F.when(F.col("url").isNotNull(), href).alias("href"),
+    pages = table(spark, sf, "pages")
+    k = F.col("page_id") % 3
+    added = (
+        F.when(k == 0, '<a data-href="bad.zip" href="/q/../z/./2024.zip" title="2 > 1">Data of 2024</a>')
+        .when(k == 1, "<a href='a&amp;b.zip?y=2024'>Year&nbsp;2024 &#38; more</a>")
+        .otherwise('<a href="first.zip">2024</a><a href=second2025.zip>all</a>')
     )
+    html = F.regexp_replace("html", r"(?i)\.zip", ".tar")
+    return raw.pick_archive_links(pages.withColumn("html", F.concat(html, added)), [2024, 2025], required=False)
 
 
 @query("""SELECT user_input, response, reference, n_contexts FROM (SELECT text AS user_input, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS response,
@@ -344,10 +366,17 @@ def parse_instant(spark, sf):
     return table(spark, sf, "events").select("event_id", D.parse_instant(text).alias("instant"))
 
 
-@query("SELECT event_id, 'data_hora' AS time_column FROM events")
+@query("""SELECT event_id, CASE WHEN (SELECT max(event_id) FROM events) = (SELECT max(event_id) FROM events WHERE event_type IS NOT NULL)
+THEN 'late' END AS time_column FROM events""")
 def resolve_time_column(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("data_hora"))
-    return e.select("event_id", F.lit(C.resolve_time_column(e)).alias("time_column"))
+    # "early" is readable in all rows but one, "late" in all: only the whole column tells
+    e = table(spark, sf, "events")
+    last = e.agg(F.max("event_id").alias("last"))
+    stamp = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    rows = e.join(last, F.col("event_id") <= F.col("last")).select(
+        "event_id", F.when(F.col("event_id") < F.col("last"), stamp).otherwise("no time").alias("early"), stamp.alias("late")
+    )
+    return e.select("event_id", F.lit(C.resolve_time_column(rows)).alias("time_column"))
 
 
 @query("""SELECT o_orderkey, ['janeiro', 'fevereiro', 'março', 'abril', 'maio', 'junho', 'julho', 'agosto', 'setembro', 'outubro', 'novembro', 'dezembro'][month(o_orderdate)] AS mes_nome,

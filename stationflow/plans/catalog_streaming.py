@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import schema as S
 from ..operators import accuracy as A
 from ..session import shared_dir
+from ..sources import sinks
 from ..streaming import jobs
 from . import views as V
 from .catalog_forecast import EDGES, ERRORS, METRICS, TTL, _cum2, _sel2
@@ -32,20 +34,24 @@ def _to_files(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
-# A window is final once the watermark, 10 minutes behind the newest event, has passed its end.
+def _windows(df: DataFrame, name: str, key: list[str]) -> DataFrame:
+    spark = df.sparkSession
+    out = shared_dir(spark, name)
+    _finished(jobs.newest_windows(df, out, out + "-state"))
+    return jobs.read_windows(spark, out, key, df.schema)
+
+
 @query("""WITH m AS (SELECT event_type, date_trunc('minute', ts) AS b FROM events),
 w AS (SELECT event_type, b - to_minutes(unnest([0, 1, 2, 3, 4])) AS window_start FROM m)
-SELECT event_type, window_start, count(*) AS n FROM w
-WHERE window_start + INTERVAL 5 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES GROUP BY 1, 2""")
+SELECT event_type, window_start, count(*) AS n FROM w GROUP BY 1, 2""")
 def metric_rates_stream(spark, sf):
     out = jobs.metric_rates_stream(_events(spark, sf), "ts", "event_type")
-    return _to_files(out, "rates").select("event_type", "window_start", "n")
+    return _windows(out, "rates", ["event_type", "window_start"]).select("event_type", "window_start", "n")
 
 
-@query(f"""WITH ew AS (SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, value FROM events
-WHERE time_bucket(INTERVAL 5 MINUTES, ts) + INTERVAL 5 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES), {_cum2} {_sel2}""")
+@query(f"""WITH ew AS (SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, value FROM events), {_cum2} {_sel2}""")
 def latency_quantiles_stream(spark, sf):
-    out = _to_files(jobs.latency_quantiles_stream(_events(spark, sf), "ts", "value", EDGES), "latency")
+    out = _windows(jobs.latency_quantiles_stream(_events(spark, sf), "ts", "value", EDGES), "latency", ["window_start"])
     return rounded(out.select("window_start", "count", "p50", "p95", "p99"), "p50", "p95", "p99", digits=4)
 
 
@@ -57,7 +63,8 @@ def ttl_first_requests(spark, sf):
 
 
 @query(f"""WITH {RQ} SELECT request_id AS id, 'tft_' || CAST(horizon AS VARCHAR) AS model_key, municipio AS group_id, reference_date, horizon,
-TIMESTAMP '{NOW}' AS predicted_at FROM rq""")
+TIMESTAMP '{NOW}' AS predicted_at, horizon AS n_values, round(sum_values, 6) AS sum_values FROM rq
+JOIN (SELECT request_id, sum(50 + i % 24) AS sum_values FROM (SELECT request_id, unnest(generate_series(1, horizon)) AS i FROM rq) GROUP BY 1) USING (request_id)""")
 def prediction_ingest(spark, sf):
     src, out = shared_dir(spark, "forecasts"), shared_dir(spark, "log")
     points = V.prediction_points(spark, sf).drop("municipio")
@@ -75,3 +82,20 @@ def accuracy_stream(spark, sf):
     _finished(jobs.accuracy_stream(spark, ticks, log, lambda: wx(spark, sf), out, out + "-state"))
     rows = spark.read.parquet(out).select("prediction_id", "bucket", *METRICS, "n_points")
     return rounded(rows, *METRICS)
+
+
+@query(f"""WITH {V.WX} SELECT municipio, data_hora, CASE WHEN hour(data_hora) < 6 THEN 1.5 ELSE {V.sr('temp_ar_c AS x').rpartition(' AS ')[0]} END AS temp_ar_c FROM wx""")
+def incremental_raw_ingest(spark, sf):
+    """All stations' files; then files that hold the first hours of each day anew, with other values."""
+    root, out = shared_dir(spark, "raw-files"), shared_dir(spark, "clean")
+    names = {v: k for k, v in S.RENAME_MAP.items()}
+    columns = [S.RAW_DATE, S.RAW_HOUR, names["temp_ar_c"]]
+    rows = wx(spark, sf).select(S.KEY, S.TIME, "temp_ar_c")
+    for part, data in (("a", rows), ("b", rows.where(F.hour(S.TIME) < 6).withColumn("temp_ar_c", F.lit(1.5)))):
+        sinks.write_raw_station_files(data, f"{root}/{part}")
+        _finished(jobs.incremental_raw_ingest(spark, root, out, out + "-state", columns, station=_station_folder(), glob="*.txt"))
+    return rounded(spark.read.parquet(out).select(S.KEY, S.TIME, "temp_ar_c"), "temp_ar_c")
+
+
+def _station_folder():
+    return F.regexp_extract("path", "municipio=([^/]+)", 1)

@@ -37,7 +37,8 @@ def serving_path(spark: SparkSession, path: str, model_root: str | None = None)
         found = list_files(spark, model_root, "*.parquet").where(
             F.array_contains(F.split("path", "/"), "serving_data")
         )
-        first = found.agg(F.min("path")).first()[0]
+        folder = F.regexp_extract("path", "^(.*?/serving_data)/", 1)
+        first = found.agg(F.min(folder)).first()[0]
         if first:
             return first
     if not _exists(spark, path):

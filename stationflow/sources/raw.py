@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import schema as S
 from ..functions import text as X
+from ..operators.joins import spread_join
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -15,14 +17,25 @@ def _paths(paths: str | Sequence[str]) -> list[str]:
 
 
 def raw_lines(spark: SparkSession, paths: str | Sequence[str], encoding: str = S.RAW_ENCODING) -> DataFrame:
-    """Lines of raw files: ``path, line``.
+    """Lines of raw files: ``path, at, line``.
 
     The text source keeps the bytes of a line, so they can be decoded here and
     large files stay splittable.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(_paths(paths))
+    return numbered_lines(lines.select("value", *[F.col(LINE_SOURCE[c]).alias(c) for c in ("path", "block")]), encoding)
+
+
+LINE_SOURCE = {
+    "path": "_metadata.file_path", "block": "_metadata.file_block_start", "file_time": "_metadata.file_modification_time",
+}
+
+
+def numbered_lines(lines: DataFrame, encoding: str = S.RAW_ENCODING) -> DataFrame:
+    """``path, at, line`` from ``value`` and the columns of ``LINE_SOURCE``; ``at`` orders the lines of a file."""
+    kept = [c for c in lines.columns if c not in ("path", "block", "value")]
     return lines.select(
-        F.col("_metadata.file_path").alias("path"),
+        *kept, "path", F.struct("block", F.monotonically_increasing_id().alias("n")).alias("at"),
         F.decode(F.col("value").cast("binary"), encoding).alias("line"),
     )
 
@@ -40,12 +53,42 @@ def read_station_csv(
 
     A line is told by its content, as a split of a large file does not know
     its line numbers: the header names the date and hour columns, a data line
-    starts with a date. A file may hold ``skip`` other lines; more fail the job.
+    starts with a date. Up to ``skip`` other lines may stand before the header;
+    more, or any after it, fail the job. Separators inside quotes belong to
+    the value. A name that a header repeats gets ``.1``, ``.2`` and so on.
     ``columns`` fixes the output; without it the headers of all files are
     united by name. Columns a file does not have are null.
     """
-    lines = raw_lines(spark, paths, encoding)
-    fields = F.split(F.col("line"), _literal(sep), -1)
+    return parse_lines(raw_lines(spark, paths, encoding), columns, sep, skip, required)
+
+
+def _unquoted(line: Column, sep: str) -> Column:
+    """Fields of a line; quotes around a value go, doubled ones inside become one."""
+    plain = F.split(line, _literal(sep), -1)
+    outside = F.split(line, _literal(sep) + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    bare = F.transform(
+        outside, lambda x: F.replace(F.regexp_replace(x, r'^\s*"(.*)"\s*$', "$1"), F.lit('""'), F.lit('"'))
+    )
+    return F.when(line.contains('"'), bare).otherwise(plain)
+
+
+def _numbered(names: Column) -> Column:
+    """Names with a number added to those that occurred before."""
+
+    def name(x: Column, i: Column) -> Column:
+        before = F.size(F.filter(F.slice(names, F.lit(1), i), lambda y: y == x))
+        return F.when((before > 0) & (x != ""), F.concat_ws(".", x, before.cast("string"))).otherwise(x)
+
+    return F.transform(names, name)
+
+
+def parse_lines(
+    lines: DataFrame, columns: Sequence[str] | None = None, sep: str = S.RAW_SEP, skip: int = 8,
+    required: Sequence[str] = (S.RAW_DATE, S.RAW_HOUR),
+) -> DataFrame:
+    """``read_station_csv`` of lines (``path, at, line`` and columns to keep)."""
+    kept = [c for c in lines.columns if c not in ("path", "at", "line")]
+    fields = _unquoted(F.col("line"), sep)
     trimmed = F.transform(fields, F.trim)
     is_header = F.lit(True)
     for name in required:
@@ -53,10 +96,11 @@ def read_station_csv(
     is_data = F.col("line").rlike(r"^\s*\d{4}[/-]\d{2}[/-]\d{2}\s*" + _literal(sep))
     other = ~is_data & ~is_header & (F.trim("line") != "")
     files = lines.groupBy("path").agg(
-        F.min(F.when(is_header & ~is_data, trimmed)).alias("__h"), F.count_if(other).alias("__other")
-    )
+        F.min(F.when(is_header & ~is_data, F.struct("at", trimmed.alias("names")))).alias("__first"),
+        F.count_if(other).alias("__other"), F.max(F.when(other, F.col("at"))).alias("__last_other"),
+    ).select("path", "__other", "__last_other", F.col("__first.at").alias("__at"), _numbered(F.col("__first.names")).alias("__h"))
     problem = F.when(F.col("__h").isNull(), F.lit("no header in ")).when(
-        F.col("__other") > skip, F.lit("unreadable lines in ")
+        (F.col("__other") > skip) | (F.col("__last_other") > F.col("__at")), F.lit("unreadable lines in ")
     )
     checked = F.when(
         problem.isNotNull(), F.raise_error(F.concat(problem, F.col("path"))).cast("array<string>")
@@ -64,22 +108,17 @@ def read_station_csv(
     slug = X.parse_station_filename(plain_name(X.file_name("path")))["slug"]
     headers = files.select("path", checked.alias("__names"), slug.alias(S.KEY))
     if columns is None:
-        # Few distinct headers exist: one per file layout, not per file.
-        layouts = headers.select("__names").distinct().limit(MAX_LAYOUTS + 1).collect()
-        if len(layouts) > MAX_LAYOUTS:
-            raise ValueError("too many different headers; name the columns to read")
-        columns = list(dict.fromkeys(n for r in layouts for n in r[0] if n))
-    # One row per file; Spark measures it and broadcasts it when small.
-    body = lines.where(is_data).join(headers, "path")
+        # the names themselves come here, one row each: they are the columns of the result
+        names = headers.select(F.posexplode("__names").alias("pos", "name")).where("name <> ''")
+        columns = [r.name for r in names.groupBy("name").agg(F.min("pos").alias("pos")).orderBy("pos", "name").collect()]
+    # One row per file; the lines of a large file are spread, should it not be broadcast.
+    body = spread_join(lines.where(is_data), headers, ["path"], ["line"])
 
     def value(name: str) -> Column:
         at = F.array_position("__names", name)
         return F.when(at > 0, F.nullif(F.get(fields, (at - 1).cast("int")), F.lit(""))).alias(name)
 
-    return body.select("path", S.KEY, *[value(c) for c in columns])
-
-
-MAX_LAYOUTS = 1000
+    return body.select("path", S.KEY, *kept, *[value(c) for c in columns])
 
 
 def plain_name(name: Column) -> Column:
@@ -160,8 +199,6 @@ def archive_members(files: DataFrame) -> DataFrame:
     import pathlib
     import zipfile
 
-    import pandas as pd
-
     def members(batches: Iterator) -> Iterator:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
@@ -198,33 +235,67 @@ def year_range(spark: SparkSession, start: int, end: int) -> DataFrame:
     return spark.range(start, end + 1).select(F.col("id").cast("int").alias("year"))
 
 
-_ANCHOR = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
-_HREF = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+def _anchors(html: str) -> list[tuple[str, str]]:
+    """Address and text of each anchor with an address, in the order of the page."""
+    from html.parser import HTMLParser
+
+    found: list[tuple[str, str]] = []
+
+    class Anchors(HTMLParser):
+        href, words = None, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "a":
+                self.close_anchor()
+                self.href, self.words = dict(reversed(attrs)).get("href"), []
+
+        def handle_endtag(self, tag):
+            if tag == "a":
+                self.close_anchor()
+
+        def handle_data(self, data):
+            if self.href and data.strip():
+                self.words.append(data.strip())
+
+        def close_anchor(self):
+            if self.href:
+                found.append((self.href, " ".join(self.words)))
+            self.href = None
+
+    parser = Anchors(convert_charrefs=True)
+    parser.feed(html)
+    parser.close()
+    parser.close_anchor()
+    return found
 
 
 def page_links(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
-    """Anchors of each page: ``page_id, position, href, text``, in page order."""
-    bodies = F.posexplode(
-        F.arrays_zip(
-            F.regexp_extract_all(html, F.lit(_ANCHOR), 1).alias("attrs"),
-            F.regexp_extract_all(html, F.lit(_ANCHOR), 2).alias("body"),
-        )
-    )
-    anchors = pages.select(page_id, bodies.alias("position", "__a"))
-    attrs = F.col("__a.attrs")
-    href = F.concat(*[F.regexp_extract(attrs, _HREF, i) for i in (1, 2, 3)])
-    plain = F.regexp_replace("__a.body", r"(?s)<[^>]*>", "\n")
-    words = F.filter(F.transform(F.split(plain, "\n"), X.strip_text), lambda x: x != "")
-    return anchors.select(
-        page_id, "position", _unescape(href).alias("href"),
-        _unescape(F.array_join(words, " ")).alias("text"),
-    ).where(F.col("href") != "")
+    """Anchors of each page: ``page_id, position, href, text``, in page order.
+
+    Pages go through an HTML parser in batches, so quotes, entities and tags
+    inside anchors count as a browser reads them. An anchor ends at its end
+    tag, at the next anchor or with the page.
+    """
+    @F.pandas_udf("array<struct<href: string, text: string>>")
+    def anchors(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"href": h, "text": x} for h, x in _anchors(t or "")])
+
+    found = pages.select(page_id, F.posexplode(anchors(F.col(html))).alias("position", "__a"))
+    return found.select(page_id, "position", "__a.href", "__a.text")
+
+
+def _without_dots(path: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments resolved."""
+    parts = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
 
+    def step(done: Column, part: Column) -> Column:
+        shorter = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", shorter).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
 
-def _unescape(col: Column) -> Column:
-    for entity, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        col = F.replace(col, F.lit(entity), F.lit(ch))
-    return col
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    closed = F.when(path.rlike(r"/\.{1,2}$"), F.lit("/")).otherwise(F.lit(""))
+    whole = F.concat(F.lit("/"), F.array_join(kept, "/"))
+    return F.when(path.rlike(r"/\.{1,2}(/|$)"), F.concat(whole, F.when(whole != "/", closed).otherwise(F.lit("")))).otherwise(path)
 
 
 def resolve_url(base: Column, href: Column) -> Column:
@@ -232,16 +303,15 @@ def resolve_url(base: Column, href: Column) -> Column:
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
     path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
-    folder = F.concat(origin, F.coalesce(F.nullif(F.regexp_replace(path, "[^/]*$", ""), F.lit("")), F.lit("/")))
-    page = F.concat(origin, path)
-    relative = F.regexp_replace(href, r"^(\./)+", "")
+    folder = F.coalesce(F.nullif(F.regexp_replace(path, "[^/]*$", ""), F.lit("")), F.lit("/"))
+    target, rest = F.regexp_extract(href, "^([^?#]*)", 1), F.regexp_extract(href, "^[^?#]*(.*)$", 1)
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
+        .when(href.startswith("/"), F.concat(origin, _without_dots(target), rest))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
-        .when(href.startswith("?"), F.concat(page, href))
-        .otherwise(F.concat(folder, relative))
+        .when(href.startswith("?"), F.concat(origin, path, href))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, target)), rest))
     )
 
 

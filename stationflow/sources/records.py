@@ -48,7 +48,11 @@ def read_eval_set(spark: SparkSession, path: str, limit: int | None = None) -> D
     ``limit`` keeps the first rows in file order.
     """
     lines = spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("__pos"), F.col("value").alias("__line")
+        F.struct(
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("n"),
+        ).alias("__pos"),
+        F.col("value").alias("__line"),
     ).where(X.strip_text("__line") != "")
     if limit:
         lines = lines.orderBy("__pos").limit(limit)

@@ -9,13 +9,14 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import schema as S
 from ..operators import accuracy as A
 from ..operators.cleaning import clean
 from ..operators.service import metric_histogram, quantile_columns
-from ..sources.raw import _exists, read_station_csv
+from ..session import shared_dir
+from ..sources.raw import LINE_SOURCE, _exists, numbered_lines, parse_lines
 
 
 def _trigger(writer, every: str | None):
@@ -104,6 +105,29 @@ def ttl_first_requests(
     )
 
 
+def newest_windows(df: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Run a windowed aggregation and keep what each batch has changed, in a folder of its own.
+
+    Windows come out as soon as rows reach them, so none is held back for a
+    watermark that never passes; a batch that is run again replaces its folder.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = df.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint)
+    return _trigger(writer, every).start()
+
+
+def read_windows(spark: SparkSession, out: str, key: Sequence[str], schema: str | StructType) -> DataFrame:
+    """The latest state of every window written by ``newest_windows``."""
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    rows = spark.read.schema(StructType([*fields, StructField("batch", LongType())])).parquet(out)
+    rest = [f.name for f in fields if f.name not in key]
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("__r"))
+    return last.select(*key, "__r.*")
+
+
 def metric_rates_stream(
     stream: DataFrame, ts: str, label: str, window: str = "5 minutes", slide: str = "1 minute",
     late: str = "10 minutes", seconds: int = 300,
@@ -130,26 +154,38 @@ def latency_quantiles_stream(
 
 def incremental_raw_ingest(
     spark: SparkSession, raw_dir: str, out: str, checkpoint: str, columns: Sequence[str],
-    every: str | None = None,
+    every: str | None = None, station: Column | None = None, glob: str = "*.{csv,CSV}",
 ) -> StreamingQuery:
-    """New raw files replace their station and year in the clean table."""
+    """Rows of new raw files go into the clean table, hour by hour.
+
+    ``station`` reads a row's station from its ``path``, by default from the file's name.
+
+    For each station and hour the row of the newest file stays (``file_time``, then path,
+    then the line as text), whether it came before or comes now; only the partitions (station,
+    year) that new rows reach are rewritten. A file is always within one batch.
+    """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        # Only file names come here: the list a trigger has picked up.
-        paths = [r[0] for r in batch.select("path").distinct().toLocalIterator()]
-        if not paths:
+        if batch.isEmpty():
             return
-        rows = read_station_csv(spark, paths, columns).where(F.col(S.KEY).isNotNull())
-        cleaned = clean(rows.drop("path"))
+        rows = parse_lines(numbered_lines(batch), columns)
+        rows = (rows if station is None else rows.withColumn(S.KEY, station)).where(F.col(S.KEY).isNotNull())
+        new = clean(rows.withColumnRenamed("path", "file"), (S.KEY, "file", "file_time")).withColumn("ano", F.year(S.TIME))
+        if _exists(spark, out):
+            old = spark.read.schema(new.schema).parquet(out)
+            touched = new.select(S.KEY, "ano").distinct()
+            new = new.unionByName(old.join(touched, [S.KEY, "ano"], "left_semi"))
+        rest = [c for c in new.columns if c not in (S.KEY, S.TIME, "file_time", "file")]
+        newest = F.max(F.struct("file_time", "file", *rest)).alias("__n")
+        merged = new.groupBy(S.KEY, S.TIME).agg(newest).select(S.KEY, S.TIME, "__n.*")
+        path = shared_dir(spark, "ingest")  # read before its source is replaced
+        merged.write.parquet(path)
         (
-            cleaned.withColumn("ano", F.year(S.TIME)).write.mode("overwrite")
+            spark.read.schema(merged.schema).parquet(path).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy(S.KEY, "ano").parquet(out)
         )
 
-    files = (
-        spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{csv,CSV}").load(raw_dir)
-        .select("path")
-    )
-    writer = files.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
+    lines = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(raw_dir)
+    stamped = lines.select("value", *[F.col(source).alias(c) for c, source in LINE_SOURCE.items()])
+    writer = stamped.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()

@@ -163,6 +163,9 @@ def test_gate(spark):
     prod = spark.createDataFrame([("a", 0.1), ("b", 0.1), ("c", 0.1), ("d", None)], "model_name string, mape double")
     got = {r["model_name"]: r["decision"] for r in R.promotion_gate(cand, prod).collect()}
     assert got == {"a": "rejected", "b": "promoted", "c": "promoted", "d": "promoted", "e": "promoted"}
+    nan = spark.createDataFrame([("x", "r", float("nan")), ("y", "r", 9.0)], cand.schema)
+    known = spark.createDataFrame([("x", 0.05), ("y", float("nan"))], "model_name string, mape double")
+    assert {r["decision"] for r in R.promotion_gate(nan, known).collect()} == {"promoted"}
     forced = {r["decision"] for r in R.promotion_gate(cand, prod, force=True).collect()}
     assert forced == {"promoted"}
 

@@ -206,6 +206,44 @@ def test_time_column(spark):
     assert C.resolve_time_column(guessed) == "y"
     with pytest.raises(ValueError):
         C.resolve_time_column(spark.createDataFrame([("a",)], ["x"]))
+    late = spark.range(1500).selectExpr("if(id = 1499, 'no time', '2024-01-01') AS a", "'2024-01-01' AS b")
+    assert C.resolve_time_column(late) == "b"
+
+
+def test_raw_lines_are_not_dropped(spark, tmp_path):
+    name = "INMET_S_RS_A881_DOM PEDRITO_01-01-{}_A_31-12-2023.CSV"
+    few = tmp_path / "few" / name.format("2023")
+    few.parent.mkdir()
+    few.write_text("META\n" + HEADER + "\n2023/01/01;0000 UTC;1,0;0,0;\nbroken;0100 UTC;2,0;0,0;\n", "latin-1")
+    with pytest.raises(Exception, match="unreadable lines"):
+        raw.read_station_csv(spark, str(few.parent)).collect()
+    quoted = tmp_path / "quoted" / name.format("2022")
+    quoted.parent.mkdir()
+    quoted.write_text('META\nData;Hora UTC;V;V;W;\n2023/01/01;0000 UTC;"a;b ""c""";2;3;\n', "latin-1")
+    row = raw.read_station_csv(spark, str(quoted.parent)).first()
+    assert (row["V"], row["V.1"], row["W"]) == ('a;b "c"', "2", "3")
+
+
+def test_names_with_signs(spark):
+    names = {"Pico \ufb01no": "pico_fino", "\u21167": "no7", "\U0001d400b": "ab", "São José": "sao_jose", "漢": ""}
+    df = spark.createDataFrame([(k,) for k in names], ["n"]).select("n", X.slugify("n").alias("s"))
+    assert {r["n"]: r["s"] for r in df.collect()} == names
+
+
+def test_links_that_need_care(spark):
+    html = (
+        '<a data-href="bad.zip" href="ok2024.zip" title="2 > 1">x</a><a href=\'a&#38;b.zip\'>caf&eacute;&nbsp;<b>y</b></a><a name="n">no</a><a href="">e</a>'
+    )
+    links = raw.page_links(spark.createDataFrame([(1, html)], ["page_id", "html"])).orderBy("position").collect()
+    assert [(r["href"], r["text"]) for r in links] == [("ok2024.zip", "x"), ("a&b.zip", "café y")]
+    cases = {
+        ("http://h/a/b/page.html", "../z/2024.zip"): "http://h/a/z/2024.zip", ("http://h/a/b", "./c"): "http://h/a/c",
+        ("http://h", "c"): "http://h/c", ("http://h/a/", "../../../c?q=..#x"): "http://h/c?q=..#x", ("http://h/a/b", ".."): "http://h/",
+        ("http://h/a/b/c", ".."): "http://h/a/", ("http://h/a/b", "?q"): "http://h/a/b?q", ("https://h/a", "//g/x"): "https://g/x",
+    }
+    df = spark.createDataFrame(list(cases), ["base", "href"])
+    got = df.select("base", "href", raw.resolve_url(F.col("base"), F.col("href")).alias("url")).collect()
+    assert {(r["base"], r["href"]): r["url"] for r in got} == cases
 
 
 def test_staging_replaces_only_its_stations(spark, tmp_path, hourly):

@@ -170,10 +170,11 @@ def test_serving_read(spark, tmp_path):
 
 
 def test_serving_prefers_model_root(spark, tmp_path, hourly):
-    hourly(3).coalesce(1).write.parquet(str(tmp_path / "m" / "serving_data"))
+    hourly(8).repartition(4).write.parquet(str(tmp_path / "m" / "v1" / "serving_data"))
+    hourly(5).repartition(2).write.parquet(str(tmp_path / "m" / "v2" / "serving_data"))
     hourly(9).write.parquet(str(tmp_path / "d"))
     df, _ = SF.read_serving(spark, str(tmp_path / "d"), ["temp_ar_c"], str(tmp_path / "m"))
-    assert df.count() == 3
+    assert df.count() == 8
 
 
 def test_strict_read(spark, tmp_path, hourly):

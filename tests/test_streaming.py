@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,7 +111,18 @@ def test_latency_quantiles_equal_the_batch_form(spark, events, tmp_path):
     assert rows_of(live.select(cols)) == rows_of(M.latency_quantiles(batch, "ts", "value", edges).select(cols))
 
 
-def test_raw_files_replace_their_station_and_year(spark, tmp_path):
+def test_every_window_is_delivered(spark, events, tmp_path):
+    batch = spark.read.parquet(events)
+    stream = spark.readStream.option("maxFilesPerTrigger", 1).schema(batch.schema).parquet(events)
+    rates = jobs.metric_rates_stream(stream, "ts", "event_type", late="400 days")
+    out = str(tmp_path / "w")
+    run(jobs.newest_windows(rates, out, out + "-state"))
+    cols = ["event_type", "window_start", "n", "per_second"]
+    live = jobs.read_windows(spark, out, cols[:2], rates.schema)
+    assert rows_of(live.select(cols)) == rows_of(M.metric_rates(batch, "ts", "event_type").select(cols))
+
+
+def test_raw_files_replace_their_hours(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
@@ -126,4 +138,9 @@ def test_raw_files_replace_their_station_and_year(spark, tmp_path):
     station_file(raw / name.format(y=2024), ["2024/01/01;0000 UTC;2,0;0,0;", "2024/01/01;0100 UTC;3,0;0,0;"])
     assert load() == {("dom_pedrito", 2023): 1.0, ("dom_pedrito", 2024): 5.0}
     station_file(raw / name.format(y=2024).replace("_31-12", "_30-06"), ["2024/01/01;0000 UTC;10,0;0,0;"])
-    assert load() == {("dom_pedrito", 2023): 1.0, ("dom_pedrito", 2024): 10.0}
+    # the newer file has one hour of the year; the other hours stay
+    assert load() == {("dom_pedrito", 2023): 1.0, ("dom_pedrito", 2024): 13.0}
+    station_file(raw / name.format(y=2024).replace("_31-12", "_31-03"), ["2024/01/01;0000 UTC;7,0;0,0;"])
+    old = (REF - dt.timedelta(days=400)).timestamp()
+    os.utime(raw / name.format(y=2024).replace("_31-12", "_31-03"), (old, old))
+    assert load() == {("dom_pedrito", 2023): 1.0, ("dom_pedrito", 2024): 13.0}

@@ -77,6 +77,9 @@ def test_nearest_documents(spark, block):
         mine = [r["doc_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
         assert mine == want
     assert V.topk_similar(qdf.limit(0), ddf, 4).count() == 0
+    same_id = qdf.withColumn("query_id", F.lit(1).cast("bigint"))
+    assert V.topk_similar(same_id, ddf, 4, block=block).count() == 4 * len(queries)
+    assert V.topk_similar(qdf, ddf, 4, max_bytes=1).count() == 4 * len(queries)
 
 
 def test_drift(spark):
