@@ -122,18 +122,16 @@ def early_stop_trace(
 ) -> DataFrame:
     """Best epoch and the epoch training stops at, per run. Epochs count from 1.
 
-    Both running values travel from block to block, so a long run is not one task.
+    The least (loss, epoch) so far is the last gain: on equal losses the
+    earlier epoch stays. It travels from block to block, so a long run is not one task.
     """
     chunk = F.floor(F.col(epoch) / F.lit(block)).cast("bigint")
-    seen = running(epochs, [run], [epoch], chunk, {"__before": ("min", F.col(loss))}, upto=-1)
-    better = F.col("__before").isNull() | (F.col(loss) < F.col("__before"))
-    better = better & F.col(loss).isNotNull() & ~F.isnan(F.col(loss).cast("double"))
-    marked = seen.withColumn("__gain", F.when(better, F.col(epoch)))
+    valid = F.col(loss).isNotNull() & ~F.isnan(F.col(loss).cast("double"))
     traced = running(
-        marked, [run], [epoch], chunk,
-        {"__best": ("max", F.col("__gain")), "__low": ("min", F.col(loss))},
+        epochs, [run], [epoch], chunk,
+        {"__gain": ("min", F.when(valid, F.struct(F.col(loss).alias("l"), F.col(epoch).alias("e")))), "__low": ("min", F.col(loss))},
     )
-    best = F.coalesce(F.col("__best"), F.lit(0))
+    best = F.coalesce(F.col("__gain.e"), F.lit(0))
     stop = F.min(F.when(F.col(epoch) - best >= patience, F.struct(F.col(epoch), best.alias("b"), F.col("__low"))))
     out = traced.groupBy(run).agg(
         stop.alias("__s"), F.max(epoch).alias("__n"), F.max(best).alias("__b"), F.min(loss).alias("__l")

@@ -10,7 +10,7 @@ from .. import schema as S
 from ..functions import numbers as N, times as D
 from .joins import spread_join
 from .scaling import inverse_scaler
-from .windows import last_n_before
+from .windows import last_n_before, last_n_stats
 
 
 def model_catalogue(spark: SparkSession) -> DataFrame:
@@ -173,16 +173,14 @@ def window_stats(
     by: str = S.KEY, t: str = S.TIME,
 ) -> DataFrame:
     """min, max, mean per column over the last ``n`` rows before each request."""
-    status, rows = last_n_before(requests, series, n, by=by, t=t)
-    wide = rows.groupBy("request_id").agg(
-        F.count(F.lit(1)).alias("window_rows"),
-        *[F.struct(F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean")).alias(c) for c in cols],
-    )
+    fields = {c: F.col(f"__row.{c}") for c in cols}
+    figures = [F.struct(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean")).alias(c) for c, v in fields.items()]
+    wide = last_n_stats(requests, series, n, [F.count("__row").alias("window_rows"), *figures], by=by, t=t)
     lines = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("s")) for c in cols])
-    long = wide.select("request_id", "window_rows", F.inline(lines)).select(
-        "request_id", "window_rows", "column", "s.min", "s.max", "s.mean"
-    )
-    return status.select("request_id", "status", "rows_until").join(long, "request_id", "left")
+    found = F.when(F.col("window_rows") > 0, lines)  # a request without its rows keeps one line
+    return wide.select(
+        "request_id", "status", "rows_until", F.nullif("window_rows", F.lit(0)).alias("window_rows"), F.inline_outer(found)
+    ).select("request_id", "status", "rows_until", "window_rows", "column", "s.min", "s.max", "s.mean")
 
 
 def window_sample(

@@ -107,37 +107,25 @@ def _rows_before_chunks(
 ) -> DataFrame:
     """For each chunk the last ``depth`` rows before it, labelled with that chunk.
 
-    Row counts per chunk tell from which earlier chunks they come, and how
-    many from each. A task keeps the last ``depth`` rows per chunk before it
-    sends them, so little is shuffled.
+    A chunk is reduced to its last ``depth`` rows, in each task before they are
+    sent, and then to one list. The lists of the ``depth`` chunks before hold
+    the rows looked for, as a chunk has a row at least.
     """
     kept = list(dict.fromkeys([t, *tie, *cols]))
-    order = Window.partitionBy(by).orderBy("__chunk")
-    counts = tagged.groupBy(by, "__chunk").agg(F.count(F.lit(1)).alias("n"))
-    placed = counts.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # A chunk holds at least one row, so ``depth`` chunks back are enough.
-    sources = F.collect_list(F.struct(F.col("__chunk").alias("source"), "upto")).over(order.rowsBetween(-depth, -1))
-    start = F.col("upto") - F.col("n")
-    wanted = placed.select(by, F.col("__chunk").alias("__target"), start.alias("__start"), sources.alias("__src")).select(
-        by, "__target",
-        F.inline(
-            F.transform(
-                F.filter("__src", lambda c: F.col("__start") - c["upto"] < depth),
-                lambda c: F.struct(
-                    c["source"].alias("__chunk"), (depth - F.col("__start") + c["upto"]).alias("__take")
-                ),
-            )
-        ),
-    )
     backwards = Window.partitionBy(by, "__chunk").orderBy(*[F.desc(c) for c in (t, *tie)])
     last = (
         tagged.select(by, "__chunk", *kept)
         .withColumn("__back", F.row_number().over(backwards))
         .where(F.col("__back") <= depth)
     )
-    return last.join(wanted, [by, "__chunk"]).where(F.col("__back") <= F.col("__take")).select(
-        by, F.col("__target").alias("__chunk"), *kept
+    tail = F.sort_array(F.collect_list(F.struct((-F.col("__back")).alias("__at"), *kept)))
+    tails = last.groupBy(by, "__chunk").agg(tail.alias("__tail"))
+    before = F.flatten(
+        F.collect_list("__tail").over(Window.partitionBy(by).orderBy("__chunk").rowsBetween(-depth, -1))
     )
+    earlier = tails.select(by, "__chunk", before.alias("__before"))
+    first = F.greatest(F.size("__before") - depth, F.lit(0)) + 1
+    return earlier.select(by, "__chunk", F.inline(F.slice("__before", first, F.lit(depth)))).drop("__at")
 
 
 def add_lags(

@@ -142,25 +142,14 @@ def _chunk_lists(series: DataFrame, by: str, t: str, hours: int) -> DataFrame:
     )
 
 
-def last_n_before(
-    requests: DataFrame,
-    series: DataFrame,
-    n: Column | int,
-    request_id: str = "request_id",
-    ref: str = "reference_date",
-    by: str = S.KEY,
-    t: str = S.TIME,
-    hours: int | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """Last ``n`` rows at or before each request.
-
-    Returns (requests with ``status`` and ``rows_until``, rows with
-    ``position`` 0 to n-1). A request with fewer rows than it needs is
-    ``insufficient_rows`` and gets none.
+def _with_series(
+    requests: DataFrame, series: DataFrame, n: Column | int, request_id: str, ref: str, by: str, t: str,
+    hours: int | None,
+) -> DataFrame:
+    """Requests with the rows of their spans, newest first.
 
-    Row counts per time span tell which spans a request can need. Only their
-    rows are joined, by equality on (station, span); few requests are
-    broadcast and the series is not shuffled at all.
+    Adds ``__row`` (the row of the series, null for a request without one),
+    ``__back`` (1 for the newest), ``__need``, ``rows_until`` and ``status``.
     """
     need = (F.lit(n) if isinstance(n, int) else n).cast("bigint")
     hours = hours or (max(24, n) if isinstance(n, int) else 24 * 21)
@@ -177,35 +166,69 @@ def last_n_before(
     spans = F.transform(
         F.filter(known, lambda c: c["chunk"] >= F.col("__first")["chunk"]), lambda c: c["chunk"]
     )
-    asked = asked.withColumn("__base", F.coalesce(F.col("__first")["before"], F.lit(0))).withColumn(
-        "__spans", spans
+    wanted = asked.withColumn("__base", F.coalesce(F.col("__first")["before"], F.lit(0))).withColumn(
+        "__chunk", F.explode_outer(spans)
     ).drop("__chunks", "__at", "__prior", "__first")
-    wanted = asked.select(
-        request_id, by, F.col(ref).alias("__ref"), "__need", "__base", F.explode("__spans").alias("__chunk")
+    rows = series.select(
+        F.col(by).alias("__by"), time_chunk(t, hours).alias("__span"), F.col(t).alias("__t"), F.struct(*series.columns).alias("__row")
     )
-    found = (
-        series.withColumn("__chunk", time_chunk(t, hours)).join(wanted, [by, "__chunk"])
-        .where(F.col(t) <= F.col("__ref")).drop("__chunk", "__ref")
+    found = wanted.join(
+        rows, (F.col(by) == F.col("__by")) & (F.col("__chunk") == F.col("__span")) & (F.col("__t") <= F.col(ref)), "left"
     )
     # A request sees its n rows and at most two spans more.
     group = Window.partitionBy(request_id)
-    rows = (
-        found.withColumn("__back", F.row_number().over(group.orderBy(F.desc(t))))
-        .withColumn("__seen", F.count(F.lit(1)).over(group))
-        .where((F.col("__base") + F.col("__seen") >= F.col("__need")) & (F.col("__back") <= F.col("__need")))
-        .withColumn("position", F.col("__need") - F.col("__back"))
-        .drop("__back", "__seen", "__base", "__need")
+    total = F.col("__base") + F.count("__t").over(group)
+    enough = (F.col("rows_until") >= F.col("__need")) & (F.col("__need") > 0)
+    return (
+        found.withColumn("__back", F.row_number().over(group.orderBy(F.desc_nulls_last("__t"))))
+        .withColumn("rows_until", total)
+        .withColumn("status", F.when(enough, "ok").otherwise("insufficient_rows"))
+        .drop("__by", "__span", "__chunk", "__base")
     )
-    seen = found.groupBy(request_id).agg(F.count(F.lit(1)).alias("__seen"))
-    total = F.col("__base") + F.coalesce(F.col("__seen"), F.lit(0))
-    enough = (total >= F.col("__need")) & (F.col("__need") > 0)
-    status = asked.join(seen, request_id, "left").select(
-        *requests.columns, total.alias("rows_until"),
-        F.when(enough, "ok").otherwise("insufficient_rows").alias("status"),
+
+
+def last_n_before(
+    requests: DataFrame,
+    series: DataFrame,
+    n: Column | int,
+    request_id: str = "request_id",
+    ref: str = "reference_date",
+    by: str = S.KEY,
+    t: str = S.TIME,
+    hours: int | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Last ``n`` rows at or before each request.
+
+    Returns (requests with ``status`` and ``rows_until``, rows with
+    ``position`` 0 to n-1). A request with fewer rows than it needs is
+    ``insufficient_rows`` and gets none.
+
+    Row counts per time span tell which spans a request can need. Only their
+    rows are joined, by equality on (station, span); few requests are
+    broadcast and the series is not shuffled at all.
+    """
+    joined = _with_series(requests, series, n, request_id, ref, by, t, hours)
+    status = joined.where(F.col("__back") == 1).select(*requests.columns, "rows_until", "status")
+    rows = joined.where((F.col("status") == "ok") & (F.col("__back") <= F.col("__need"))).select(
+        request_id, "__row.*", (F.col("__need") - F.col("__back")).alias("position")
     )
     return status, rows
 
 
+def last_n_stats(
+    requests: DataFrame, series: DataFrame, n: Column | int, stats: Sequence[Column], request_id: str = "request_id",
+    ref: str = "reference_date", by: str = S.KEY, t: str = S.TIME, hours: int | None = None,
+) -> DataFrame:
+    """Aggregates of the last ``n`` rows of each request in one pass.
+
+    ``stats`` are aggregates over the fields of ``__row``, which is null for rows
+    that do not count. Gives ``request_id, status, rows_until`` and the stats.
+    """
+    joined = _with_series(requests, series, n, request_id, ref, by, t, hours)
+    counts = (F.col("status") == "ok") & (F.col("__back") <= F.col("__need"))
+    return joined.withColumn("__row", F.when(counts, F.col("__row"))).groupBy(request_id, "status", "rows_until").agg(*stats)
+
+
 def interval_join(
     intervals: DataFrame,
     series: DataFrame,
