@@ -25,6 +25,7 @@ TARGET_RECALL = 0.9999
 FIRST_LEVELS = 2
 MOST_LEVELS = 6
 DEEP_RATE = 3.0
+DENSE = 0.25
 SMALL = 1_000
 MERGED = 64
 SPREAD_CELLS = 1 << 20
@@ -109,17 +110,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Children of large buckets, for one document a row."""
     for batch in batches:
-        cids, found = [], []
+        cids, parents, found = [], [], []
         with np.errstate(over="ignore"):
             for cid, tokens, paths in zip(*(batch.column(c) for c in ("cid", "tokens", "paths"))):
-                new = children(
-                    tokens.values.to_numpy().view(np.uint64), paths.values.to_numpy(zero_copy_only=False).view(np.uint64), DEEP_RATE / THRESHOLD
-                )
-                cids.append(np.full(len(new), cid.as_py()))
-                found.append(_signed(new))
+                own = tokens.values.to_numpy().view(np.uint64)
+                for path in paths.as_py():
+                    new = children(own, np.array([path], dtype=np.int64).view(np.uint64), DEEP_RATE / THRESHOLD)
+                    cids.append(np.full(len(new), cid.as_py()))
+                    parents.append(np.full(len(new), path))
+                    found.append(_signed(new))
         if found:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(cids), pa.int64()), pa.array(np.concatenate(found), pa.int64())], names=["cid", "bucket"]
+                [pa.array(np.concatenate(c), pa.int64()) for c in (cids, parents, found)], names=["cid", "parent", "bucket"]
             )
 
 
@@ -228,7 +230,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall
     sets sample together. The first two levels need no other set and are made
     while the text is read. Buckets that one class has alone end; up to
     ``SMALL`` they are compared by brute force; larger ones are split on, at most to
-    ``MOST_LEVELS``, and what is large then is compared in pairs of blocks. Runs
+    ``MOST_LEVELS``. A bucket that passes over ``DENSE`` of itself to one of its parts
+    holds sets that are alike and splits no further: it is compared in pairs of
+    blocks, as is what is large at the last level. Runs
     are repeated so often that a pair at the threshold meets with ``target_recall``.
     Pairs stay inside the task that compares them; each counts in one group only.
     """
@@ -256,15 +260,25 @@ def _near_duplicates(docs: DataFrame, threshold: float, target_recall: float) ->
         rows.join(needed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("cid", "text")
         .mapInArrow(_sets, "cid long, tokens array<long>"), "sets",
     )
+    level = level.select("cid", "bucket", "size")
     leaves, depth = level.where(F.col("size") <= SMALL), FIRST_LEVELS
-    big = level.where(F.col("size") > SMALL)
+    big, dense = level.where(F.col("size") > SMALL), []
     while depth < MOST_LEVELS and not big.isEmpty():
         todo = big.groupBy("cid").agg(F.collect_set("bucket").alias("paths"))
-        split = sets.dropDuplicates(["cid"]).join(todo, "cid").mapInArrow(_go_on, "cid long, bucket long").distinct()
-        level = staged(_sized(split), f"level{depth}")
+        split = sets.dropDuplicates(["cid"]).join(todo, "cid").mapInArrow(_go_on, "cid long, parent long, bucket long")
+        split = staged(split, f"level{depth}")
+        counts = split.groupBy("parent", "bucket").agg(F.count("*").alias("size")).where("size > 1")
+        of = big.groupBy(F.col("bucket").alias("parent")).agg(F.max("size").alias("whole"))
+        largest = counts.groupBy("parent").agg(F.max("size").alias("size")).join(of, "parent")
+        alike = staged(largest.where(F.col("size") > DENSE * F.col("whole")).select("parent"), f"dense{depth}")
+        dense.append(big.join(alike.withColumnRenamed("parent", "bucket"), "bucket", "left_semi"))
+        counts = staged(counts.join(alike, "parent", "left_anti"), f"counts{depth}")
+        level = split.join(counts, ["parent", "bucket"]).select("cid", "bucket", "size")
         leaves = leaves.unionByName(level.where(F.col("size") <= SMALL))
-        big = level.where(F.col("size") > SMALL)
+        big = staged(level.where(F.col("size") > SMALL), f"big{depth}")
         depth += 1
+    for part in dense:
+        big = big.unionByName(part.select(*big.columns))
 
     # groups to compare in: small buckets join that of their smallest member, so a set is sent there once
     few = leaves.where(F.col("size") <= MERGED).select("cid", F.min("cid").over(W.partitionBy("bucket")).alias("g"))
