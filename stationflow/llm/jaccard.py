@@ -101,10 +101,18 @@ def _features(runs: int, threshold: float):
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = list(shingle_sets(batch.column("text").to_pylist()))
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), _lists(sets)], names=["cid", "tokens"])
+def _with_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (``cid``, ``rep`` and more) with the sets of its classes, from the text of one document each."""
+    kept = [c for c in wanted.columns if c != "rep"]
+    schema = wanted.select(*kept).selectExpr("*", "array(0L) tokens").schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(shingle_sets(batch.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _lists(sets)], names=[*kept, "tokens"])
+
+    same = F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("key") == F.col("rep.key"))
+    return rows.join(wanted, same).select(*kept, "text").mapInArrow(run, schema)
 
 
 def _go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,19 +261,16 @@ def _near_duplicates(docs: DataFrame, threshold: float, target_recall: float) ->
     )
     classes = staged(one, "classes")
     level = staged(_sized(classes.select("cid", F.explode("paths").alias("bucket"))), "level")
-    needed = classes.join(level.select("cid").distinct(), "cid", "left_semi").select(
-        "cid", F.col("rep.doc_id").alias("d"), F.col("rep.key").alias("k")
-    )
-    sets = staged(
-        rows.join(needed, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("cid", "text")
-        .mapInArrow(_sets, "cid long, tokens array<long>"), "sets",
-    )
     level = level.select("cid", "bucket", "size")
     leaves, depth = level.where(F.col("size") <= SMALL), FIRST_LEVELS
     big, dense = level.where(F.col("size") > SMALL), []
+    sets = None
     while depth < MOST_LEVELS and not big.isEmpty():
+        if sets is None:
+            members = classes.join(big.select("cid").distinct(), "cid", "left_semi").select("cid", "rep")
+            sets = staged(_with_sets(rows, members).dropDuplicates(["cid"]), "sets")
         todo = big.groupBy("cid").agg(F.collect_set("bucket").alias("paths"))
-        split = sets.dropDuplicates(["cid"]).join(todo, "cid").mapInArrow(_go_on, "cid long, parent long, bucket long")
+        split = sets.join(todo, "cid").mapInArrow(_go_on, "cid long, parent long, bucket long")
         split = staged(split, f"level{depth}")
         counts = split.groupBy("parent", "bucket").agg(F.count("*").alias("size")).where("size > 1")
         of = big.groupBy(F.col("bucket").alias("parent")).agg(F.max("size").alias("whole"))
@@ -289,10 +294,8 @@ def _near_duplicates(docs: DataFrame, threshold: float, target_recall: float) ->
         "cid", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g")
     )
     groups = few.union(middle).union(cut).groupBy("cid").agg(F.collect_set("g").alias("groups"))
-    sent = (
-        sets.join(groups, "cid").join(classes.select("cid", "weight"), "cid")
-        .select(F.explode("groups").alias("g"), "cid", "weight", "tokens", "groups")
-    )
+    members = staged(classes.select("cid", "rep", "weight").join(groups, "cid"), "members")
+    sent = _with_sets(rows, members).select(F.explode("groups").alias("g"), "cid", "weight", "tokens", "groups")
     links = staged(
         sent.repartition("g").sortWithinPartitions("g", "cid").mapInArrow(_compare(threshold), "cid long, links long, low long"), "links"
     )
