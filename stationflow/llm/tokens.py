@@ -10,6 +10,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from .common import gather_ranges, slices, small_batches, staged
 
 END_ID = 0
 SLICE_CHARS = 500_000
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 
 # Characters whose class is the same in Python's patterns and in the tokenizer's: other texts are encoded whole.
 _UNUSUAL = re.compile("[^\\t\\n\\r\\x20-\\x7e\\xa1-\\u024f\\u2010-\\u2027\\u20ac]")
@@ -72,27 +74,32 @@ class Encoder:
         self.starts = np.empty(1 << 15, dtype=np.int64)
         self.lengths = np.empty(1 << 15, dtype=np.int64)
 
-    def _word(self, piece: str) -> list[int]:
-        return [x.id for x in self.model.tokenize(piece.encode().decode("latin1").translate(self.letters))]
-
-    def _learn(self, piece: str, ids: list[int]) -> None:
-        k, end = len(self.memo), self.used + len(ids)
-        if end > len(self.ids):
-            self.ids = np.resize(self.ids, max(end, 2 * len(self.ids)))
-        if k >= len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * k), np.resize(self.lengths, 2 * k)
-        self.ids[self.used : end] = ids
-        self.starts[k], self.lengths[k] = self.used, len(ids)
-        self.used = end
-        self.memo[piece] = k
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces; none of them holds a zero byte."""
+        spelt = "\x00".join(pieces).encode().decode("latin1").translate(self.letters).split(self.letters[0])
+        tokenize = self.model.tokenize
+        found = [[x.id for x in tokenize(s)] for s in spelt]
+        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        k, n, size = len(self.memo), len(found), int(lengths.sum())
+        if self.used + size > len(self.ids):
+            self.ids = np.resize(self.ids, max(self.used + size, 2 * len(self.ids)))
+        if k + n > len(self.starts):
+            more = max(k + n, 2 * len(self.starts))
+            self.starts, self.lengths = np.resize(self.starts, more), np.resize(self.lengths, more)
+        self.ids[self.used : self.used + size] = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=size)
+        self.starts[k : k + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[k : k + n] = lengths
+        self.used += size
+        self.memo.update(zip(pieces, range(k, k + n)))
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces, and how many each has."""
         if len(self.memo) > self.memo_words:
             self._forget()
         memo = self.memo
-        for piece in set(pieces).difference(memo):
-            self._learn(piece, self._word(piece))
+        new = list(set(pieces).difference(memo))
+        if new:
+            self._learn(new)
         at = np.fromiter(map(memo.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         lengths = self.lengths[at]
         return self.ids[gather_ranges(self.starts[at], lengths)], lengths
@@ -126,6 +133,12 @@ class Encoder:
             parts.append(ids)
 
 
+@lru_cache(maxsize=1)
+def shared_encoder(path: str) -> Encoder:
+    """The encoder of a Python worker; its tasks share what it has seen."""
+    return Encoder(path)
+
+
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Append the end id to each document."""
     full = counts + 1
@@ -142,7 +155,7 @@ def encoded(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = rows.select(*kept).selectExpr("*", "0L n_tokens", "array(0) ids").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
             for lo, hi in slices(sizes.tolist(), SLICE_CHARS):
