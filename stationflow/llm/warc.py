@@ -24,6 +24,8 @@ from pyspark.sql.datasource import (
 
 from stationflow.session import shared_dir
 
+from .common import staged
+
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, payload_digest string, refers_to string, "
     "payload_bytes long, payload binary"
@@ -274,7 +276,8 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, date: str = E
 
     Of records with an equal payload, the one with the largest ``page_id`` is the
     response and the others revisit it. Payloads are compared by digest and
-    length. Only the groups of two or more meet the pages again, one row each.
+    length. Only the groups of two or more meet the pages again, one row each;
+    they are written first, so Spark knows their size and deals pages out only if it must.
     """
     spark = pages.sparkSession
     register(spark)
@@ -283,6 +286,7 @@ def write_pages(pages: DataFrame, path: str, least_bytes: int = 0, date: str = E
         rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest", "payload_bytes")
         .agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
     )
+    groups = staged(groups, "payloads")
     typed = rows.join(groups, ["payload_digest", "payload_bytes"], "left").withColumn(
         "again", F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
     )
