@@ -25,6 +25,7 @@ DIM = 8
 SAMPLE_DOCS = 3_000
 SAMPLE_TEXT_CHARS = 30_000
 EPOCHS = 5
+LEAST_STEPS = 500
 RATE = 40.0
 BATCH = 32
 SLICE_CHARS = 1_000_000
@@ -117,8 +118,10 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> Model:
     for t in texts:
         f, n = np.unique(np.concatenate([x for x, _ in features([t])]), return_counts=True)
         rows.append((f.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
-    steps, step = EPOCHS * -(-len(rows) // BATCH), 0
-    for _ in range(EPOCHS):
+    batches, step = -(-len(rows) // BATCH), 0
+    epochs = max(EPOCHS, -(-LEAST_STEPS // batches))
+    steps = epochs * batches
+    for _ in range(epochs):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), BATCH):
             take = order[lo : lo + BATCH]

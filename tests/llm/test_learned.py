@@ -7,7 +7,9 @@ from stationflow.llm import langid, quality, queries
 from .helpers import documents, plain
 
 SF = "/root/testdata/sf0.01"
-TEXTS = [(1, None), (2, ""), (3, "12 ... 34"), (4, "the of and"), (4, "the of and"), (None, "le la les"), (5, "x" * 300_000)]
+TEXTS = [(1, None), (2, ""), (3, "12 ... 34"), (4, "the of and with that from"), (4, "the of and with that from"), (None, "le la les dans sur avec"), (5, "x" * 300_000)]
+ENGLISH = "it is the end of and with that from which the men came and the of and with that from there"
+FRENCH = "c'est le fin la les dans sur avec une maison et le la les dans sur avec des gens"
 
 
 def test_language_query(spark):
@@ -20,13 +22,13 @@ def test_language_query(spark):
 
 
 def test_language_odd_rows(spark):
-    known = documents(spark, [(i, t) for i, t in enumerate(["the of and in", "le la les des", None, "x"])], ["en", "fr", "en", None])
+    known = documents(spark, [(i, t) for i, t in enumerate([ENGLISH, FRENCH, None, "x"])], ["en", "fr", "en", None])
     found = langid.judge(F.col("text"), langid.learn(known))
     rows = documents(spark, TEXTS).withColumn("f", found).select("doc_id", "text", "f.*").collect()
     by = {r.text: r for r in rows}
     assert len(rows) == len(TEXTS)
     assert all(by[t].lang_pred == "und" and by[t].score == 0 and by[t].rejected for t in (None, "", "12 ... 34"))
-    assert by["the of and"].lang_pred == "en" and by["le la les"].lang_pred == "fr"
+    assert by["the of and with that from"].lang_pred == "en" and by["le la les dans sur avec"].lang_pred == "fr"
     assert langid.learn(documents(spark, [])) == {}
     unknown = documents(spark, TEXTS).select(langid.judge(F.col("text"), {}).alias("f"))
     assert {r.f.lang_pred for r in unknown.collect()} == {"und"}

@@ -1,9 +1,11 @@
-import corpus_pipeline
 import random
 
+import corpus_pipeline
+
 from .helpers import documents, plain
 from .test_decontam import brute as decontaminated
 from .test_near import brute as near
+from .test_secrets import base
 from .test_tokens import check_packing, whole
 
 SF = "/root/testdata/sf0.001"
@@ -31,8 +33,10 @@ def test_each_stage_against_brute_force(spark):
     assert sorted(r.doc_id for r in step(spark, "deduplicate", docs).collect()) == sorted(best)
     clean = [i for i, *_, hit in decontaminated(rows, items) if not hit]
     assert sorted(r.doc_id for r in step(spark, "decontamination", docs).collect()) == sorted(clean)
-    safe = {r.doc_id: r.text for r in step(spark, "secret_scan", docs).collect()}
-    assert len(safe) == len(rows) and any("[SECRET]" in t for t in safe.values())
+    more = spark.createDataFrame([(-1, "my password: hunter2hunter2 ok", "en", "s", 29)], docs.schema)
+    safe = {r.doc_id: r.text for r in step(spark, "secret_scan", docs.union(more)).collect()}
+    assert len(safe) == len(rows) + 1 and safe[-1] == "my [SECRET] ok"
+    assert all(("[SECRET]" in safe[i]) >= bool(base(t)) for i, t in rows)
     assert all(safe[i] == t for i, t in rows if "[SECRET]" not in safe[i])
 
 
