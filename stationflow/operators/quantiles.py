@@ -1,7 +1,8 @@
 """Exact quantiles per group without collecting a group.
 
 Values are counted per value range first. Only the ranges that hold a wanted
-rank are looked at again, as (value, count) pairs.
+rank are looked at again, as (value, count) pairs; ranges that still hold many
+rows are cut again, each at its own quantiles, until they are small or one value.
 """
 
 from __future__ import annotations
@@ -11,8 +12,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import shared_dir
+from .joins import spread_join
+
 SEGMENTS = 32
 RANGES = 32
+# A range with more rows than this is cut again; one task sorts at most about this many (value, count) pairs.
+MOST_IN_RANGE = 1_000_000
+MOST_ROUNDS = 6
 _CUT_AT = [0.0005, *[i / SEGMENTS for i in range(1, SEGMENTS)], 0.9995]
 
 
@@ -90,16 +97,17 @@ def values_at_ranks(
             lambda r: (r >= F.col("__before")) & (r < F.col("__before") + F.col("__c")),
         ).alias("__ranks"),
     ).where(F.size("__ranks") > 0)
+    inside_wanted = tagged.join(wanted.select(*by, "__range", "__before", "n", "__ranks"), [*by, "__range"])
     pairs = (
-        tagged.join(wanted.select(*by, "__range", "__before", "n", "__ranks"), [*by, "__range"])
-        .groupBy(*by, "__range", "__v")
+        _refined(inside_wanted, by)
+        .groupBy(*by, "__round", "__range", "__v")
         .agg(
             F.count(F.lit(1)).alias("__c"), F.first("__before").alias("__before"),
             F.first("n").alias("n"), F.first("__ranks").alias("__ranks"),
         )
     )
     inside = (
-        Window.partitionBy(*by, "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*by, "__round", "__range").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     )
     placed = pairs.withColumn("__end", F.col("__before") + F.sum("__c").over(inside))
     hit = F.filter(
@@ -108,6 +116,48 @@ def values_at_ranks(
     return placed.select(*by, "n", F.col("__v").alias("value"), F.explode(hit).alias("rank"))
 
 
+def _refined(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of wanted ranges, those of large ranges cut down to parts that hold a wanted rank.
+
+    Each round writes what is left of the large ranges, so later ones read
+    little. A range of one value needs no cut: it is one (value, count) pair.
+    """
+    place = [*by, "__range"]
+    done: list[DataFrame] = []
+    for r in range(MOST_ROUNDS):
+        sizes = rows.groupBy(*place).agg(
+            F.count(F.lit(1)).alias("__size"), F.min("__v").alias("__low"), F.max("__v").alias("__high")
+        )
+        large = sizes.where((F.col("__size") > MOST_IN_RANGE) & (F.col("__low") < F.col("__high")))
+        if large.isEmpty():
+            break
+        large = large.select(*place)
+        done.append(rows.join(large, place, "left_anti"))
+        rest = rows.join(large, place)
+        cuts = rest.groupBy(*place).agg(F.percentile_approx("__v", _CUT_AT[1:-1], 1000).alias("__cuts"))
+        part = F.size(F.filter(F.array_distinct("__cuts"), lambda c: c <= F.col("__v")))
+        cut = spread_join(rest, cuts, place, ["__v"]).withColumn("__part", part).drop("__cuts")
+        counts = cut.groupBy(*place, "__part").agg(F.count(F.lit(1)).alias("__c"))
+        upto = Window.partitionBy(*place).orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)
+        spans = counts.withColumn("__skip", F.sum("__c").over(upto) - F.col("__c"))
+        kept = (
+            cut.join(spans, [*place, "__part"])
+            .withColumn("__before", F.col("__before") + F.col("__skip"))
+            .withColumn("__ranks", F.filter("__ranks", lambda x: (x >= F.col("__before")) & (x < F.col("__before") + F.col("__c"))))
+            .where(F.size("__ranks") > 0)
+            .withColumn("__range", F.col("__range") * (SEGMENTS + 1) + F.col("__part"))
+            .select(*rows.columns)
+        )
+        path = shared_dir(rows.sparkSession, "ranges")
+        kept.write.parquet(path)
+        rows = rows.sparkSession.read.schema(kept.schema).parquet(path)
+    # numbers of parts could meet numbers of ranges that were not cut: the rounds stay apart
+    out = rows.withColumn("__round", F.lit(len(done)))
+    for i, part in enumerate(done):
+        out = out.unionByName(part.withColumn("__round", F.lit(i)))
+    return out
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], cols: Sequence[str] | str, probs: dict[str, float], ranges: int = RANGES
 ) -> DataFrame:
@@ -152,6 +202,6 @@ def box_stats(df: DataFrame, by: Sequence[str], col: str) -> DataFrame:
         F.count(col).alias("n"), F.min(col).alias("min"), F.max(col).alias("max")
     )
     quarts = exact_quantiles(df, by, col, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    if not by:
-        return ends.withColumn("__j", F.lit(1)).join(quarts.withColumn("__j", F.lit(1)), "__j").drop("__j")
+    if not by:  # one row each
+        return ends.withColumn("__q", quarts.select(F.struct("*")).scalar()).select("n", "min", "max", "__q.*")
     return ends.join(quarts, by)
