@@ -137,15 +137,25 @@ def slice_forecast(spark, sf):
     return p.select("id", F.size(cut).cast("bigint").alias("n"), F.aggregate(cut, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
+FORECAST_SUMS = """horizon AS n_values, CAST(list_sum(list_transform(range(1, horizon + 1), lambda h: (50 + h % 24) * h)) AS DOUBLE) AS weighted"""
+
+
+def with_forecast_sums(log):
+    """Number of the logged values, and their sum weighted by hour: every value and its place counts."""
+    values = A.decode_forecast("forecast_json")
+    weighted = F.aggregate(F.transform(values, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return log.withColumns({"n_values": F.size(values), "weighted": weighted})
+
+
 @query(f"""WITH {POINTS} SELECT request_id AS id, 'tft_' || CAST(horizon AS VARCHAR) AS model_key, '1' AS model_version,
-municipio AS group_id, reference_date, horizon, TIMESTAMP '{NOW}' AS predicted_at FROM rq""")
+municipio AS group_id, reference_date, horizon, TIMESTAMP '{NOW}' AS predicted_at, {FORECAST_SUMS} FROM rq""")
 def append_predictions(spark, sf):
     from ..session import shared_dir
     from ..sources import sinks
 
     path = shared_dir(spark, "prediction-log")
     sinks.append_predictions(V.prediction_points(spark, sf), path, now())
-    return spark.read.parquet(path).drop("forecast_json")
+    return with_forecast_sums(spark.read.parquet(path)).drop("forecast_json")
 
 
 @query(f"""WITH {WX}, {RQ}, c AS (SELECT rq.request_id, w.*, row_number() OVER (PARTITION BY rq.request_id ORDER BY w.data_hora DESC) AS back,

@@ -35,10 +35,10 @@ def read_station_csv(spark, sf):
     return rounded(C.clean(rows).select("municipio", "data_hora", *WX_MEASURES), *WX_MEASURES)
 
 
-@query(f"WITH {WX} SELECT municipio, count(*) AS n, {sr('sum(temp_ar_c) AS total', digits=3)} FROM wx WHERE municipio <> 'st_1' GROUP BY 1")
+@query(f"WITH {WX} SELECT municipio, count(*) AS n, {sr('sum(temp_ar_c) AS total', digits=3)} FROM wx GROUP BY 1")
 def read_many_stations(spark, sf):
     root = _raw_dir(spark, sf)
-    paths = [f"{root}/municipio=st_0", f"{root}/municipio=st_2"]
+    paths = [f"{root}/municipio=st_{i}" for i in range(3)]
     cols = [S.RAW_DATE, S.RAW_HOUR, RAW_NAMES["temp_ar_c"]]
     rows = raw.read_station_csv(spark, paths, cols)
     rows = rows.withColumn("municipio", _folder(F.col("path"), "municipio")).drop("path")
@@ -220,8 +220,8 @@ def year_range(spark, sf):
     return raw.year_range(spark, 1994, 2003).join(o, "year", "left").groupBy("year").agg(F.count("o_orderkey").alias("n"))
 
 
-@query(f"""WITH {WX} SELECT '/zips/' || municipio || '.zip' AS archive, n AS name, max(CAST(c AS BIGINT)) AS size FROM (
- SELECT municipio, unnest(['data.csv', 'data_1.csv']) AS n, unnest([count(*) * 2, count(*) * 3]) AS c FROM wx GROUP BY 1) GROUP BY ALL""")
+@query(f"""WITH {WX} SELECT '/zips/' || municipio || '.zip' AS archive, n AS name, sha256(c) AS content FROM (
+ SELECT municipio, unnest(['data.csv', 'data_1.csv']) AS n, unnest([repeat('x' || chr(10), count(*)), repeat('xy' || chr(10), count(*))]) AS c FROM wx GROUP BY 1)""")
 def expand_archives(spark, sf):
     import io
     import zipfile
@@ -242,7 +242,7 @@ def expand_archives(spark, sf):
 
     sizes = wx(spark, sf).groupBy("municipio").agg(F.count(F.lit(1)).alias("n"))
     zips = sizes.mapInPandas(pack, "path string, content binary")
-    return raw.archive_members(zips).select("archive", "name", F.length("content").cast("bigint").alias("size"))
+    return raw.archive_members(zips).select("archive", "name", F.sha2("content", 256).alias("content"))
 
 
 LINKS = """l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*"[^"]+"[^>]*>.*?</a\\s*>')) AS l,
@@ -299,10 +299,15 @@ def read_text_lines(spark, sf):
     return records.text_lines(table(spark, sf, "documents"), "text", ["doc_id"])
 
 
-@query()
+@query("""SELECT source, CAST(sum(length(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS length,
+sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1""")
 def file_fingerprint(spark, sf):
-    out = SF.file_fingerprint(spark, sf, "*.parquet")
-    return out.select(X.file_name("path").alias("name"), "length", "sha256")
+    # a text file for each source: its document numbers in order
+    root = shared_dir(spark, "numbers")
+    d = table(spark, sf, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("value"))
+    d.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").text(root)
+    out = SF.file_fingerprint(spark, root, "*.txt")
+    return out.select(_folder(F.col("path"), "source").alias("source"), "length", "sha256")
 
 
 @query("""SELECT 'src3' AS preferred, '/spec/' || source || '/' || CAST(doc_id AS VARCHAR) || '.parquet' AS path, n_chars AS length, 0 AS level

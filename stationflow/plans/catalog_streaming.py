@@ -10,7 +10,7 @@ from ..session import shared_dir
 from ..sources import sinks
 from ..streaming import jobs
 from . import views as V
-from .catalog_forecast import EDGES, ERRORS, METRICS, TTL, _cum2, _sel2
+from .catalog_forecast import EDGES, ERRORS, FORECAST_SUMS, METRICS, TTL, _cum2, _sel2, with_forecast_sums
 from .registry import query
 from .views import NOW, PAIRS_NONE, RQ, now, rounded, wx
 
@@ -63,14 +63,14 @@ def ttl_first_requests(spark, sf):
 
 
 @query(f"""WITH {RQ} SELECT request_id AS id, 'tft_' || CAST(horizon AS VARCHAR) AS model_key, municipio AS group_id, reference_date, horizon,
-TIMESTAMP '{NOW}' AS predicted_at, horizon AS n_values, round(sum_values, 6) AS sum_values FROM rq
-JOIN (SELECT request_id, sum(50 + i % 24) AS sum_values FROM (SELECT request_id, unnest(generate_series(1, horizon)) AS i FROM rq) GROUP BY 1) USING (request_id)""")
+TIMESTAMP '{NOW}' AS predicted_at, {FORECAST_SUMS} FROM rq""")
 def prediction_ingest(spark, sf):
     src, out = shared_dir(spark, "forecasts"), shared_dir(spark, "log")
     points = V.prediction_points(spark, sf).drop("municipio")
     points.write.json(src)
     _finished(jobs.prediction_ingest(spark, src, out, points.schema, out + "-state", now))
-    return spark.read.parquet(out).select("id", "model_key", "group_id", "reference_date", "horizon", "predicted_at")
+    log = with_forecast_sums(spark.read.parquet(out))
+    return log.select("id", "model_key", "group_id", "reference_date", "horizon", "predicted_at", "n_values", "weighted")
 
 
 @query(f"{PAIRS_NONE} SELECT id AS prediction_id, bucket, {ERRORS}, count(*) AS n_points FROM pr GROUP BY 1, 2")

@@ -152,10 +152,10 @@ spx AS (SELECT *, row_number() OVER (PARTITION BY municipio, split ORDER BY data
 
 
 def requests(spark: SparkSession, sf: str) -> DataFrame:
-    """One request per station and day from the third to the last but two."""
+    """One request per station and day."""
     days = wx_days(spark, sf)
     horizon = F.when(F.col("day_n") % 3 == 0, 72).when(F.col("day_n") % 3 == 1, 168).otherwise(336)
-    return days.where(F.col("day_n").between(2, 27)).select(
+    return days.select(
         F.concat_ws("_", "municipio", F.col("day_n").cast("string")).alias("request_id"),
         "municipio",
         F.date_add(F.lit("2024-01-01").cast("date"), F.col("day_n").cast("int")).cast("timestamp").alias("reference_date"),
@@ -177,8 +177,7 @@ RQ = """rq AS (SELECT DISTINCT 'st_' || CAST(user_id % 3 AS VARCHAR) || '_' || C
   'st_' || CAST(user_id % 3 AS VARCHAR) AS municipio,
   TIMESTAMP '2024-01-01' + to_days(CAST(day_n AS INTEGER)) AS reference_date,
   CASE day_n % 3 WHEN 0 THEN 72 WHEN 1 THEN 168 ELSE 336 END AS horizon, 'tft' AS model_type
-  FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day_n FROM events)
-  WHERE day_n BETWEEN 2 AND 27)"""
+  FROM (SELECT user_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day_n FROM events))"""
 
 
 def prediction_points(spark: SparkSession, sf: str) -> DataFrame:
