@@ -315,3 +315,26 @@ def _near_duplicates(docs: DataFrame, threshold: float, target_recall: float) ->
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "text_class",
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "key",
     )
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS sh
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT p.a, p.b, p.c = x.n AND p.c = y.n AS same FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b
+  WHERE 9 * p.c >= 4 * (x.n + y.n)
+), r AS (
+  SELECT doc_id AS node, doc_id AS other FROM d
+  UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.other
+), c AS (SELECT node, min(other) AS class_id FROM r GROUP BY node),
+l AS (SELECT a, count(*) AS n_links, min(b) FILTER (WHERE same) AS twin FROM e GROUP BY a)
+SELECT d.doc_id, c.class_id, CASE WHEN len(d.w) > 0 THEN least(d.doc_id, l.twin) END AS text_class, coalesce(l.n_links, 0) AS n_links
+FROM d JOIN c ON c.node = d.doc_id LEFT JOIN l ON l.a = d.doc_id
+"""
