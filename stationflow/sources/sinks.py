@@ -121,30 +121,24 @@ def write_raw_station_files(df: DataFrame, root: str, by: str = S.KEY, t: str =
     """Rows in the raw station layout, one file per station and year.
 
     Eight lines of metadata, a header, semicolons, decimal commas, a closing
-    semicolon. The lines of a file come from one station and year.
+    semicolon. The lines of a file come from one station and year and stream
+    through the writer in order.
     """
-    import pandas as pd
-
     names = names or {v: k for k, v in S.RENAME_MAP.items()}
     cols = [c for c in df.columns if c in names and c not in (by, t)]
     header = ";".join([S.RAW_DATE, S.RAW_HOUR, *[names[c] for c in cols]]) + ";"
-    top = [f"META {i}:;x" for i in range(8)]
+    top = F.array(*[F.lit(x) for x in (*[f"META {i}:;x" for i in range(8)], header)])
     cells = [
         F.date_format(t, "yyyy/MM/dd"), F.date_format(t, "HHmm' UTC'"),
         *[F.coalesce(F.replace(F.col(c).cast("string"), F.lit("."), F.lit(",")), F.lit("")) for c in cols],
     ]
-    lines = df.select(by, F.year(t).alias("ano"), F.col(t).alias("__t"),
-                      F.concat(F.concat_ws(";", *cells), F.lit(";")).alias("line"))
-
-    def file_of(pdf):
-        rows = pdf.sort_values("__t")
-        content = "\n".join([*top, header, *rows["line"]]) + "\n"
-        return pd.DataFrame(
-            {by: [rows[by].iloc[0]], "ano": [int(rows["ano"].iloc[0])], "value": [content.encode(encoding)]}
-        )
-
-    files = lines.groupBy(by, "ano").applyInPandas(file_of, f"{by} string, ano int, value binary")
+    rows = df.select(
+        by, F.year(t).alias("ano"), F.lit(1 << 30).alias("__n"), F.col(t).alias("__t"),
+        F.concat(F.concat_ws(";", *cells), F.lit(";")).alias("line"),
+    )
+    heads = df.select(by, F.year(t).alias("ano")).distinct().select(by, "ano", F.posexplode(top).alias("__n", "line"))
+    lines = rows.unionByName(heads, allowMissingColumns=True).repartition(by, "ano").sortWithinPartitions(by, "ano", "__n", "__t")
     # The text writer passes bytes through unchanged.
-    files.select(by, "ano", F.col("value").cast("string").alias("value")).write.partitionBy(by, "ano").mode(
+    lines.select(by, "ano", F.encode("line", encoding).cast("string").alias("value")).write.partitionBy(by, "ano").mode(
         "overwrite"
     ).option("lineSep", "\n").text(root)
