@@ -393,17 +393,32 @@ def label_lookup(spark, sf):
     )
 
 
-@query(f"""WITH {WH}, p AS (SELECT municipio, month(data_hora) AS m, avg(temp_ar_c) AS mean FROM wh GROUP BY 1, 2)
-SELECT municipio, CAST(m AS VARCHAR) AS month, {sr('mean', digits=4)} FROM p""")
+def _two(x):
+    return f"CAST(printf('%.2f', {x}) AS DOUBLE) + 0.0"
+
+
+@query(f"""WITH {WH}, p AS (SELECT municipio, month(data_hora) AS m, avg(temp_ar_c) AS mean, stddev_samp(temp_ar_c) AS std, min(temp_ar_c) AS low,
+ max(temp_ar_c) AS high, quantile_cont(temp_ar_c, 0.05) AS a, quantile_cont(temp_ar_c, 0.95) AS z FROM wh GROUP BY 1, 2),
+e AS (SELECT municipio, count(*) AS n, strftime(max(data_hora), '%Y-%m-%d') AS last FROM wh GROUP BY 1)
+SELECT municipio, CAST(m AS VARCHAR) AS month, {_two('mean')} AS mean, {_two('std')} AS std, {_two('low')} AS min, {_two('high')} AS max,
+ {_two('a')} AS p5, {_two('z')} AS p95, n AS row_count, last AS date_end FROM p JOIN e USING (municipio)""")
 def write_profiles(spark, sf):
     w = wh(spark, sf)
     root = shared_dir(spark, "profiles")
     cols = ["temp_ar_c"]
     sinks.write_profiles(P.monthly_profiles(w, cols), P.seasonal_extremes(w, cols), P.snapshot_metadata(w, now(), cols), root)
-    text = spark.read.text(f"{root}/monthly_profiles")
-    kind = "map<string,map<string,struct<mean:double,std:double,min:double,max:double>>>"
-    rows = text.select("municipio", F.explode(F.from_json("value", kind)).alias("month", "c"))
-    return rows.select("municipio", "month", rr(F.element_at("c", "temp_ar_c")["mean"], 4).alias("mean"))
+
+    def months(name, fields):
+        kind = f"map<string,map<string,struct<{','.join(f + ':double' for f in fields)}>>>"
+        rows = spark.read.text(f"{root}/{name}").select("municipio", F.explode(F.from_json("value", kind)).alias("month", "c"))
+        return rows.select("municipio", "month", *[F.element_at("c", "temp_ar_c")[f].alias(f) for f in fields])
+
+    meta = spark.read.text(f"{root}/metadata").select(
+        "municipio", F.get_json_object("value", "$.row_count").cast("bigint").alias("row_count"),
+        F.substring(F.get_json_object("value", "$.date_end"), 1, 10).alias("date_end"),
+    )
+    both = months("monthly_profiles", ["mean", "std", "min", "max"]).join(months("seasonal_extremes", ["p5", "p95"]), ["municipio", "month"])
+    return both.join(meta, "municipio")
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS metric, printf('%.4f', round(avg({c}), 8)) AS score FROM lineitem"
