@@ -1,4 +1,5 @@
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -14,10 +15,15 @@ ODD = [
 ]
 
 
-def whole(text):
+@lru_cache
+def tokenizer():
     t = Tokenizer.from_file(tokens.tokenizer_path())
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [0]
+    return t
+
+
+def whole(text):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [0]
 
 
 def crc(ids):
