@@ -267,7 +267,8 @@ def _near_duplicates(docs: DataFrame, threshold: float, target_recall: float) ->
     sets = None
     while depth < MOST_LEVELS and not big.isEmpty():
         if sets is None:
-            members = classes.join(big.select("cid").distinct(), "cid", "left_semi").select("cid", "rep")
+            # written, so that Spark knows whether the texts must be dealt out to meet them
+            members = staged(classes.join(big.select("cid").distinct(), "cid", "left_semi").select("cid", "rep"), "large")
             sets = staged(_with_sets(rows, members).dropDuplicates(["cid"]), "sets")
         todo = big.groupBy("cid").agg(F.collect_set("bucket").alias("paths"))
         split = sets.join(todo, "cid").mapInArrow(_go_on, "cid long, parent long, bucket long")
