@@ -33,12 +33,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near duplicates.
 
-    Of rows that repeat this id, one stays; documents without words are no group.
+    Of rows of a group that repeat this id, one stays; groups are told apart by their
+    root, as unlike ones may share an id or have none. Documents without words are no
+    group: each id and text of them stays.
     """
     near = near_duplicates(docs.select("doc_id", "text"))
+    alone = F.when(F.col("root").isNull(), F.col("key"))
     kept = (
         near.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .groupBy(F.col("class_id").alias("doc_id"), F.col("text_class").isNull()).agg(F.min("key").alias("key"))
+        .groupBy("root", "doc_id", alone.alias("alone")).agg(F.min("key").alias("key"))
     )
     return _matched(docs, kept, "left_semi").withColumn("__key", text_key(F.col("text"))).dropDuplicates(
         ["doc_id", "__key"]

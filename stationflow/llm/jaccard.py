@@ -228,10 +228,11 @@ def _sized(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, target_recall: float = TARGET_RECALL) -> DataFrame:
     """One row for each row of ``docs`` (``doc_id``, ``text``):
 
-    ``doc_id class_id text_class n_links key``. ``class_id`` is the smallest id
+    ``doc_id class_id text_class n_links key root``. ``class_id`` is the smallest id
     among all documents connected by similar pairs, ``text_class`` the smallest
     with the same shingles (null for texts without words), ``n_links`` the number of other documents at the
-    threshold, ``key`` the digest of the text.
+    threshold, ``key`` the digest of the text, ``root`` the group of connected documents, also
+    where ids are null or shared (null for texts without words).
 
     Chosen path: in each run a set goes to a bucket for every token that it
     samples, and on to smaller ones for the tokens sampled there; similar
@@ -310,11 +311,11 @@ def _near_duplicates(docs: DataFrame, threshold: float, target_recall: float) ->
     known = staged(known, "known")
     ids = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
     known = known.join(ids, "root").select(
-        "cid", "class_id", F.col("first_id").alias("text_class"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+        "cid", "root", "class_id", F.col("first_id").alias("text_class"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
     return features.select("doc_id", "key", "cid").join(known, "cid", "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "text_class",
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "key",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "key", "root",
     )
 
 

@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 @query(jaccard.SQL)
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates and number of links of every document."""
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("key")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).drop("key", "root")
 
 
 @query()

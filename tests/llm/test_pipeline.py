@@ -62,3 +62,20 @@ def test_odd_rows_pass(spark):
     assert sorted(ids, key=str) == sorted([1, 2, 2, 3, None, 5], key=str) or sorted(ids, key=str) == sorted([1, 2, 3, None, 5], key=str)
     packed = step(spark, "packing", docs.where("doc_id = 5 OR doc_id = 3")).collect()
     check_packing(packed, [(5, "x" * 100_000), (3, text)])
+
+
+def test_unlike_documents_without_or_with_one_id_stay(spark):
+    def text(word):
+        return " ".join(f"{word}{i}" for i in range(30))
+
+    rows = [
+        (None, text("a")), (None, text("b")), (None, text("c")), (None, text("c")),  # no ids: three groups
+        (7, text("d")), (7, text("e")), (7, text("e") + " end"), (8, text("d")),  # one id: two groups
+        (None, text("f")), (9, text("f")),  # an id goes before none
+        (None, "..."), (None, "!"), (10, None), (10, ""),  # no words: no group
+    ]
+    got = plain(step(spark, "deduplicate", documents(spark, rows)), "doc_id", "text")
+    twin = [r for r in got if r[0] == 7 and r[1].startswith("e")]
+    assert len(twin) == 1 and twin[0] in rows
+    rest = [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("d")), (9, text("f")), (None, "..."), (None, "!"), (10, None), (10, "")]
+    assert got == sorted([*rest, *twin], key=str)
