@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema as S
+from ..session import shared_dir
 
 
 def metric_counters(events: DataFrame, labels: Sequence[str]) -> DataFrame:
@@ -118,99 +119,74 @@ def ttl_dedupe(
     """Adds ``is_hit`` and ``anchor``, the time of the result a request reuses.
 
     A result lives ``ttl`` seconds from the request that made it; hits do not
-    extend it. The rows of a key are cut into spans of time. A span is reduced
-    to a short table "first expiry it meets -> last result it leaves", the
-    tables are chained per key, and each span is resolved on its own. A busy
-    key is thus spread over many tasks; only its span tables meet in one.
+    extend it. Each distinct instant points to the first one of its key after
+    its expiry (``_successors``). The results made are what the first instant of
+    a key leads to: pointers are joined with themselves, so that they span
+    1, 2, 4, ... steps, and followed from the longest to the shortest. Every step
+    is a join by key and instant; no list or task holds a whole key. Results
+    lie more than a lifetime apart, so a row finds its own among two, by the
+    lifetime it falls into. ``spans`` has no effect and is kept for callers.
     """
-    import numpy as np
-    import pandas as pd
-
-    key = list(key)
-    ttl_us, width = ttl * 1_000_000, ttl * 1_000_000 * spans
-    kinds = dict(df.dtypes)
-    key_schema = ", ".join(f"{k} {kinds[k]}" for k in key)
+    key, ttl_us = list(key), ttl * 1_000_000
     rows = df.withColumn("__us", F.unix_micros(F.col(ts).cast("timestamp")))
-    times = rows.groupBy(*key, "__us").agg(F.min(row_id).alias("__first"))
-    # One row per span; its list holds the distinct instants of ``spans`` lifetimes.
-    cut = times.groupBy(
-        *key, F.floor(F.col("__us") / F.lit(width)).cast("bigint").alias("__span")
-    ).agg(F.sort_array(F.collect_list(F.struct("__us", "__first"))).alias("__rows"))
-    instants = F.col("__rows.__us")
-    never = np.iinfo("int64").min // 2
-
-    def summarise(batches):
-        for pdf in batches:
-            his, outs = [], []
-            for span, t in zip(pdf["__span"], pdf["__t"]):
-                t = np.asarray(t)
-                nxt = np.searchsorted(t, t + ttl_us, side="right")
-                final = t.copy()
-                for i in range(len(t) - 1, -1, -1):
-                    if nxt[i] < len(t):
-                        final[i] = final[nxt[i]]
-                entries = min(int(np.searchsorted(t, span * width + ttl_us, side="right")) + 1, len(t))
-                ends = np.flatnonzero(np.append(np.diff(final[:entries]) != 0, True))
-                his.append(t[ends])
-                outs.append(final[ends])
-            yield pd.DataFrame({**{k: pdf[k] for k in key}, "__span": pdf["__span"], "__hi": his, "__exit": outs})
-
-    def chain(batches):
-        for pdf in batches:
-            entered = []
-            for his, outs in zip(pdf["__his"], pdf["__exits"]):
-                anchor, entry = never, []
-                for hi, out in zip(his, outs):
-                    entry.append(anchor)
-                    pos = int(np.searchsorted(np.asarray(hi), anchor + ttl_us, side="right"))
-                    if pos < len(hi):
-                        anchor = int(out[pos])
-                entered.append(entry)
-            yield pd.DataFrame({**{k: pdf[k] for k in key}, "__spans": pdf["__spans"], "__entries": entered})
-
-    def resolve(batches):
-        for pdf in batches:
-            solved = []
-            for t, anchor in zip(pdf["__t"], pdf["__entry"]):
-                t, i = np.asarray(t), 0
-                anchors = np.empty(len(t), dtype="int64")
-                while i < len(t):
-                    end = int(np.searchsorted(t, anchor + ttl_us, side="right"))
-                    if end > i:
-                        anchors[i:end] = anchor
-                        i = end
-                    else:
-                        anchor = int(t[i])
-                solved.append(anchors)
-            yield pd.DataFrame({**{k: pdf[k] for k in key}, "__rows": pdf["__rows"], "__anchors": solved})
-
-    tables = cut.select(*key, "__span", instants.alias("__t")).mapInPandas(
-        summarise, f"{key_schema}, __span bigint, __hi array<bigint>, __exit array<bigint>"
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("__span", "__hi", "__exit")))
-    entries = (
-        tables.groupBy(*key).agg(ordered.alias("__all"))
-        .select(
-            *key, F.col("__all.__span").alias("__spans"), F.col("__all.__hi").alias("__his"),
-            F.col("__all.__exit").alias("__exits"),
+    times = _staged(rows.groupBy(*key, "__us").agg(F.min(row_id).alias("__first")), "instants")
+    levels, level = [], _staged(_successors(times.select(*key, "__us"), key, ttl_us), "steps")
+    while not level.isEmpty():
+        levels.append(level)
+        onward = level.select(*key, F.col("__us").alias("__to"), F.col("__to").alias("__next"))
+        level = _staged(level.join(onward, [*key, "__to"]).select(*key, "__us", F.col("__next").alias("__to")), "steps")
+    made = times.groupBy(*key).agg(F.min("__us").alias("__us"))
+    for level in reversed(levels):
+        made = _staged(made, "results")
+        made = made.unionByName(made.join(level, [*key, "__us"]).select(*key, F.col("__to").alias("__us")))
+    cell = F.floor(F.col("__us") / F.lit(ttl_us)).cast("bigint")
+    lives = (
+        made.join(times, [*key, "__us"])
+        .select(*key, "__us", "__first", F.posexplode(F.array(cell, cell + 1)).alias("__later", "__cell"))
+        .groupBy(*key, "__cell").agg(
+            F.max(F.when(F.col("__later") == 0, F.col("__us"))).alias("__own"),
+            F.max(F.when(F.col("__later") == 0, F.col("__first"))).alias("__first"),
+            F.max(F.when(F.col("__later") == 1, F.col("__us"))).alias("__before"),
         )
-        .mapInPandas(chain, f"{key_schema}, __spans array<bigint>, __entries array<bigint>")
-        .select(*key, F.inline(F.arrays_zip("__spans", "__entries")).alias("__span", "__entry"))
     )
-    row_kind = f"array<struct<__us:bigint,__first:{kinds[row_id]}>>"
-    solved = (
-        cut.join(entries, [*key, "__span"])
-        .select(*key, "__rows", instants.alias("__t"), "__entry")
-        .mapInPandas(resolve, f"{key_schema}, __rows {row_kind}, __anchors array<bigint>")
-        .select(*key, F.inline(F.arrays_zip("__rows", "__anchors")).alias("__r", "__anchor"))
-        .select(*key, "__r.__us", "__r.__first", "__anchor")
+    anchor = F.when(F.col("__own") <= F.col("__us"), F.col("__own")).otherwise(F.col("__before"))
+    is_hit = ~((F.col("__own") == F.col("__us")) & (F.col(row_id) == F.col("__first")))
+    return rows.withColumn("__cell", cell).join(_staged(lives, "lives"), [*key, "__cell"]).select(
+        *df.columns, F.coalesce(is_hit, F.lit(True)).alias("is_hit"), F.timestamp_micros(anchor).alias("anchor")
+    )
+
+
+def _successors(times: DataFrame, key: Sequence[str], ttl_us: int) -> DataFrame:
+    """``__to``: the first instant of the key more than ``ttl_us`` after ``__us``; instants without one are left out.
+
+    Instants and expiries are sorted together into ranges of equal size, which
+    cut a busy key as well. Each looks ahead in its range, the last ones of a
+    range to the first instants of the ranges that follow.
+    """
+    both = times.select(*key, F.col("__us").alias("__v"), F.lit(0).alias("__kind")).unionByName(
+        times.select(*key, (F.col("__us") + ttl_us).alias("__v"), F.lit(1).alias("__kind"))
+    )
+    cut = _staged(both.repartitionByRange(*key, "__v", "__kind").withColumn("__range", F.spark_partition_id()), "ranges")
+    instant = F.when(F.col("__kind") == 0, F.col("__v"))
+    ahead = Window.partitionBy("__range", *key).orderBy(F.desc("__v"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(*key).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = cut.groupBy(*key, "__range").agg(F.min(instant).alias("__least")).select(
+        *key, "__range", F.min("__least").over(after).alias("__after")
     )
-    is_hit = ~((F.col("__anchor") == F.col("__us")) & (F.col(row_id) == F.col("__first")))
-    return rows.join(solved, [*key, "__us"]).select(
-        *df.columns, is_hit.alias("is_hit"), F.timestamp_micros("__anchor").alias("anchor")
+    return (
+        cut.withColumn("__in", F.min(instant).over(ahead)).where("__kind = 1").join(edges, [*key, "__range"])
+        .select(*key, (F.col("__v") - ttl_us).alias("__us"), F.coalesce("__in", "__after").alias("__to"))
+        .where("__to IS NOT NULL")
     )
 
 
+def _staged(df: DataFrame, purpose: str) -> DataFrame:
+    """Write rows to the shared folder and read them back, so that later steps do not repeat the work."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cache_counts(deduped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return deduped.groupBy(*by).agg(
         F.count_if("is_hit").alias("hits"), F.count_if(~F.col("is_hit")).alias("misses")

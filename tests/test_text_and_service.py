@@ -127,6 +127,27 @@ def test_repeated_requests_against_a_loop(spark, spans):
     assert got == brute_ttl(rows, 3600)
 
 
+def test_a_busy_key_is_cut_by_rows(spark, monkeypatch):
+    """90 % of the rows are one key's, within a few lifetimes; no range holds more than a share of them."""
+    rng = np.random.default_rng(3)
+    times = [int(t) for t in rng.choice(40_000, 9_000, replace=False)]
+    rows = [("hot", t, i) for i, t in enumerate(times)] + [(f"k{i % 50}", int(t), 9_000 + i) for i, t in enumerate(rng.integers(0, 400_000, 1_000))]
+    base, kept, staged = dt.datetime(2024, 1, 1), {}, M._staged
+    monkeypatch.setattr(M, "_staged", lambda df, purpose: kept.setdefault(purpose, []).append(staged(df, purpose)) or kept[purpose][-1])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        df = spark.createDataFrame([(k, base + dt.timedelta(seconds=t), i) for k, t, i in rows], "k string, ts timestamp, id bigint")
+        got = {r["id"]: (r["is_hit"], int((r["anchor"] - base).total_seconds())) for r in M.ttl_dedupe(df, ["k"], "ts", "id", 1000).collect()}
+        assert got == brute_ttl(rows, 1000)
+        assert max(r["count"] for r in kept["ranges"][0].groupBy("__range").count().collect()) <= 3 * 2 * len(rows) / 16
+        assert not any("array" in kind for frames in kept.values() for f in frames for _, kind in f.dtypes)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_rates_count_each_event_in_every_window(spark):
     base = dt.datetime(2024, 1, 1, 0, 10)
     df = spark.createDataFrame([("a", base + dt.timedelta(seconds=s)) for s in (0, 30, 61)], "l string, ts timestamp")
