@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, jaccard, langid, packing, quality, secrets, tokens, topk, warc
+from . import audit, chat, decontam, jaccard, langid, lexical, outliers, packing, quality, secrets, tokens, topk, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     docs = table(spark, sf_dir, "documents")
     return secrets.by_document(docs, secrets.find(docs))
+
+
+@query()
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the verdict of the quality rules for every document."""
+    return outliers.judge(table(spark, sf_dir, "documents")).drop("key")
+
+
+@query(audit.SQL)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in every order, by language."""
+    return audit.audit(audit.masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+@query(lexical.SQL)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents of every benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
