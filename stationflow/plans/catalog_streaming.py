@@ -57,9 +57,18 @@ def latency_quantiles_stream(spark, sf):
 
 @query("SELECT event_id, user_id, event_type, anchor_us FROM (" + TTL.format(ttl=86400) + ") WHERE NOT is_hit")
 def ttl_first_requests(spark, sf):
-    stream = _events(spark, sf).select("event_id", "user_id", "event_type", "ts")
-    out = jobs.ttl_first_requests(stream, ["user_id", "event_type"], "ts", "event_id", 86400)
-    return _to_files(out, "first-requests").select("event_id", "user_id", "event_type", "anchor_us")
+    """The events, then a heartbeat long after them, which closes what still waits."""
+    out, beats = shared_dir(spark, "first-requests"), shared_dir(spark, "beats")
+    columns = ["event_id", "user_id", "event_type", "ts"]
+    kinds = V.table(spark, sf, "events").select(*columns).schema
+    for rows in (V.table(spark, sf, "events").limit(0), V.table(spark, sf, "events").agg(
+        F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("bigint").alias("user_id"), F.lit(None).cast("string").alias("event_type"),
+        (F.max("ts") + F.expr("INTERVAL 3 DAYS")).alias("ts"),
+    )):
+        rows.select(*columns).write.mode("append").parquet(beats)
+        stream = _events(spark, sf).select(*columns).unionByName(spark.readStream.schema(kinds).parquet(beats))
+        _finished(jobs.ttl_first_requests(stream, ["user_id", "event_type"], "ts", "event_id", out, out + "-state", 86400))
+    return jobs.read_requests(spark, out, "user_id bigint, event_type string, event_id bigint, anchor_us bigint").drop("batch")
 
 
 @query(f"""WITH {RQ} SELECT request_id AS id, 'tft_' || CAST(horizon AS VARCHAR) AS model_key, municipio AS group_id, reference_date, horizon,
@@ -76,11 +85,11 @@ def prediction_ingest(spark, sf):
 @query(f"{PAIRS_NONE} SELECT id AS prediction_id, bucket, {ERRORS}, count(*) AS n_points FROM pr GROUP BY 1, 2")
 def accuracy_stream(spark, sf):
     log, ticks, out = (shared_dir(spark, n) for n in ("log", "ticks", "accuracy"))
-    A.prediction_rows(V.prediction_points(spark, sf), now()).write.parquet(log)
+    A.prediction_rows(V.prediction_points(spark, sf), now()).withColumn("due_day", jobs.due_day()).write.partitionBy("due_day").parquet(log)
     events = V.table(spark, sf, "events")
     events.agg(F.when(F.count(F.lit(1)) > 0, now()).alias("now")).write.json(ticks)
     _finished(jobs.accuracy_stream(spark, ticks, log, lambda: wx(spark, sf), out, out + "-state"))
-    rows = spark.read.parquet(out).select("prediction_id", "bucket", *METRICS, "n_points")
+    rows = spark.read.parquet(out + "/result").select("prediction_id", "bucket", *METRICS, "n_points")
     return rounded(rows, *METRICS)
 
 

@@ -9,14 +9,16 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .. import schema as S
+from ..functions.times import hours_after
 from ..operators import accuracy as A
 from ..operators.cleaning import clean
 from ..operators.service import metric_histogram, quantile_columns
 from ..session import shared_dir
 from ..sources.raw import LINE_SOURCE, _exists, numbered_lines, parse_lines
+from . import state
 
 
 def _trigger(writer, every: str | None):
@@ -27,82 +29,92 @@ def prediction_ingest(
     spark: SparkSession, in_dir: str, out: str, schema: str | StructType, checkpoint: str,
     predicted_at: Callable[[], Column], every: str | None = None,
 ) -> StreamingQuery:
-    """Forecast files to the prediction log. Ids come with the forecasts, so a batch that is
-    run again after a failure writes the same rows."""
+    """Forecast files to the prediction log, dealt into folders by the day a prediction is due. Ids come
+    with the forecasts, so a batch that is run again after a failure writes the same rows."""
     stream = spark.readStream.schema(schema).json(in_dir)
-    rows = A.prediction_rows(stream, predicted_at())
+    rows = A.prediction_rows(stream, predicted_at()).withColumn("due_day", due_day())
     writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    return _trigger(writer.outputMode("append"), every).start()
+    return _trigger(writer.partitionBy("due_day").outputMode("append"), every).start()
+
+
+def due_day(due: Column | None = None) -> Column:
+    """Folder of the prediction log: the day of reference plus horizon."""
+    return F.to_date(hours_after(F.col("reference_date"), F.col("horizon")) if due is None else due)
+
+
+def logged(spark: SparkSession, predictions_dir: str, asked: DataFrame) -> DataFrame:
+    """Log rows of the predictions in ``asked`` (``id due_day``); only the folders of their days are read."""
+    days = [r.due_day for r in asked.select("due_day").distinct().collect()]
+    log = spark.read.parquet(predictions_dir).where(F.col("due_day").isin(days))
+    return log.join(asked.select("id").distinct(), "id", "left_semi")
 
 
 def accuracy_stream(
     spark: SparkSession, ticks_dir: str, predictions_dir: str, series: Callable[[], DataFrame],
     out: str, checkpoint: str, every: str | None = None, min_points: int = 1,
 ) -> StreamingQuery:
-    """At each tick evaluates all predictions that are due and were never evaluated.
-
-    ``ticks_dir`` receives one JSON line ``{"now": ...}`` per run. The result
-    of a tick is a folder of its own, replaced when the batch is run again.
+    """At each tick evaluates the predictions that have come due.
+
+    ``ticks_dir`` receives one JSON line ``{"now": ...}`` per run; ``predictions_dir`` is the log
+    that ``prediction_ingest`` writes, every id once. Its rows are read once, as a stream, and wait
+    in keyed state until a tick has passed their due time
+    (``state.due_predictions``). A tick reads the log folders of the days that are due and the
+    series between their first reference and the tick. Predictions without enough
+    actual values wait in ``waiting`` and are tried again at each tick. The result of a batch
+    is a folder of its own in ``result``, replaced when the batch is run again.
     """
-    result = "prediction_id string, bucket string, mae double, rmse double, mape_frac double, n_points bigint, evaluated_at timestamp"
+    result = "prediction_id string, bucket string, mae double, rmse double, mape_frac double, n_points bigint"
+    ask = "id string, due_day date"
 
     def evaluate(batch: DataFrame, batch_id: int) -> None:
-        now = batch.agg(F.max("now")).first()[0]
-        if now is None:
-            return
-        predictions = spark.read.parquet(predictions_dir).withColumn(S.KEY, F.col("group_id"))
-        if _exists(spark, out):
-            done = spark.read.schema(result + ", tick bigint").parquet(out).where(F.col("tick") < batch_id).drop("tick")
-        else:
-            done = spark.createDataFrame([], result)
-        new = A.accuracy_by_bucket(predictions, series(), done, F.lit(now), min_points=min_points)
-        new.withColumn("evaluated_at", F.lit(now)).write.mode("overwrite").parquet(f"{out}/tick={batch_id}")
-
+        event = f"{out}/events/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(event)  # state is read once
+        events = spark.read.schema("id string, due_us bigint, now_us bigint").parquet(event)
+        before = f"{out}/waiting/batch={batch_id - 1}"
+        held = spark.read.schema(ask).parquet(before) if _exists(spark, before) else spark.createDataFrame([], ask)
+        asked = events.where("id IS NOT NULL").select("id", due_day(F.timestamp_micros("due_us")).alias("due_day")).unionByName(held)
+        now = events.agg(F.timestamp_micros(F.max("now_us")).alias("now")).first().now
+        waiting = asked
+        if now is not None and not asked.isEmpty():
+            predictions = logged(spark, predictions_dir, asked).withColumn(S.KEY, F.col("group_id"))
+            first = predictions.agg(F.min("reference_date").alias("t")).first().t
+            actual = series().where(F.col(S.TIME).between(F.lit(first), F.lit(now)))
+            none = spark.createDataFrame([], result)
+            new = A.accuracy_by_bucket(predictions, actual, none, F.lit(now), min_points=min_points)
+            path = f"{out}/result/tick={batch_id}"
+            new.withColumn("evaluated_at", F.lit(now)).write.mode("overwrite").parquet(path)
+            done = spark.read.schema(result).parquet(path).select(F.col("prediction_id").alias("id")).distinct()
+            waiting = asked.join(done, "id", "left_anti")
+        waiting.write.mode("overwrite").parquet(f"{out}/waiting/batch={batch_id}")
+
+    kinds = spark.read.parquet(predictions_dir).schema
+    log = spark.readStream.schema(kinds).parquet(predictions_dir)
     ticks = spark.readStream.schema("now timestamp").json(ticks_dir)
-    writer = ticks.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
+    writer = state.due_predictions(log, ticks).writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 
 def ttl_first_requests(
-    stream: DataFrame, key: Sequence[str], ts: str, row_id: str, ttl: int = S.CACHE_TTL_SECONDS,
-    late: str = "1 hour",
-) -> DataFrame:
-    """Requests that are not answered from a live earlier result.
+    stream: DataFrame, key: Sequence[str], ts: str, row_id: str, out: str, checkpoint: str, ttl: int = S.CACHE_TTL_SECONDS,
+    late: str = "1 hour", every: str | None = None,
+) -> StreamingQuery:
+    """Requests that are not answered from a live earlier result go to one output, late ones to another.
 
-    The state of a key is the time of its last computed result. It is dropped
-    once the watermark has passed its expiry.
+    See ``state.ttl_requests``; ``read_requests`` reads either. Each batch is a folder of its own, replaced when it is run again.
     """
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    key = list(key)
-    kinds = dict(stream.dtypes)
-    out_schema = ", ".join([*(f"{k} {kinds[k]}" for k in key), f"{row_id} {kinds[row_id]}", "anchor_us bigint"])
-    ttl_us = ttl * 1_000_000
-
-    def step(group, frames, state: GroupState):
-        names = dict(zip(key, group))
-        if state.hasTimedOut:
-            state.remove()
-            return
-        anchor = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["__us", row_id])
-        made = []
-        for us, rid in zip(rows["__us"], rows[row_id]):
-            if anchor is None or us > anchor + ttl_us:
-                anchor = int(us)
-                made.append({**names, row_id: rid, "anchor_us": anchor})
-        state.update((anchor,))
-        expiry = (anchor + ttl_us) // 1000 + 1
-        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        if made:
-            yield pd.DataFrame(made)
 
-    timed = stream.withColumn("__et", F.col(ts).cast("timestamp")).withWatermark("__et", late)
-    rows = timed.withColumn("__us", F.unix_micros("__et"))
-    return rows.groupBy(*key).applyInPandasWithState(
-        step, out_schema, "anchor bigint", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").partitionBy("late").parquet(f"{out}/batch={batch_id}")
+
+    writer = state.ttl_requests(stream, key, ts, row_id, ttl, late).writeStream.foreachBatch(keep)
+    return _trigger(writer.option("checkpointLocation", checkpoint), every).start()
+
+
+def read_requests(spark: SparkSession, out: str, schema: str | StructType, late: bool = False) -> DataFrame:
+    """What ``ttl_first_requests`` has written: results made, or the late rows (whose ``anchor_us`` is null)."""
+    fields = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+    rows = spark.read.schema(StructType([*fields, StructField("late", BooleanType()), StructField("batch", LongType())])).parquet(out)
+    return rows.where(F.col("late") if late else ~F.col("late")).select(*[f.name for f in fields], "batch")
 
 
 def newest_windows(df: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

@@ -1,13 +1,14 @@
 import datetime as dt
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from stationflow import schema as S
 from stationflow.operators import service as M
-from stationflow.streaming import jobs
+from stationflow.streaming import jobs, state
 from tests.test_cleaning import HEADER, station_file
 from tests.test_forecast import points
 from tests.test_text_and_service import brute_ttl, ttl_rows
@@ -41,39 +42,98 @@ def test_predictions_are_logged_as_they_come(spark, tmp_path):
 def test_predictions_are_evaluated_once(spark, tmp_path, hourly):
     log, ticks, out, ck = (str(tmp_path / n) for n in ("log", "ticks", "out", "ck"))
     rows = [(i, "a", REF, h, points(h)) for i, h in (("p72", 72), ("p168", 168))]
-    spark.createDataFrame(rows, "id string, group_id string, reference_date timestamp, horizon int, forecast_json string").write.parquet(log)
+    spark.createDataFrame(rows, "id string, group_id string, reference_date timestamp, horizon int, forecast_json string").withColumn(
+        "due_day", jobs.due_day()
+    ).write.partitionBy("due_day").parquet(log)
     series = hourly(60, lambda i: {"temp_ar_c": 20.0 + i})
 
     def tick(name, hours):
         (tmp_path / "ticks").mkdir(exist_ok=True)
         (tmp_path / "ticks" / name).write_text(json.dumps({"now": (REF + dt.timedelta(hours=hours)).isoformat()}))
         run(jobs.accuracy_stream(spark, ticks, log, lambda: series, out, ck))
-        return {(r["prediction_id"], r["bucket"]): r["n_points"] for r in spark.read.parquet(out).collect()} if (tmp_path / "out").exists() else {}
+        return {(r["prediction_id"], r["bucket"]): r["n_points"] for r in spark.read.parquet(out + "/result").collect()} if (tmp_path / "out/result").exists() else {}
 
     assert tick("1.json", 71) == {}
+    assert tick("1b.json", 72) == {}  # due is not yet passed
     first = tick("2.json", 73)
     assert first == {("p72", "near"): 24, ("p72", "mid"): 35}
     # frozen although more actual values would be there now; the longer one follows
     later = tick("3.json", 169)
     assert later == {**first, ("p168", "near"): 24, ("p168", "mid"): 35}
-    assert spark.read.parquet(out).count() == 4
+    assert spark.read.parquet(out + "/result").count() == 4
 
 
-def test_repeated_requests(spark, tmp_path):
-    rows = ttl_rows()
-    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
-    schema = "k string, ts timestamp, id bigint"
-    half = sorted(rows, key=lambda r: (r[1], r[2]))
-    cut = [r for r in half if r[1] < 15_000], [r for r in half if r[1] >= 15_000]
-    for part in cut:
-        data = [(k, REF + dt.timedelta(seconds=t), i) for k, t, i in part]
-        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(schema).parquet(src)
-        made = jobs.ttl_first_requests(stream, ["k"], "ts", "id")
-        q = made.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start()
-        run(q)
-    got = {r["id"] for r in spark.read.parquet(out).collect()}
-    assert got == {i for i, (hit, _) in brute_ttl(rows, 3600).items() if not hit}
+def test_predictions_wait_for_actual_values(spark, tmp_path, hourly):
+    log, ticks, out, ck = (str(tmp_path / n) for n in ("log", "ticks", "out", "ck"))
+    rows = [("p", "a", REF, 24, points(24)), ("late", "a", REF, 24, points(24)), ("other", "b", REF, 24, points(24))]
+    schema = "id string, group_id string, reference_date timestamp, horizon int, forecast_json string"
+
+    def send(some):
+        spark.createDataFrame(some, schema).withColumn("due_day", jobs.due_day()).write.mode("append").partitionBy("due_day").parquet(log)
+
+    def tick(hours, n):
+        (tmp_path / "ticks").mkdir(exist_ok=True)
+        (tmp_path / "ticks" / f"{hours}.json").write_text(json.dumps({"now": (REF + dt.timedelta(hours=hours)).isoformat()}))
+        run(jobs.accuracy_stream(spark, ticks, log, lambda: hourly(n), out, ck, min_points=20))
+        return sorted(r.prediction_id for r in spark.read.parquet(out + "/result").collect()) if (tmp_path / "out/result").exists() else []
+
+    send(rows[:1] + rows[2:])
+    assert tick(30, 10) == []  # too few actual values
+    assert tick(40, 60) == ["p"]
+    send(rows[1:2])  # logged long after its due time
+    assert tick(50, 60) == ["late", "p"] and tick(60, 60) == ["late", "p"]
+
+
+def test_a_tick_reads_what_is_due(spark, tmp_path):
+    """400 predictions, 20 of them due on each day: a tick lets these out and reads the folder of their day."""
+    log, ticks, ck = (str(tmp_path / n) for n in ("log", "ticks", "ck"))
+    rows = [(f"p{i}", "a", REF + dt.timedelta(days=i % 20), 24, points(24)) for i in range(400)]
+    schema = "id string, group_id string, reference_date timestamp, horizon int, forecast_json string"
+    made = spark.createDataFrame(rows, schema).withColumn("due_day", jobs.due_day())
+    made.write.partitionBy("due_day").parquet(log)
+    (tmp_path / "ticks").mkdir()
+    seen = []
+    for day in (3, 4):
+        (tmp_path / "ticks" / f"{day}.json").write_text(json.dumps({"now": (REF + dt.timedelta(days=day, minutes=1)).isoformat()}))
+        due = state.due_predictions(spark.readStream.schema(made.schema).parquet(log), spark.readStream.schema("now timestamp").json(ticks))
+        run(due.writeStream.foreachBatch(lambda b, i: seen.extend(b.where("id IS NOT NULL").collect())).option("checkpointLocation", ck).trigger(availableNow=True).start())
+        assert len(seen) == 20 * (day)
+    asked = spark.createDataFrame([(r.id, (REF + dt.timedelta(days=4)).date()) for r in seen[-20:]], "id string, due_day date")
+    found = jobs.logged(spark, log, asked)
+    assert found.count() == 20
+    found.collect()
+    scans = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "due_day=" in x or "PartitionFilters" in x]
+    assert any("PartitionFilters: [isnotnull(due_day" in x or "PartitionFilters: [due_day" in x for x in scans), scans
+
+
+def judged_requests(spark, root, batches):
+    """(made, late) ids of requests that come in these batches, a heartbeat last."""
+    schema = "k string, n int, ts timestamp, id bigint"
+    for i, part in enumerate([*batches, [(None, 10**7, None)]]):
+        spark.createDataFrame([(k, None if k == "k1" else 7, REF + dt.timedelta(seconds=t), r) for k, t, r in part], schema).coalesce(1).write.parquet(f"{root}/in/{i}")
+        os.utime(root / "in" / str(i))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+        run(jobs.ttl_first_requests(stream, ["k", "n"], "ts", "id", f"{root}/out", f"{root}/ck"))
+    kinds = "k string, n int, id bigint, anchor_us bigint"
+    return [{r.id: (r.k, r.n) for r in jobs.read_requests(spark, f"{root}/out", kinds, late).collect()} for late in (False, True)]
+
+
+def test_requests_are_judged_in_order_of_time(spark, tmp_path):
+    """Three ways to cut the batches, rows in any order within the watermark: the results are those of a loop over all."""
+    rows = sorted(ttl_rows(), key=lambda r: (r[1], r[2]))
+    want = {i for i, (hit, _) in brute_ttl(rows, 3600).items() if not hit}
+    rng = random.Random(1)
+    mixed = sorted(rows, key=lambda r: r[1] + rng.uniform(0, 3400))
+    cuts = [[mixed], [[r for r in rows if r[1] < 15_000], [r for r in rows if r[1] >= 15_000]], [mixed[i : i + 190] for i in range(0, len(mixed), 190)]]
+    keys = {i: (k, None if k == "k1" else 7) for k, _, i in rows}
+    for n, cut in enumerate(cuts):
+        made, late = judged_requests(spark, tmp_path / str(n), cut)
+        assert made == {i: keys[i] for i in want} and late == {}
+
+
+def test_late_requests_go_to_their_own_output(spark, tmp_path):
+    made, late = judged_requests(spark, tmp_path, [[("a", 0, 1), ("a", 9000, 2)], [("a", 100, 3), ("b", 50, 4), ("b", 8000, 5)]])
+    assert set(made) == {1, 2, 5} and set(late) == {3, 4}
 
 
 @pytest.fixture
