@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schema as S
+from ..session import shared_dir
 from .joins import spread_join
 from .series import BLOCK_ROWS, running, time_chunk
 
@@ -129,17 +130,38 @@ def rows_until(
     return counted.where(F.col("__kind") == 1).select("__req.*", F.col(out).cast("bigint").alias(out))
 
 
-def _chunk_lists(series: DataFrame, by: str, t: str, hours: int) -> DataFrame:
-    """Per station the list of its time spans with their row counts.
+def span_index(series: DataFrame, by: str = S.KEY, t: str = S.TIME, hours: int = 24 * 21) -> DataFrame:
+    """As-of index of a series: a row for each span of time that holds rows.
 
-    Its length is the age of the series in spans, not its number of rows.
+    ``chunk`` is the span, ``n`` its rows, ``before`` the rows of earlier spans of the station and ``ordinal`` the
+    span's place among them, from 1. It is written to the shared folder: made in one
+    pass over the series, small beside it, and read by every look-up.
     """
     counts = series.groupBy(by, time_chunk(t, hours).alias("chunk")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy(by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return placed.groupBy(by).agg(
-        F.sort_array(F.collect_list(F.struct("chunk", "before", "n"))).alias("__chunks")
-    )
+    placed = running(
+        counts, [by], ["chunk"], F.floor(F.col("chunk") / F.lit(BLOCK_ROWS)),
+        {"__through": ("sum", F.col("n")), "ordinal": ("count", F.lit(1))},
+    ).select(by, "chunk", "n", (F.col("__through") - F.col("n")).alias("before"), "ordinal")
+    path = shared_dir(series.sparkSession, "spans")
+    placed.write.parquet(path)
+    return series.sparkSession.read.schema(placed.schema).parquet(path)
+
+
+def _span_at(
+    asked: DataFrame, index: DataFrame, axis: str, at: str, out: str, request_id: str, by: str, block: int
+) -> DataFrame:
+    """Adds ``out``, the last span of the station whose ``axis`` is at most ``at`` (null where there is none).
+
+    Spans and the different values asked for are sorted together, ``block`` units of the axis at a time; the
+    last span of a block is carried to the blocks that follow.
+    """
+    span = F.struct("ordinal", "chunk", "before", "n")
+    marks = index.select(by, F.col(axis).alias(at), F.lit(0).alias("__kind"), span.alias("__span"))
+    asks = asked.select(by, at).where(F.col(at).isNotNull()).distinct().withColumn("__kind", F.lit(1))
+    both = marks.unionByName(asks, allowMissingColumns=True)
+    seen = running(both, [by], [at, "__kind"], F.floor(F.col(at) / F.lit(block)), {out: ("max", F.col("__span"))})
+    found = seen.where("__kind = 1").select(by, at, out)
+    return spread_join(asked, found, [by, at], [request_id], "left")
 
 
 def _with_series(
@@ -153,22 +175,22 @@ def _with_series(
     """
     need = (F.lit(n) if isinstance(n, int) else n).cast("bigint")
     hours = hours or (max(24, n) if isinstance(n, int) else 24 * 21)
-    asked = spread_join(
-        requests.withColumn("__need", need), _chunk_lists(series, by, t, hours), [by], [request_id], "left"
-    ).withColumn("__at", time_chunk(ref, hours))
-    older = F.filter("__chunks", lambda c: c["chunk"] < F.col("__at"))
-    prior = F.coalesce(F.element_at(F.transform(older, lambda c: c["before"] + c["n"]), -1), F.lit(0))
-    asked = asked.withColumn("__prior", F.when(F.size(older) > 0, prior).otherwise(F.lit(0)))
-    known = F.filter("__chunks", lambda c: c["chunk"] <= F.col("__at"))
-    spare = F.filter(known, lambda c: c["before"] <= F.col("__prior") - F.col("__need"))
-    first = F.when(F.size(spare) > 0, F.get(spare, F.size(spare) - 1)).otherwise(F.get(known, F.lit(0)))
+    index = span_index(series, by, t, hours)
+    asked = requests.withColumn("__need", need).withColumn("__at", time_chunk(ref, hours))
+    asked = _span_at(asked, index, "chunk", "__at", "__last", request_id, by, BLOCK_ROWS)
+    whole = F.when(F.col("__last.chunk") < F.col("__at"), F.col("__last.n")).otherwise(0)  # the span of the instant counts row by row
+    low = F.col("__last.before") + whole - F.greatest(F.col("__need"), F.lit(0))
+    asked = asked.withColumn("__low", low)
+    asked = _span_at(asked, index, "before", "__low", "__first", request_id, by, BLOCK_ROWS * hours)
+    # a request with less than it needs looks at all its spans; one that needs no rows at the last
+    first = F.when(F.col("__first.ordinal") > F.col("__last.ordinal"), F.col("__last")).otherwise(F.col("__first"))
     asked = asked.withColumn("__first", first)
-    spans = F.transform(
-        F.filter(known, lambda c: c["chunk"] >= F.col("__first")["chunk"]), lambda c: c["chunk"]
-    )
-    wanted = asked.withColumn("__base", F.coalesce(F.col("__first")["before"], F.lit(0))).withColumn(
-        "__chunk", F.explode_outer(spans)
-    ).drop("__chunks", "__at", "__prior", "__first")
+    spans = F.sequence(F.coalesce("__first.ordinal", F.lit(1).cast("bigint")), F.col("__last.ordinal"))
+    wanted = asked.withColumn("__base", F.coalesce("__first.before", F.lit(0))).withColumn(
+        "__ordinal", F.explode_outer(spans)
+    ).drop("__at", "__low", "__last", "__first")
+    places = index.select(by, F.col("ordinal").alias("__ordinal"), F.col("chunk").alias("__chunk"))
+    wanted = spread_join(wanted, places, [by, "__ordinal"], [request_id], "left").drop("__ordinal")
     rows = series.select(
         F.col(by).alias("__by"), time_chunk(t, hours).alias("__span"), F.col(t).alias("__t"), F.struct(*series.columns).alias("__row")
     )
@@ -203,9 +225,9 @@ def last_n_before(
     ``position`` 0 to n-1). A request with fewer rows than it needs is
     ``insufficient_rows`` and gets none.
 
-    Row counts per time span tell which spans a request can need. Only their
-    rows are joined, by equality on (station, span); few requests are
-    broadcast and the series is not shuffled at all.
+    An index of the series (``span_index``, a row for each span) tells which spans a request can need. Only
+    their rows are joined, by equality on (station, span); few requests are
+    broadcast and the series is not shuffled at all. It is read twice: for the index, and for the rows.
     """
     joined = _with_series(requests, series, n, request_id, ref, by, t, hours)
     status = joined.where(F.col("__back") == 1).select(*requests.columns, "rows_until", "status")

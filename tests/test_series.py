@@ -1,3 +1,4 @@
+import bisect
 import datetime as dt
 import math
 
@@ -142,6 +143,27 @@ def test_last_rows_before(spark, hourly, hours):
     assert rows.groupBy("request_id").count().count() == 2
 
 
+def test_last_rows_of_a_station_with_many_spans(spark):
+    """100,000 spans of one station: no row holds a list, the series is read twice, results are those of the row numbers."""
+    first = dt.datetime(2010, 1, 1)
+    hour = F.timestamp_seconds(F.unix_seconds(F.lit(first).cast("timestamp")) + F.col("id") * 3600)
+    series = spark.range(100_000).where("id % 1000 < 900").select(F.lit("a").alias("municipio"), hour.alias("data_hora"), F.col("id").cast("double").alias("temp_ar_c"))
+    at = [0, 5, 899, 950, 1000, 50_003, 99_999, 150_000]
+    asked = ask(spark, [(f"r{i}", "a", first + dt.timedelta(hours=i)) for i in at])
+    status, rows = W.last_n_before(asked, series, 7, hours=1)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Range (0, 100000") == 1  # the other reading made the index
+    assert [f.dataType.simpleString() for f in W.span_index(series, hours=1).schema] == ["string", "bigint", "bigint", "bigint", "bigint"]
+    have = [i for i in range(100_000) if i % 1000 < 900]
+    want = {f"r{i}": [float(x) for x in have[: bisect.bisect_right(have, i)][-7:]] for i in at}
+    counts = {r.request_id: (r.rows_until, r.status) for r in status.collect()}
+    assert counts == {f"r{i}": (n := bisect.bisect_right(have, i), "ok" if n >= 7 else "insufficient_rows") for i in at}
+    got = {}
+    for r in rows.orderBy("request_id", "position").collect():
+        got.setdefault(r.request_id, []).append(r.temp_ar_c)
+    assert got == {k: v for k, v in want.items() if len(v) == 7}
+
+
 def test_zero_rows_wanted_gives_none(spark, hourly):
     status, rows = W.last_n_before(ask(spark, [("r", "a", dt.datetime(2024, 1, 2))]), hourly(50), 0)
     assert rows.count() == 0 and status.first()["status"] == "insufficient_rows"
