@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N, text as X
-from ..operators import retrieval as V
+from ..operators import retrieval as V, vector_index as I
 from .registry import query
 from .views import rounded, rr, sr, table
 
@@ -151,3 +151,15 @@ def topk_similar(spark, sf):
     q = e.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
     docs = e.select(F.col("vec_id").alias("doc_id"), "embedding")
     return rounded(V.topk_similar(q, docs, 3), "distance")
+
+
+@query("""SELECT 3 * count(*) AS results, true AS recall_over_90, count(*) AS own_first FROM embeddings""")
+def topk_similar_index(spark, sf):
+    """Every vector searched in the index and exactly: recall at 3, and the vectors found first at distance 0."""
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = e.withColumnRenamed("doc_id", "query_id")
+    found = I.search_index(q, I.indexed(e, 3), 3)
+    first = found.where("rank = 1 AND distance = 0").agg(F.count(F.lit(1)).alias("own_first"))
+    return I.recall(found, V.topk_similar(q, e, 3)).select(
+        "results", (F.col("recall") >= 0.9).alias("recall_over_90"), first.scalar().alias("own_first")
+    )
