@@ -8,7 +8,7 @@ from .. import schema as S
 from ..functions import numbers as N, text as X, times as D
 from ..operators import cleaning as C, experiments as R, profiles as P, series as Q
 from ..session import shared_dir
-from ..sources import features as SF, raw, records, sinks
+from ..sources import features as SF, raw, records, sinks, streams
 from .registry import query
 from .views import FEAT, WH, WX, WX_MEASURES, features, now, rounded, rr, sr, table, wh, wx
 
@@ -220,29 +220,34 @@ def year_range(spark, sf):
     return raw.year_range(spark, 1994, 2003).join(o, "year", "left").groupBy("year").agg(F.count("o_orderkey").alias("n"))
 
 
-@query(f"""WITH {WX} SELECT '/zips/' || municipio || '.zip' AS archive, n AS name, sha256(c) AS content FROM (
+@query(f"""WITH {WX} SELECT municipio || '.zip' AS archive, n AS name, sha256(c) AS content, CAST(ceil(length(c) / 100.0) AS BIGINT) AS parts FROM (
  SELECT municipio, unnest(['data.csv', 'data_1.csv']) AS n, unnest([repeat('x' || chr(10), count(*)), repeat('xy' || chr(10), count(*))]) AS c FROM wx GROUP BY 1)""")
 def expand_archives(spark, sf):
+    """An archive for each station, read back in parts of 100 bytes."""
     import io
     import zipfile
 
     import pandas as pd
 
+    root = shared_dir(spark, "zips")
+
     def pack(batches):
         for pdf in batches:
-            blobs = []
-            for n in pdf["n"]:
+            for n, station in zip(pdf["n"], pdf["municipio"]):
                 blob = io.BytesIO()
                 with zipfile.ZipFile(blob, "w") as z:
                     z.writestr("a/data.csv", "x\n" * n)
                     z.writestr("b/data.csv", "xy\n" * n)
                     z.writestr("readme.txt", "no table")
-                blobs.append(blob.getvalue())
-            yield pd.DataFrame({"path": "/zips/" + pdf["municipio"] + ".zip", "content": blobs})
+                with streams.create_file(f"{root}/{station}.zip") as f:
+                    f.write(blob.getvalue())
+            yield pd.DataFrame({"done": pdf["n"]})
 
     sizes = wx(spark, sf).groupBy("municipio").agg(F.count(F.lit(1)).alias("n"))
-    zips = sizes.mapInPandas(pack, "path string, content binary")
-    return raw.archive_members(zips).select("archive", "name", F.sha2("content", 256).alias("content"))
+    sizes.mapInPandas(pack, "done bigint").agg(F.sum("done")).collect()
+    parts = raw.expand_archives(spark, root, 100).withColumn("archive", X.file_name("archive"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", F.decode("content", "utf-8").alias("t")))), lambda p: p["t"]), "")
+    return parts.groupBy("archive", "name").agg(F.sha2(text, 256).alias("content"), F.count(F.lit(1)).alias("parts"))
 
 
 LINKS = """l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<a\\b[^>]*\\bhref\\s*=\\s*"[^"]+"[^>]*>.*?</a\\s*>')) AS l,
@@ -299,15 +304,17 @@ def read_text_lines(spark, sf):
     return records.text_lines(table(spark, sf, "documents"), "text", ["doc_id"])
 
 
-@query("""SELECT source, CAST(sum(length(CAST(doc_id AS VARCHAR)) + 1) AS BIGINT) AS length,
-sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(10), '' ORDER BY doc_id)) AS sha256 FROM documents GROUP BY 1""")
+@query("""WITH l AS (SELECT source, doc_id, doc_id // 100 AS block, doc_id || ',' || lang || ',' || n_chars || ',' || text || chr(10) AS line FROM documents)
+SELECT source, block, CAST(sum(strlen(line)) AS BIGINT) AS length, sha256(string_agg(line, '' ORDER BY doc_id)) AS sha256 FROM l GROUP BY 1, 2""")
 def file_fingerprint(spark, sf):
-    # a text file for each source: its document numbers in order
-    root = shared_dir(spark, "numbers")
-    d = table(spark, sf, "documents").select("source", "doc_id", F.col("doc_id").cast("string").alias("value"))
-    d.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").text(root)
-    out = SF.file_fingerprint(spark, root, "*.txt")
-    return out.select(_folder(F.col("path"), "source").alias("source"), "length", "sha256")
+    """Whole rows of the documents, a file for each source and hundred ids: a hot source is many files."""
+    root = shared_dir(spark, "rows")
+    line = F.concat_ws(",", "doc_id", "lang", "n_chars", "text")
+    d = table(spark, sf, "documents").select("source", F.floor(F.col("doc_id") / 100).alias("block"), "doc_id", line.alias("value"))
+    ordered = d.repartition("source", "block").sortWithinPartitions("source", "block", "doc_id").drop("doc_id")
+    ordered.write.partitionBy("source", "block").text(root)
+    out = SF.file_fingerprint(spark, root, [".txt"])
+    return out.select(_folder(F.col("path"), "source").alias("source"), _folder(F.col("path"), "block").cast("bigint").alias("block"), "length", "sha256")
 
 
 @query("""SELECT 'src3' AS preferred, '/spec/' || source || '/' || CAST(doc_id AS VARCHAR) || '.parquet' AS path, n_chars AS length, 0 AS level

@@ -12,6 +12,7 @@ from ..operators.series import (
     add_time_idx, drop_null_rows, inf_to_null, select_available, select_required,
 )
 from .raw import _exists, list_files
+from .streams import read_digests
 
 
 def read_features(
@@ -62,13 +63,9 @@ def prepare_serving(
     return add_time_idx(drop_null_rows(inf_to_null(kept)), by, t), missing
 
 
-def file_fingerprint(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``path, length, sha256`` of files; one file is hashed by one task."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob).load(path)
-    )
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+def file_fingerprint(spark: SparkSession, path: str, suffixes: Sequence[str] = ()) -> DataFrame:
+    """``path, length, sha256`` of the files below a folder; a file streams through the hash, however large it is."""
+    return read_digests(spark, path, suffixes)
 
 
 def pick_serving_file(files: DataFrame, preferred: str | None, default: str = "salvador") -> DataFrame:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import schema as S
 from ..functions import text as X
 from ..operators.joins import spread_join
+from . import streams
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -179,50 +181,41 @@ def read_staging(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFr
     return spark.read.parquet(root)
 
 
-def expand_archives(spark: SparkSession, root: str) -> DataFrame:
-    """CSV members of every ZIP under a folder: ``archive, name, member, content``."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.{zip,ZIP}").load(root)
-    )
-    return archive_members(files)
+def expand_archives(spark: SparkSession, root: str, chunk: int = streams.CHUNK_BYTES) -> DataFrame:
+    """CSV members of the zip archives below a folder: ``archive name member part content``.
+
+    Folders inside an archive are dropped; equal names get ``_1``, ``_2``, ... A member is a
+    partition of its own and comes in parts of ``chunk`` bytes, in order, read by ranges
+    of the archive; neither needs to fit in memory. An archive without CSV fails the job.
+    """
+    return streams.read_members(spark, root, chunk)
 
 
-def archive_members(files: DataFrame) -> DataFrame:
-    """CSV members of archives given as ``path, content``.
+def extract_archives(spark: SparkSession, root: str, out: str) -> DataFrame:
+    """Write the CSV members of all archives below ``root`` into ``out``, replacing what is there: ``name length``.
 
-    Folders inside an archive are dropped; equal names get ``_1``, ``_2``, ...
-    A task passes the members on one by one. An archive without CSV fails the
-    job.
+    Each member is one task that copies part by part. Names are unique in an archive; with several archives
+    each has a folder of its own, named like it.
     """
-    import io
-    import pathlib
-    import zipfile
-
-    def members(batches: Iterator) -> Iterator:
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                taken: set[str] = set()
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for info in archive.infolist():
-                        base = pathlib.PurePosixPath(info.filename)
-                        if info.is_dir() or base.suffix.lower() != ".csv":
-                            continue
-                        name, copy = base.name, 0
-                        while name in taken:
-                            copy += 1
-                            name = f"{base.stem}_{copy}{base.suffix}"
-                        taken.add(name)
-                        yield pd.DataFrame(
-                            {"archive": [path], "name": [name], "member": [info.filename],
-                             "content": [archive.read(info)]}
-                        )
-                if not taken:
-                    raise ValueError(f"no CSV in archive {path}")
-
-    return files.select("path", "content").mapInPandas(
-        members, "archive string, name string, member string, content binary"
-    )
+    archives = len(streams.files_under(root, (".zip",)))
+    streams.clear(out)
+
+    def copy(batches: Iterator) -> Iterator:
+        sink, name, size = None, None, 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                archive, base, content = (batch.column(c)[i].as_py() for c in ("archive", "name", "content"))
+                if sink is None:
+                    folder = "" if archives == 1 else archive.rsplit("/", 1)[1].rsplit(".", 1)[0] + "/"
+                    name = folder + base
+                    sink = streams.create_file(f"{out}/{name}")
+                sink.write(content)
+                size += len(content)
+        if sink is not None:
+            sink.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([size])], names=["name", "length"])
+
+    return streams.read_members(spark, root).mapInArrow(copy, "name string, length bigint")
 
 
 def year_range(spark: SparkSession, start: int, end: int) -> DataFrame:

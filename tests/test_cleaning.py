@@ -156,6 +156,55 @@ def test_archives(spark, tmp_path):
     assert {(r["name"], bytes(r["content"])) for r in rows} == {("data.csv", b"1"), ("data_1.csv", b"22"), ("DATA.CSV", b"3")}
 
 
+def test_archives_come_in_parts(spark, tmp_path):
+    data = bytes(range(256)) * 40
+    make_zip(tmp_path / "one.zip", [("big.csv", data), ("none.csv", b"")])
+    rows = raw.expand_archives(spark, str(tmp_path), chunk=1000).orderBy("name", "part").collect()
+    assert b"".join(bytes(r.content) for r in rows if r.name == "big.csv") == data
+    assert [(r.name, r.part, len(r.content)) for r in rows[-2:]] == [("big.csv", 10, 240), ("none.csv", 0, 0)]
+    out = tmp_path / "out"
+    out.mkdir()
+    (out / "old.csv").write_text("old")
+    assert sorted(tuple(r) for r in raw.extract_archives(spark, str(tmp_path), str(out)).collect()) == [("big.csv", 10240), ("none.csv", 0)]
+    assert sorted(p.name for p in out.iterdir()) == ["big.csv", "none.csv"] and (out / "big.csv").read_bytes() == data
+
+
+def test_an_archive_over_two_gigabytes(tmp_path):
+    """A sparse file, the archive at its end; the reader opens ranges of it and stays small."""
+    import tracemalloc
+
+    from stationflow.sources import streams
+
+    path = tmp_path / "large.zip"
+    with open(path, "wb") as f:
+        f.truncate((2 << 30) + 12345)
+    with zipfile.ZipFile(path, "a", zipfile.ZIP_DEFLATED) as z, z.open("a/data.csv", "w") as member:
+        for _ in range(64):
+            member.write(b"1,2\n" * (1 << 18))
+    assert path.stat().st_size > 2 << 30
+    reader = streams.MembersReader(str(tmp_path), 1 << 20)
+    tracemalloc.start()
+    (partition,) = reader.partitions()
+    size = sum(len(b.column("content")[0].as_py()) for b in reader.read(partition))
+    assert size == 64 << 20 and tracemalloc.get_traced_memory()[1] < 32 << 20
+    tracemalloc.stop()
+
+
+def test_digests_of_files(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "d").mkdir()
+    files = {"a.txt": b"", "d/b.txt": b"x" * 100_000, "d/_SUCCESS": b"", ".c.txt": b"hidden", "e.csv": b"1"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    from stationflow.sources import features, streams
+
+    got = {r.path.removeprefix(str(tmp_path) + "/"): (r.length, r.sha256) for r in features.file_fingerprint(spark, str(tmp_path), [".txt"]).collect()}
+    assert got == {n: (len(files[n]), hashlib.sha256(files[n]).hexdigest()) for n in ("a.txt", "d/b.txt")}
+    assert len(streams.DigestReader(str(tmp_path), [], 1000, 50_000).partitions()) == 2
+    assert features.file_fingerprint(spark, str(tmp_path / "d"), [".none"]).count() == 0
+
+
 def test_archive_without_tables_fails(spark, tmp_path):
     make_zip(tmp_path / "two.zip", [("readme.txt", "x")])
     with pytest.raises(Exception, match="no CSV"):
