@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schema as S
 from ..functions import numbers as N, times as D
+from ..session import shared_dir
+from . import gram
 from .joins import spread_join
 from .scaling import inverse_scaler
 from .windows import last_n_before, last_n_stats
@@ -238,38 +240,21 @@ def fit_per_station(
 ) -> DataFrame:
     """A ridge model per (station, penalty), scored on validation rows.
 
-    The normal equations are sums, so Spark adds them up in partial
+    The rows are written once and meet their targets from there. The normal
+    equations are sums (``gram``), so Spark adds them up in partial
     aggregates and only one small matrix per station is solved in a task.
     Returns metrics with ``is_best`` for the lowest validation loss.
     """
-    import numpy as np
-    import pandas as pd
-
     names = list(features)
-    ahead = split_df.select(
-        by, "split", (F.col("split_idx") - horizon).alias("split_idx"), F.col(target).alias("__y")
-    )
-    pairs = split_df.select(by, "split", "split_idx", *names).join(ahead, [by, "split", "split_idx"])
+    path = shared_dir(split_df.sparkSession, "split")
+    small = split_df.select(by, "split", "split_idx", *dict.fromkeys([*names, target]))
+    small.write.parquet(path)
+    small = split_df.sparkSession.read.schema(small.schema).parquet(path).where("split IN ('train', 'val')")
+    ahead = small.select(by, "split", (F.col("split_idx") - horizon).alias("split_idx"), F.col(target).alias("__y"))
+    pairs = small.select(by, "split", "split_idx", *names).join(ahead, [by, "split", "split_idx"])
+    sums = gram.gram_sums(pairs.where("split = 'train'"), [by], names, "__y")
+    models = gram.solved(sums, len(names), penalties).select(by, "penalty", "weights")
     x = [F.lit(1.0)] + [F.col(c).cast("double") for c in names]
-    size = len(x)
-    gram = [F.sum(x[i] * x[j]) for i in range(size) for j in range(size)]
-    moments = [F.sum(x[i] * F.col("__y")) for i in range(size)]
-    sums = pairs.where(F.col("split") == "train").groupBy(by).agg(
-        F.array(*gram).alias("gram"), F.array(*moments).alias("moment")
-    )
-    grid = sums.withColumn("penalty", F.explode(F.array(*[F.lit(float(p)) for p in penalties])))
-
-    def solve(batches):
-        for pdf in batches:
-            weights = []
-            for g, m, p in zip(pdf["gram"], pdf["moment"], pdf["penalty"]):
-                ridge = np.eye(size) * p
-                ridge[0, 0] = 0.0
-                a = np.asarray(g, dtype=float).reshape(size, size) + ridge
-                weights.append(list(np.linalg.lstsq(a, np.asarray(m, dtype=float), rcond=None)[0]))
-            yield pd.DataFrame({by: pdf[by], "penalty": pdf["penalty"], "weights": weights})
-
-    models = grid.mapInPandas(solve, f"{by} string, penalty double, weights array<double>")
     val = pairs.where(F.col("split") == "val").select(by, F.array(*x).alias("__x"), "__y")
     scored = spread_join(val, models, [by], ["__y", "__x"]).withColumn("__p", N.dot("__x", "weights"))
     diff = F.col("__p") - F.col("__y")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import numbers as N, text as X, times as D
-from ..operators import accuracy as A, experiments as R, forecast as C, series as Q, service as M, windows as W
+from ..operators import accuracy as A, experiments as R, forecast as C, gram as G, series as Q, service as M, windows as W
+from ..session import shared_dir
 from . import views as V
 from .registry import query
 from .views import (
@@ -150,7 +151,6 @@ def with_forecast_sums(log):
 @query(f"""WITH {POINTS} SELECT request_id AS id, 'tft_' || CAST(horizon AS VARCHAR) AS model_key, '1' AS model_version,
 municipio AS group_id, reference_date, horizon, TIMESTAMP '{NOW}' AS predicted_at, {FORECAST_SUMS} FROM rq""")
 def append_predictions(spark, sf):
-    from ..session import shared_dir
     from ..sources import sinks
 
     path = shared_dir(spark, "prediction-log")
@@ -361,27 +361,78 @@ def coalesce_metric(spark, sf):
     return R.coalesce_metric(o.select("o_orderkey", m.alias("metrics")), skip_nan=True).drop("metrics")
 
 
-@query(f"""WITH {SPLIT} SELECT municipio, data_hora, true AS close FROM spx WHERE split = 'test' AND split_idx >= 24""")
+@query(f"""WITH {SPLIT}, p AS (SELECT municipio, data_hora, temp_ar_c AS actual, lag(temp_ar_c, 3) OVER (PARTITION BY municipio ORDER BY split_idx) AS predicted, split_idx
+ FROM spx WHERE split = 'test') SELECT municipio, data_hora, true AS actual_close, true AS predicted_close, {sr('avg(abs(actual - predicted)) OVER (PARTITION BY municipio) AS station_mae', digits=2)} FROM p WHERE split_idx >= 26""")
 def evaluate_horizon_step(spark, sf):
+    """Third step of a forecast that repeats the last hour seen, beside what came, in the units of the series."""
     from ..operators import scaling
 
     cols = ["municipio", "data_hora", "temp_ar_c"]
-    split = Q.temporal_split(wx(spark, sf).select(*cols))
+    path = shared_dir(spark, "split")
+    Q.temporal_split(wx(spark, sf).select(*cols)).where("split <> 'val'").write.parquet(path)
+    split = spark.read.parquet(path)
     stats = scaling.fit_scaler(split.where("split = 'train'"), ["temp_ar_c"])
-    scaled = scaling.apply_scaler(split, stats, ["temp_ar_c"])
-    samples = W.make_windows(scaled.where("split = 'test'"), ["temp_ar_c"], ["temp_ar_c"], 24, 1)
-    out = C.evaluate_step(samples.withColumn("y_pred", F.col("y")), 0, 0, ["temp_ar_c"], stats)
-    rows = split.where("split = 'test'").withColumn("start_idx", F.col("split_idx") - 24).drop("split_idx")
-    joined = out.join(rows, ["municipio", "start_idx"])
+    scaled = scaling.apply_scaler(split.where("split = 'test'"), stats, ["temp_ar_c"])
+    samples = W.make_windows(scaled, ["temp_ar_c"], ["temp_ar_c"], 24, 3)
+    forecast = samples.withColumn("y_pred", F.array_repeat(F.element_at("x", -1), 3))
+    out = C.evaluate_step(forecast, 2, 0, ["temp_ar_c"], stats)
+    rows = split.where("split = 'test'").select("municipio", "data_hora", "temp_ar_c", (F.col("split_idx") - 26).alias("start_idx"))
+    last = split.where("split = 'test'").select("municipio", F.col("temp_ar_c").alias("last"), (F.col("split_idx") - 23).alias("start_idx"))
+    joined = out.join(rows, ["municipio", "start_idx"]).join(last, ["municipio", "start_idx"])
     # samples are single precision
-    close = (F.abs(F.col("actual") - F.col("temp_ar_c")) < 0.001) & (F.col("actual") == F.col("predicted"))
-    return joined.select("municipio", "data_hora", close.alias("close"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 0.001
+    errors = N.error_columns(F.col("predicted"), F.col("actual"))
+    whole = out.groupBy("municipio").agg(*errors).select("municipio", rr("mae", 2).alias("station_mae"))
+    return joined.join(whole, "municipio").select(
+        "municipio", "data_hora", near("actual", "temp_ar_c").alias("actual_close"), near("predicted", "last").alias("predicted_close"), "station_mae",
+    )
+
 
+_CENTRED = """s11 - s1 * s1 / n + pen AS c11, s12 - s1 * s2 / n AS c12, s22 - s2 * s2 / n + pen AS c22, s1y - s1 * sy / n AS c1y, s2y - s2 * sy / n AS c2y"""
+_SLOPES = """(c1y * c22 - c2y * c12) / (c11 * c22 - c12 * c12) AS b1, (c2y * c11 - c1y * c12) / (c11 * c22 - c12 * c12) AS b2"""
+_SUMS = """count(*)::DOUBLE AS n, sum(x1) AS s1, sum(x2) AS s2, sum(y) AS sy, sum(x1 * x1) AS s11, sum(x1 * x2) AS s12, sum(x2 * x2) AS s22,
+ sum(x1 * y) AS s1y, sum(x2 * y) AS s2y, sum(y * y) AS syy"""
 
-@query()
+
+@query(f"""WITH {SPLIT}, p AS (SELECT municipio, split, a.temp_ar_c AS x1, a.precipitacao_total_mm AS x2, b.temp_ar_c AS y
+ FROM spx a JOIN spx b USING (municipio, split) WHERE b.split_idx = a.split_idx + 1),
+g AS (SELECT municipio, {_SUMS} FROM p WHERE split = 'train' GROUP BY 1), r AS (SELECT *, unnest([0.0::DOUBLE, 1.0, 10.0]) AS pen FROM g),
+c AS (SELECT *, {_CENTRED} FROM r), w AS (SELECT *, {_SLOPES} FROM c),
+v AS (SELECT w.municipio, pen AS penalty, y, (sy - b1 * s1 - b2 * s2) / n + b1 * x1 + b2 * x2 AS f FROM w JOIN p USING (municipio) WHERE split = 'val'),
+m AS (SELECT municipio, penalty, avg((f - y) * (f - y)) AS val_loss, avg(abs(f - y)) AS mae, avg(abs(f - y) / greatest(abs(y), 1e-6)) * 100 AS mape_pct FROM v GROUP BY 1, 2)
+SELECT municipio, penalty, {sr('val_loss', 'mae', 'sqrt(val_loss) AS rmse', 'mape_pct')},
+ row_number() OVER (PARTITION BY municipio ORDER BY val_loss, penalty) = 1 AS is_best FROM m""")
 def fit_per_station(spark, sf):
-    split = Q.temporal_split(wx(spark, sf).select("municipio", "data_hora", "temp_ar_c", "pressao_atm_estacao_mb", "precipitacao_total_mm"))
-    return C.fit_per_station(split, ["temp_ar_c", "precipitacao_total_mm"])
+    split = Q.temporal_split(wx(spark, sf).select("municipio", "data_hora", "temp_ar_c", "precipitacao_total_mm"))
+    return rounded(C.fit_per_station(split, ["temp_ar_c", "precipitacao_total_mm"]), "val_loss", "mae", "rmse", "mape_pct")
+
+
+@query(f"""WITH {WX}, p AS (SELECT municipio, CAST(data_hora AS DATE) AS day, temp_ar_c AS y, lag(temp_ar_c) OVER w AS x1, lag(precipitacao_total_mm) OVER w AS x2
+ FROM wx WINDOW w AS (PARTITION BY municipio ORDER BY data_hora)), q AS (SELECT * FROM p WHERE x1 IS NOT NULL),
+d AS (SELECT DISTINCT municipio, day FROM q),
+g AS (SELECT d.municipio, d.day, {_SUMS} FROM d JOIN q ON q.municipio = d.municipio AND q.day BETWEEN d.day - 6 AND d.day GROUP BY 1, 2),
+r AS (SELECT *, unnest([0.0::DOUBLE, 10.0]) AS pen FROM g), c AS (SELECT *, {_CENTRED} FROM r), w AS (SELECT *, {_SLOPES} FROM c),
+m AS (SELECT *, (sy - b1 * s1 - b2 * s2) / n AS b0 FROM w)
+SELECT m.municipio, m.day, pen AS penalty, CAST(any_value(n) AS BIGINT) AS n, {sr('any_value(b0) AS intercept', 'any_value(b1) AS of_temp', 'any_value(b2) AS of_rain', digits=5)},
+ {sr('avg((b0 + b1 * x1 + b2 * x2 - y) * (b0 + b1 * x1 + b2 * x2 - y)) AS next_day_mse', digits=4)}
+FROM m JOIN q ON q.municipio = m.municipio AND q.day = m.day + 1 GROUP BY 1, 2, 3""")
+def rolling_refit(spark, sf):
+    """Models of the last seven days on each day, measured on the next; the rows are read once, for the sums by day."""
+    lagged = Q.add_series_features(
+        wx(spark, sf).select("municipio", "data_hora", "temp_ar_c", "precipitacao_total_mm"),
+        lags={"x1": ("temp_ar_c", 1), "x2": ("precipitacao_total_mm", 1)},
+    ).withColumn("day", F.to_date("data_hora"))
+    path = shared_dir(spark, "gram")
+    G.gram_sums(lagged, ["municipio", "day"], ["x1", "x2"], "temp_ar_c").write.parquet(path)
+    sums = spark.read.parquet(path)
+    models = G.solved(G.rolling(sums, 7, 2), 2, (0.0, 10.0))
+    after = sums.select("municipio", F.date_sub("day", 1).alias("day"), *[F.col(n).alias(f"next_{n}") for n in G.names(2)])
+    found = models.join(after, ["municipio", "day"]).select(
+        "municipio", "day", "penalty", F.col("g0_0").cast("bigint").alias("n"),
+        *[F.get("weights", F.lit(i)).alias(c) for i, c in enumerate(("intercept", "of_temp", "of_rain"))],
+        G.squared_error(2, prefix="next_").alias("next_day_mse"),
+    )
+    return rounded(rounded(found, "intercept", "of_temp", "of_rain", digits=5), "next_day_mse", digits=4)
 
 
 # --- service metrics ----------------------------------------------------------------------
