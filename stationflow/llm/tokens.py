@@ -1,7 +1,7 @@
 """Token ids: encoding with a public tokenizer, and ids as Parquet list columns.
 
-Null texts count as empty. Rows that repeat a ``doc_id`` are all kept and
-ordered by text; null ids come first. Other columns of the input are ignored,
+Null texts count as empty. Rows that repeat a ``doc_id`` are all kept, in the order of
+their text's digest; null ids come first. Other columns of the input are ignored,
 whatever their names are. An empty table gives an empty result.
 """
 
@@ -11,7 +11,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from stationflow.session import shared_dir
 
-from .common import gather_ranges, slices, small_batches, staged
+from .common import gather_ranges, slices, small_batches, staged, text_key
 
 END_ID = 0
 SLICE_CHARS = 500_000
@@ -49,58 +48,93 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Memo(dict):
+    """Number of each piece; an unseen one gets the next and is noted as new."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Encoder:
     """Encodes batches of texts; ids equal the tokenizer's own for the whole text.
 
     The tokenizer cuts a text into pieces and encodes each alone, so ids of
-    pieces seen before are kept (at most ``memo_words`` of them, then the memory
-    starts anew) and new pieces go through the tokenizer's model.
+    pieces seen before are kept and new pieces go through the tokenizer's model. Over ``memo_words``
+    pieces, those that came most often stay, half of that at the most. Texts that spell a token of the vocabulary's own,
+    such as ``<|endoftext|>``, go through the tokenizer whole, as do texts with unusual characters.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        self.own = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = _byte_letters()
         self.memo_words = memo_words
-        self._forget()
-
-    def _forget(self) -> None:
-        self.memo: dict[str, int] = {}
+        self.memo = _Memo()
         self.ids = np.empty(1 << 16, dtype=np.int32)
         self.used = 0
         self.starts = np.empty(1 << 15, dtype=np.int64)
         self.lengths = np.empty(1 << 15, dtype=np.int64)
+        self.seen = np.zeros(1 << 15, dtype=np.int64)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode new pieces; none of them holds a zero byte."""
+    def _forget(self) -> None:
+        """Keep the pieces that came most often, twice at the least."""
+        n = len(self.memo)
+        often = np.argsort(-self.seen[:n], kind="stable")[: self.memo_words // 2]
+        often = np.sort(often[self.seen[often] > 1])
+        pieces = list(self.memo)
+        self.memo = _Memo()
+        self.memo.update(zip([pieces[i] for i in often.tolist()], range(len(often))))
+        lengths = self.lengths[often]
+        ids = self.ids[gather_ranges(self.starts[often], lengths)]
+        self.used = len(ids)
+        self.ids[: self.used] = ids
+        self.starts[: len(often)] = np.cumsum(lengths) - lengths
+        self.lengths[: len(often)] = lengths
+        self.seen[:] = 0
+
+    def _learn(self, pieces: list[str], k: int) -> None:
+        """Encode new pieces, numbered from ``k`` on; none of them holds a zero byte."""
         spelt = "\x00".join(pieces).encode().decode("latin1").translate(self.letters).split(self.letters[0])
         tokenize = self.model.tokenize
-        found = [[x.id for x in tokenize(s)] for s in spelt]
-        lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        k, n, size = len(self.memo), len(found), int(lengths.sum())
+        flat: list[int] = []
+        ends = []
+        for s in spelt:
+            flat += [x.id for x in tokenize(s)]
+            ends.append(len(flat))
+        lengths = np.diff(np.array(ends), prepend=0)
+        n, size = len(ends), len(flat)
         if self.used + size > len(self.ids):
             self.ids = np.resize(self.ids, max(self.used + size, 2 * len(self.ids)))
         if k + n > len(self.starts):
             more = max(k + n, 2 * len(self.starts))
             self.starts, self.lengths = np.resize(self.starts, more), np.resize(self.lengths, more)
-        self.ids[self.used : self.used + size] = np.fromiter(chain.from_iterable(found), dtype=np.int32, count=size)
+            self.seen = np.concatenate([self.seen, np.zeros(more - len(self.seen), dtype=np.int64)])
+        self.ids[self.used : self.used + size] = flat
         self.starts[k : k + n] = self.used + np.cumsum(lengths) - lengths
         self.lengths[k : k + n] = lengths
         self.used += size
-        self.memo.update(zip(pieces, range(k, k + n)))
 
     def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces, and how many each has."""
         if len(self.memo) > self.memo_words:
             self._forget()
         memo = self.memo
-        new = list(set(pieces).difference(memo))
-        if new:
-            self._learn(new)
+        known = len(memo)
         at = np.fromiter(map(memo.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        if memo.new:
+            self._learn(memo.new, known)
+            memo.new = []
+        came = np.bincount(at)
+        self.seen[: len(came)] += came
         lengths = self.lengths[at]
         return self.ids[gather_ranges(self.starts[at], lengths)], lengths
 
@@ -112,7 +146,7 @@ class Encoder:
             bounds = [0]
             todo = []
             for i in range(lo, hi):
-                if _UNUSUAL.search(texts[i]):
+                if _UNUSUAL.search(texts[i]) or any(t in texts[i] for t in self.own):
                     self._flush(run, bounds, todo, counts, parts)
                     ids = self.tokenizer.encode(texts[i], add_special_tokens=False).ids
                     counts[i] = len(ids)
@@ -149,6 +183,16 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int = END_ID) -> tuple
     return out, full
 
 
+def _with_ids(encoder: Encoder, batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.ListArray]]:
+    """Parts of a batch with the number of ids of each row (the end id included), and the ids."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
+    for lo, hi in slices(sizes.tolist(), SLICE_CHARS):
+        part = batch.slice(lo, hi - lo)
+        ids, counts = with_end(*encoder.encode([t or "" for t in part.column(text).to_pylist()]))
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        yield part, counts, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
+
+
 def encoded(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Replace the ``text`` column by ``ids`` (the end id included) and ``n_tokens``, row by row."""
     kept = [c for c in rows.columns if c != text]
@@ -157,15 +201,9 @@ def encoded(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(path)
         for batch in batches:
-            sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
-            for lo, hi in slices(sizes.tolist(), SLICE_CHARS):
-                part = batch.slice(lo, hi - lo)
-                ids, counts = with_end(*encoder.encode([t or "" for t in part.column(text).to_pylist()]))
-                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+            for part, counts, ids in _with_ids(encoder, batch, text):
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(c) for c in kept]
-                    + [pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))],
-                    names=[*kept, "n_tokens", "ids"],
+                    [*(part.column(c) for c in kept), pa.array(counts), ids], names=[*kept, "n_tokens", "ids"]
                 )
 
     return rows.mapInArrow(run, schema)
@@ -178,32 +216,36 @@ def write_token_table(
     """Write documents as token ids, in ascending ``doc_id`` order.
 
     Files follow the order of ids, and so do rows in them: file ``shard`` 0 has
-    the smallest ids. ``ids`` is a dictionary-encoded list column, the columns
+    the smallest ids. Rows without an id or of one id are dealt out by their text's digest and, where
+    that is the same, by a number of the row, and are in this order. ``ids`` is a dictionary-encoded list column, the columns
     beside it (``doc_id n_tokens before shard``) are delta-encoded; page
     indexes let a reader of a few ids skip pages, and a reader of metadata
     skips the id column. ``before`` counts the ids of earlier rows in the file.
     """
     path = path or tokenizer_path()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows that are wholly alike may change places, so their numbers need not be the same in a repeated task
+    order = ["doc_id", "key", "copy"]
+    keyed = rows.withColumns({"key": text_key(F.col("text")), "copy": F.monotonically_increasing_id()})
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("key", "copy")
     schema = "doc_id long, n_tokens long, before long, shard int, ids array<int>"
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, before = TaskContext.get().partitionId(), 0
+        encoder, shard, before = shared_encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            counts = batch.column("n_tokens").to_numpy()
-            starts = before + np.cumsum(counts) - counts
-            before += int(counts.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("n_tokens"), pa.array(starts.astype(np.int64)),
-                 pa.array(np.full(len(counts), shard, dtype=np.int32)), batch.column("ids")],
-                names=["doc_id", "n_tokens", "before", "shard", "ids"],
-            )
+            for part, counts, ids in _with_ids(encoder, batch, "text"):
+                starts = before + np.cumsum(counts) - counts
+                before += int(counts.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(counts), pa.array(starts.astype(np.int64)),
+                     pa.array(np.full(len(counts), shard, dtype=np.int32)), ids],
+                    names=["doc_id", "n_tokens", "before", "shard", "ids"],
+                )
 
     (
-        encoded(ordered, path).mapInArrow(place, schema).write
+        ordered.mapInArrow(run, schema).write
         .option("parquet.writer.version", "v2").option("parquet.block.size", row_group_bytes)
         .option("parquet.page.size", page_bytes).option("parquet.page.row.count.limit", page_rows)
         .option("parquet.enable.dictionary", "false").option("parquet.enable.dictionary#ids.list.element", "true")

@@ -3,9 +3,11 @@ from functools import lru_cache
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stationflow.llm import packing, queries, tokens
+from stationflow.llm.common import text_key
 
 from .helpers import SF, documents, plain
 
@@ -17,9 +19,7 @@ ODD = [
 
 @lru_cache
 def tokenizer():
-    t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.tokenizer_path())
 
 
 def whole(text):
@@ -42,7 +42,8 @@ def test_encoder_equals_tokenizer(spark, memo):
 def test_token_table(spark):
     got = plain(tokens.token_table(documents(spark, ODD)))
     want, start = [], 0
-    for doc_id, text in sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    keyed = documents(spark, ODD).select("doc_id", "text", text_key(F.col("text")).alias("k")).collect()
+    for doc_id, text, _ in sorted(keyed, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
         ids = whole(text)
         want.append((doc_id, start, len(ids), crc(ids)))
         start += len(ids)
