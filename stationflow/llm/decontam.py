@@ -3,7 +3,7 @@
 Words are runs of letters, digits and characters from U+0080 on, A-Z in lower
 case. Null and empty texts have no words, are never hit and hit nothing.
 Rows that repeat a ``doc_id`` are judged one by one, repeated items count once by
-id (a null id counts nowhere). Extra columns are ignored, whatever their
+id (an item without one hits words, but is none of the items counted). Extra columns are ignored, whatever their
 names are. Empty tables give an empty result, or documents without hits.
 """
 
@@ -93,7 +93,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     spark = docs.sparkSession
     tests = items.select(
         F.col("item_id").cast("string").alias("item_id"), words(F.col("text").cast("string")).alias("w")
-    ).where("size(w) > 0 AND item_id IS NOT NULL").withColumn("m", F.least(F.size("w"), F.lit(window)))
+    ).where("size(w) > 0").withColumn("m", F.least(F.size("w"), F.lit(window)))
     tests = staged(tests, "items")
     lengths = sorted(r.m for r in tests.select("m").distinct().collect())
     spelt = F.transform(
@@ -162,13 +162,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     )["n"]
     hit_words = found.groupBy("doc_id", "key").agg(covered.alias("n_hit"))
     hit_items = (
-        found.select("doc_id", "key", "m", "span").distinct().join(windows, ["m", "span"])
+        found.select("doc_id", "key", "m", "span").distinct().join(windows.where("item_id IS NOT NULL"), ["m", "span"])
         .select("doc_id", "key", "item_id").distinct()
         .groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
         .select("doc_id", "key", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
     )
     result = staged(hit_words.alias("a").join(
-        hit_items.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))
+        hit_items.alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")), "left"
     ).select("a.*", "n_items", "items_sha256"), "result")
     rows = index.where(F.col("m") == lengths[0]).select("doc_id", "key", "n_words").alias("d")
     return rows.join(
@@ -201,7 +201,7 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS p FROM hit) GROUP BY doc_id
 ), i AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256
-  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

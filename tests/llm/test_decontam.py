@@ -25,7 +25,7 @@ def brute(docs, items):
     windows = {}
     for item, text in items:
         w = words(text)
-        if item is not None and w:
+        if w:
             m = min(10, len(w))
             for i in range(len(w) - m + 1):
                 windows.setdefault(tuple(w[i : i + m]), set()).add(item)
@@ -36,7 +36,7 @@ def brute(docs, items):
             for i in range(len(w) - m + 1):
                 if tuple(w[i : i + m]) in windows:
                     hit.update(range(i, i + m))
-                    found |= windows[tuple(w[i : i + m])]
+                    found |= windows[tuple(w[i : i + m])] - {None}
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc_id, len(w), len(hit), len(found), digest, bool(hit)))
     return sorted(out, key=str)
@@ -62,3 +62,15 @@ def test_empty_tables(spark):
 def test_every_place_of_a_window_is_found(spark):
     docs = [(i, " ".join(["z"] * i + PASSAGE[i : i + 10] + ["z"] * (20 - i))) for i in range(16)]
     assert run(spark, docs, [("a", " ".join(PASSAGE))]) == brute(docs, [("a", " ".join(PASSAGE))])
+
+
+def test_items_without_id_hit_words(spark):
+    passage = "one two three four five six seven eight nine ten"
+    docs = documents(spark, [(1, f"x {passage} y"), (2, "none of it"), (3, f"{passage} eleven")])
+    items = spark.createDataFrame([(None, passage), (7, passage + " eleven")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontam.decontaminate(docs, items).collect()}
+    assert got == {1: (10, 1, True), 2: (0, 0, False), 3: (11, 1, True)}
+    alone = spark.createDataFrame([(None, passage)], "item_id long, text string")
+    row = {r.doc_id: r for r in decontam.decontaminate(docs, alone).collect()}[1]
+    assert (row.n_hit, row.n_items, row.contaminated) == (10, 0, True)
+    assert row.items_sha256 == hashlib.sha256(b"").hexdigest()
