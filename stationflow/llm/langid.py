@@ -28,6 +28,11 @@ _LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; fractions, superscripts and number signs are none."""
+    return any(m.group().isalpha() for m in _LETTER.finditer(text))
+
+
 def letters(text: str) -> bytes:
     """What is compressed: the whole text in lower case, what lies between letters as one space."""
     return _OTHER.sub(" ", text.lower()).encode("utf-8", "replace")
@@ -48,20 +53,20 @@ def coders(dictionaries: dict[str, bytes], level: int) -> list:
 def learn(labelled: DataFrame, docs: int = DICT_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Dictionaries by language, from ``lang`` and ``text``.
 
-    At most ``docs`` texts a language, drawn by a hash, of at most
-    ``DICT_TEXT_CHARS`` characters each, go to the driver, and ``dict_bytes``
-    of them into the dictionary. The counts that set the drawing rate cover
-    all rows.
+    At most ``docs`` different texts a language, of all lengths, are drawn by a hash of the
+    text, so the layout of the data makes no difference. Of a drawn text at most
+    ``DICT_TEXT_CHARS`` characters go to the driver, and ``dict_bytes`` of them all
+    into the dictionary. The counts that set the drawing rate cover all rows.
     """
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
-        F.col("lang").isNotNull() & F.length("text").between(1, DICT_TEXT_CHARS)
+        F.col("lang").isNotNull() & (F.length("text") > 0)
     )
-    rows = rows.withColumn("h", F.xxhash64(F.monotonically_increasing_id(), "text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language, as in the result
     rate = F.lit(0.0)
     for r in counts:
-        rate = F.when(F.col("lang") == r.lang, (1 << 20) * 1.5 * docs / r.n + 1).otherwise(rate)
-    few = rows.where(F.pmod("h", F.lit(1 << 20)) < rate)
+        rate = F.when(F.col("lang") == r.lang, (1 << 20) * 3.0 * docs / r.n + 1).otherwise(rate)
+    few = rows.where(F.pmod("h", F.lit(1 << 20)) < rate).withColumn("text", F.left("text", F.lit(DICT_TEXT_CHARS))).dropDuplicates(["lang", "h", "text"])
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))
     found: dict[str, list[str]] = {}
     for r in few.withColumn("r", rank).where(F.col("r") <= docs).orderBy("lang", "r").select("lang", "text").collect():
@@ -94,7 +99,7 @@ def judge(text: Column, dictionaries: dict[str, bytes], margin: float = MARGIN)
         for texts in batches:
             names, scores, rejects = [], [], []
             for t in texts:
-                if not langs or t is None or not _LETTER.search(t):
+                if not langs or t is None or not has_letter(t):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     rejects.append(True)

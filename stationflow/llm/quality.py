@@ -149,8 +149,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Mode
     """Fit on a bounded sample of labelled rows: ``labels`` has ``doc_id`` and ``quality`` (0 or 1).
 
     About ``sample`` labels, drawn by a hash of their ids at a rate set by the
-    count of all of them, meet their documents; texts over
-    ``SAMPLE_TEXT_CHARS`` characters take no part in learning.
+    count of all of them, meet their documents. Of a drawn text the first
+    ``SAMPLE_TEXT_CHARS`` characters are learned from; scores see whole texts.
     """
     marks = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(
         F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)
@@ -159,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS) -> Mode
     few = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(1, n))))
     rows = (
         docs.select("doc_id", F.col("text").cast("string").alias("text"))
-        .where(F.length("text").between(1, SAMPLE_TEXT_CHARS)).join(few, "doc_id")
+        .where(F.length("text") > 0).join(few, "doc_id").withColumn("text", F.left("text", F.lit(SAMPLE_TEXT_CHARS)))
         .orderBy(F.xxhash64("doc_id"), "text").limit(2 * sample).select("text", "quality").collect()
     )
     return train([r.text for r in rows], [r.quality for r in rows])

@@ -34,6 +34,21 @@ def test_language_odd_rows(spark):
     assert {r.f.lang_pred for r in unknown.collect()} == {"und"}
 
 
+def test_what_is_no_letter():
+    assert not any(langid.has_letter(t) for t in ("", "12", "\u00bd \u00b2", "\u2460 \u2167", "_ ."))
+    assert all(langid.has_letter(t) for t in ("a", "1\u00e9", "\u6f22", "\u00bd x"))
+
+
+def test_long_texts_and_layouts_are_learned_from(spark):
+    """A language of long texts only has a dictionary, and the drawing does not depend on how rows are dealt out."""
+    long = [(i, (ENGLISH if i % 2 else FRENCH) + " " + "z" * 25_000 + str(i)) for i in range(40)]
+    docs = documents(spark, long, ["en" if i % 2 else "fr" for i in range(40)])
+    one, other = langid.learn(docs.coalesce(1)), langid.learn(docs.repartition(7))
+    assert set(one) == {"en", "fr"} and one == other
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert (quality.learn(docs, labels).weights != 0).any()
+
+
 def test_quality_query(spark):
     rows = queries.QUERIES["op2_quality"](spark, SF).collect()
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
