@@ -28,7 +28,7 @@ DEEP_RATE = 3.0
 DENSE = 0.25
 SMALL = 1_000
 MERGED = 64
-SPREAD_CELLS = 1 << 20
+SPREAD_CELLS = 1 << 18
 
 
 def runs_needed(threshold: float = THRESHOLD, target: float = TARGET_RECALL, levels: int = FIRST_LEVELS) -> int:
@@ -102,12 +102,18 @@ def _features(runs: int, threshold: float):
 
 
 def _with_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (``cid``, ``rep`` and more) with the sets of its classes, from the text of one document each."""
+    """``wanted`` (``cid``, ``rep`` and more) with the sets of its classes, from the text of one document each.
+
+    Rows that repeat this document whole come once from each task.
+    """
     kept = [c for c in wanted.columns if c != "rep"]
     schema = wanted.select(*kept).selectExpr("*", "array(0L) tokens").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
+            first = [c not in seen and not seen.add(c) for c in batch.column("cid").to_pylist()]
+            batch = batch.filter(pa.array(first, pa.bool_()))
             sets = list(shingle_sets(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), _lists(sets)], names=[*kept, "tokens"])
 
@@ -173,6 +179,24 @@ def _least_linked(m: int, i: np.ndarray, j: np.ndarray, cids: np.ndarray) -> np.
         low = new
 
 
+def _met_before(earlier: list[list[int]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair, whether its members share one of their ``earlier`` groups."""
+    sizes = [len(e) for e in earlier]
+    if not sum(sizes):
+        return np.zeros(len(i), dtype=bool)
+    member = np.repeat(np.arange(len(earlier)), sizes)
+    _, column, often = np.unique(np.array([x for e in earlier for x in e], dtype=np.int64), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    member, column = member[shared], np.unique(column[shared], return_inverse=True)[1]
+    met = np.zeros((len(earlier), len(earlier)), dtype=np.float32)
+    for lo in range(0, int(column.max(initial=-1)) + 1, 2048):
+        here = (column >= lo) & (column < lo + 2048)
+        part = np.zeros((len(earlier), 2048), dtype=np.float32)
+        part[member[here], column[here] - lo] = 1
+        met += part @ part.T
+    return met[i, j] > 0
+
+
 def _compare(threshold: float):
     """Compares the members of each group, one group at a time; a link counts in the first group that both share."""
 
@@ -187,14 +211,13 @@ def _compare(threshold: float):
             return
         cids = np.array([r[0] for r in rows])
         low = _least_linked(len(rows), i, j, cids)
-        earlier = [frozenset(x for x in r[3] if x < g) for r in rows]
-        links = [0] * len(rows)
-        for a, b in zip(i.tolist(), j.tolist()):
-            if earlier[a].isdisjoint(earlier[b]):
-                links[a] += rows[b][1]
-                links[b] += rows[a][1]
-        for k in sorted(set(i.tolist()) | set(j.tolist())):
-            yield int(cids[k]), links[k], int(low[k])
+        weights = np.array([r[1] for r in rows], dtype=np.int64)
+        fresh = ~_met_before([[x for x in r[3] if x < g] for r in rows], i, j)
+        links = np.zeros(len(rows), dtype=np.int64)
+        np.add.at(links, i[fresh], weights[j[fresh]])
+        np.add.at(links, j[fresh], weights[i[fresh]])
+        for k in np.unique(np.concatenate([i, j])).tolist():
+            yield int(cids[k]), int(links[k]), int(low[k])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -205,6 +228,8 @@ def _compare(threshold: float):
                 if group and group[0][4] != g:
                     out += one(group)
                     group = []
+                if group and group[-1][0] == cid:  # the same class from another task
+                    continue
                 group.append((cid, weight, tokens[k].values.to_numpy().view(np.uint64).copy(), groups[k].as_py(), g))
             if out:
                 yield _links(out)

@@ -9,7 +9,7 @@ import numpy as np
 from .common import slices
 
 SHINGLE_WORDS = 5
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)

@@ -106,3 +106,49 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (300, 300)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 200: 100, 150: 100, 300: 300}
+
+
+def test_a_row_repeated_many_times_is_compared_once(spark):
+    """10,000 copies of one row beside a near copy: no comparison holds more than the two classes and what else is near."""
+    text = " ".join(f"w{i}" for i in range(60))
+    other = text.replace("w59", "x59")
+    rows = documents(spark, [(1, text)] * 10_000 + [(2, other)] + [(None, f"a b c d e f{i}") for i in range(20)])
+    from stationflow.llm import jaccard
+
+    got = jaccard.near_duplicates(rows).groupBy("class_id", "text_class", "n_links").count().collect()
+    found = {(r.class_id, r.text_class, r.n_links): r["count"] for r in got}
+    assert found[(1, 1, 10_000)] == 10_000 and found[(1, 2, 10_000)] == 1
+
+
+def test_pairs_met_in_an_earlier_group():
+    import numpy as np
+
+    from stationflow.llm.jaccard import _met_before
+
+    rng = np.random.default_rng(1)
+    earlier = [rng.choice(6000, rng.integers(0, 40), replace=False).tolist() for _ in range(80)]
+    i, j = np.triu_indices(80, 1)
+    want = [not set(earlier[a]).isdisjoint(earlier[b]) for a, b in zip(i, j)]
+    assert _met_before(earlier, i, j).tolist() == want and not _met_before([[], []], np.array([0]), np.array([1])).any()
+
+
+def test_repeats_leave_a_task_once(spark):
+    """What a task sends on has each class once, whatever its rows repeat."""
+    import pyarrow as pa
+
+    from stationflow.llm import jaccard
+
+    group = jaccard._compare(0.8)
+    tokens = pa.array([[1, 2, 3, 4, 5]] * 500 + [[1, 2, 3, 4, 6, 5]])
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([9] * 501), pa.array([1] * 500 + [2]), pa.array([500] * 500 + [1]), tokens, pa.array([[9]] * 501)],
+        names=["g", "cid", "weight", "tokens", "groups"],
+    )
+    sent = {}
+    keep = jaccard.similar_pairs
+    try:
+        jaccard.similar_pairs = lambda sets, t: sent.setdefault("n", len(sets)) and keep(sets, t)
+        out = [r for b in group(iter([batch])) for r in b.to_pylist()]
+    finally:
+        jaccard.similar_pairs = keep
+    assert sent == {"n": 2} and sorted((r["cid"], r["links"]) for r in out) == [(1, 1), (2, 500)]
