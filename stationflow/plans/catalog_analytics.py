@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from .. import schema as S
-from ..operators import eda as E, profiles as P, quantiles as K, series as Q
+from ..operators import eda as E, profiles as P, quantiles as K, series as Q, sketches as SK
+from ..session import shared_dir
 from .registry import query
 from .views import FEAT, WH, WX, features, now, rounded, rr, sr, table, wh, wx
 
@@ -215,6 +216,20 @@ def seasonal_extremes_sketch(spark, sf):
     return P.seasonal_extremes(wh(spark, sf), PROFILE_COLS, approx=True)
 
 
+@query(f"""WITH {WH}, l AS (UNPIVOT (SELECT municipio, month(data_hora) AS month, temp_ar_c, precipitacao_total_mm FROM wh) ON temp_ar_c, precipitacao_total_mm INTO NAME "column" VALUE v)
+SELECT municipio, month, "column", count(*) AS n, true AS p5_near, true AS p95_near FROM l GROUP BY 1, 2, 3""")
+def quantile_sketches(spark, sf):
+    """Stored sketches of the odd and the even years, merged; each estimate's rank lies within the bound."""
+    rows, probs = wh(spark, sf), {"p5": 0.05, "p95": 0.95}
+    path = shared_dir(spark, "sketches")
+    for odd in (0, 1):
+        SK.quantile_sketches(rows.where(F.year("data_hora") % 2 == odd), PROFILE_COLS).write.mode("append").parquet(path)
+    found = SK.sketched_quantiles(SK.merged(spark.read.parquet(path)), probs)
+    # a group of few rows has steps of 1 / n
+    near = lambda c: F.col(c) <= SK.RANK_ERROR + 1 / F.col("n")
+    return SK.rank_errors(rows, found, probs).select("municipio", "month", "column", "n", near("p5").alias("p5_near"), near("p95").alias("p95_near"))
+
+
 @query(f"""WITH {WH} SELECT municipio, min(data_hora) AS date_start, max(data_hora) AS date_end, count(*) AS row_count,
 'temp_ar_c,precipitacao_total_mm' AS profile_columns, TIMESTAMP '2024-01-25 00:00:00' AS snapshot_at FROM wh GROUP BY 1""")
 def snapshot_metadata(spark, sf):
