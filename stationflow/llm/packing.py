@@ -8,6 +8,7 @@ names are. An empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from .tokens import encoded, tokenizer_path
 
 CAPACITY = 2048
 PART_ITEMS = 20_000
-ROUNDS = 4
+NUMBER = "piece_no"
 
 
 def cut_pieces(ids: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -58,12 +59,14 @@ def cut_pieces(ids: DataFrame, capacity: int = CAPACITY, with_ids: bool = False)
     return ids.select("doc_id", "ids").mapInArrow(run, schema)
 
 
-def least_bins(counts: np.ndarray, capacity: int) -> int:
-    """Lower bound on the bins for ``counts[length]`` items of each length.
+def least_bins(counts: np.ndarray, capacity: int, enough: int | None = None) -> int:
+    """Lower bound on the bins for ``counts[length]`` items of each length; stops early at ``enough``.
 
-    The largest over three families of dual feasible functions: the size
+    The largest over four families of dual feasible functions: the size
     itself, the cut at a threshold (long items whole, middle ones by size,
-    short ones free), and the rounding to multiples of 1/k.
+    short ones free), the rounding to multiples of 1/k, and steps with a ramp
+    before each (an item of u counts 1/k where k items of u, but no more, fit),
+    which sees that bins of k items must be made of short ones.
     """
     sizes = np.arange(len(counts), dtype=np.int64)
     best = -(-int(counts @ sizes) // capacity)
@@ -74,21 +77,37 @@ def least_bins(counts: np.ndarray, capacity: int) -> int:
         long_items = total - int(number[capacity - t + 1])
         middle = int(below[capacity - t + 1] - below[t])
         best = max(best, long_items + -(-middle // capacity))
+    lengths = np.flatnonzero(counts)
+    n = counts[lengths].astype(np.int64)
     for k in range(1, 50):
-        scaled = sizes * (k + 1)
+        scaled = lengths * (k + 1)
         whole = scaled % capacity == 0
-        value = np.where(whole, sizes * k, (scaled // capacity) * capacity)  # times 1 / (k * capacity)
-        best = max(best, -(-int(counts @ value) // (k * capacity)))
+        value = np.where(whole, lengths * k, (scaled // capacity) * capacity)  # times 1 / (k * capacity)
+        best = max(best, -(-int(n @ value) // (k * capacity)))
+    for u in range(capacity, max(capacity // 50, 1), -1):
+        if enough is not None and best >= enough:
+            break
+        best = max(best, _ramp_bound(lengths, n, capacity, u))
     return best
 
 
-def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best-fit decreasing: bin and offset of each item, and each bin's free room.
+def _ramp_bound(lengths: np.ndarray, n: np.ndarray, capacity: int, u: int) -> int:
+    """Bound by the steps of width ``u``, for ``n`` items of each of ``lengths``."""
+    k, flat = divmod(capacity, u)
+    value = (lengths // u) * (u - flat) + np.maximum(lengths % u - flat, 0)  # times 1 / (k * (u - flat))
+    return -(-int(n @ value) // (k * (u - flat)))
+
+
+def best_fit(
+    lengths: np.ndarray, capacity: int, order: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best fit, by decreasing length unless an order is given: bin and offset of each item, each bin's free room.
 
     Bins are kept by free room; one integer marks which rooms exist, so the
     tightest bin that fits is its lowest bit from the item's length on.
     """
-    order = np.argsort(-lengths, kind="stable")
+    if order is None:
+        order = np.argsort(-lengths, kind="stable")
     bins = np.empty(len(lengths), dtype=np.int64)
     offsets = np.empty(len(lengths), dtype=np.int64)
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -113,64 +132,135 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(free, dtype=np.int64)
 
 
-def _packer(columns: list[str], key: list[str], capacity: int, r: int):
+def _orders(lengths: np.ndarray, capacity: int, seed: tuple[int, int]) -> Iterator[np.ndarray | None]:
+    """Orders a part is tried in: by decreasing length; one bin after the other, filled by chance, all items or
+    only those up to the step that gives the highest bound (longer ones go first, by decreasing length)."""
+    yield None
+    kinds, n = np.unique(lengths, return_counts=True)
+    steps = range(capacity // 2, max(capacity // 50, 1), -1)
+    step = max(steps, key=lambda u: _ramp_bound(kinds, n, capacity, u), default=capacity)
+    rng = np.random.default_rng(seed)
+    for most in (step, capacity):
+        order = np.argsort(-lengths, kind="stable")
+        first = int((lengths > most).sum())
+        yield np.concatenate([order[:first], _filled_by_chance(lengths, order[first:], capacity, rng)])
+
+
+def _filled_by_chance(lengths: np.ndarray, items: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """An order of ``items``: drawn by chance for a bin until only one more fits, then the longest that does."""
+    left = items[np.argsort(lengths[items], kind="stable")].tolist()
+    sizes = lengths[left].tolist()
+    out: list[int] = []
+    room = capacity
+    while left:
+        if len(sizes) > 1 and sizes[0] + sizes[1] <= room:
+            at = int(rng.random() * len(sizes))
+            if sizes[at] + sizes[0] > room:
+                at = bisect_right(sizes, room) - 1
+        else:
+            at = bisect_right(sizes, room) - 1
+        if at < 0:
+            room = capacity
+            continue
+        room -= sizes.pop(at)
+        out.append(left.pop(at))
+    return np.array(out, dtype=np.int64)
+
+
+def _packer(columns: list[str], capacity: int, r: int):
     """Packs one part in round ``r``; keeps rows in an order of their own, so a repeated task agrees."""
 
     def pack(dealt_to: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(key, ignore_index=True)
+        group = group.sort_values(NUMBER, ignore_index=True)
         lengths = group["length"].to_numpy()
-        bins, offsets, free = best_fit(lengths, capacity)
-        proven = len(free) == least_bins(np.bincount(lengths, minlength=capacity + 1), capacity)
+        counts = np.bincount(lengths, minlength=capacity + 1)
+        found, bound = None, 0
+        for order in _orders(lengths, capacity, (r, int(dealt_to[0]))):
+            tried = best_fit(lengths, capacity, order)
+            if found is None or len(tried[2]) < len(found[2]):
+                found = tried
+                bound = max(bound, least_bins(counts, capacity, len(found[2])))
+            if len(found[2]) == bound:
+                break
+        bins, offsets, free = found
+        proven = len(free) == bound
         out = group[columns].copy()
-        out["sequence_id"] = (r << 56) + (int(dealt_to[0]) << 24) + bins
+        out["sequence_id"] = (r << 54) + (int(dealt_to[0]) << 24) + bins
         out["offset"] = offsets
-        out["open"] = (free[bins] > 0) & (not proven)
+        out["proven"] = proven
+        out["open"] = (bins == int(free.argmax())) & (free[bins] > 0) if proven else free[bins] > 0
         return out
 
     return pack
 
 
+def numbered(pieces: DataFrame) -> DataFrame:
+    """Pieces written with a number of their own (``piece_no``), so that rows alike in all else stay apart."""
+    if NUMBER in pieces.columns:
+        return staged(pieces, "pieces")
+    return staged(pieces.withColumn(NUMBER, F.monotonically_increasing_id()), "pieces")
+
+
 def place(
-    pieces: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, rounds: int = ROUNDS,
+    pieces: DataFrame, capacity: int = CAPACITY, part_items: int = PART_ITEMS, rounds: int | None = None,
 ) -> DataFrame:
-    """Give each piece a ``sequence_id`` and an ``offset``.
-
-    Pieces are dealt by a hash into parts of about ``part_items``. A part whose
-    number of bins equals its lower bound is proven best and ends. From the
-    others, full bins stay and the pieces of bins with free room are exchanged:
-    they are dealt anew, by another hash, into fewer parts and packed again,
-    until every part is proven, the pool was one part already, or ``rounds``
-    are over. Only lengths and keys move, never ids; a part is bounded.
-    ``length`` must lie between 1 and ``capacity``.
+    """Give each piece a ``sequence_id`` and an ``offset``; ``proven`` tells whether its part met its lower bound.
+
+    Pieces get numbers when they are written and are dealt by them into parts
+    of about ``part_items``, however alike they are. A part whose number of
+    bins equals its lower bound is proven best. Full bins stay, and so do those
+    of a proven part but for the one with most room; the pieces of all other
+    bins are exchanged: they are dealt anew into fewer parts and packed again.
+    A round that saves no bin is dropped, the places before it stay, and the work
+    ends; it also ends when the pool was one part. ``rounds`` may end it sooner. Only lengths
+    and keys move, never ids. ``length`` must lie between 1 and ``capacity``.
     """
     columns = pieces.columns
-    key = [c for c in ("doc_id", "piece", "ids_crc32", "start") if c in columns]
-    rows = staged(pieces, "pieces")
+    rows = numbered(pieces)
+    columns = columns if NUMBER in columns else [*columns, NUMBER]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    schema += ", sequence_id long, offset long, proven boolean, open boolean"
+    begins = F.col("offset") == 0  # once in each bin
     done: list[DataFrame] = []
-    left = rows.count()
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    schema += ", sequence_id long, offset long, open boolean"
-    for r in range(rounds):
-        if not left:
-            break
+    pool: DataFrame | None = None
+    left, before, r = rows.count(), None, 0
+    while left:
         parts = -(-left // part_items)
-
-        dealt = rows.select(
-            *columns, F.pmod(F.xxhash64(*key, F.lit(r)), F.lit(parts)).cast("int").alias("__part")
-        )
-        packed = staged(dealt.groupBy("__part").applyInPandas(_packer(columns, key, capacity, r), schema), f"packed{r}")
-        last = r == rounds - 1 or parts == 1
-        done.append((packed if last else packed.where(~F.col("open"))).drop("open"))
-        if last:
+        dealt = rows.withColumn("__part", F.pmod(F.xxhash64(NUMBER, F.lit(r)), F.lit(parts)).cast("int"))
+        packed = staged(dealt.groupBy("__part").applyInPandas(_packer(columns, capacity, r), schema), f"packed{r}")
+        after = packed.where(begins).count()
+        if before is not None and after >= before:
             break
-        rows = packed.where("open").select(*columns)
-        left = rows.count()
-    if not done:
-        return rows.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
-    out = done[0]
-    for more in done[1:]:
+        r += 1
+        if parts == 1 or r == rounds:
+            pool = packed
+            break
+        done.append(packed.where("NOT open"))
+        pool = packed.where("open")
+        rows = pool.select(*columns)
+        left, before = rows.count(), pool.where(begins).count()
+    if pool is None:
+        return rows.withColumns({
+            "sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "proven": F.lit(True),
+        }).select(*pieces.columns, "sequence_id", "offset", "proven")
+    out = pool
+    for more in done:
         out = out.union(more)
-    return out
+    return out.select(*pieces.columns, "sequence_id", "offset", "proven")
+
+
+def certificate(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """One row: ``bins`` used, and the lower bound ``least`` for all pieces together.
+
+    The pieces are counted by length, at most ``capacity`` rows.
+    """
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    bins = 0
+    lengths = placed.groupBy("length").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("bins"))
+    for row in lengths.collect():
+        counts[row.length] = row.n
+        bins += row.bins
+    return placed.sparkSession.createDataFrame([(bins, least_bins(counts, capacity))], "bins long, least long")
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -185,11 +275,12 @@ def fill(pieces: DataFrame, placed: DataFrame) -> DataFrame:
     """The packed sequences: ``sequence_id``, ``ids`` and the ``lengths`` of the pieces in them.
 
     ``pieces`` has the ids of each piece (``cut_pieces`` with ids); at most
-    ``capacity`` ids meet in a row. Keys must be unique here.
+    ``capacity`` ids meet in a row. Pieces that are ``numbered`` before they
+    are placed meet their places by that number; others by ``doc_id`` and
+    ``piece``, which must be unique then.
     """
-    rows = pieces.select("doc_id", "piece", "ids").join(
-        placed.select("doc_id", "piece", "sequence_id", "offset", "length"), ["doc_id", "piece"]
-    )
+    key = [NUMBER] if NUMBER in pieces.columns and NUMBER in placed.columns else ["doc_id", "piece"]
+    rows = pieces.select(*key, "ids").join(placed.select(*key, "sequence_id", "offset", "length"), key)
     inside = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
     return rows.groupBy("sequence_id").agg(inside.alias("p")).select(
         "sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.length").alias("lengths")
