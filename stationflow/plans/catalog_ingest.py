@@ -106,6 +106,16 @@ def write_and_read_staging(spark, sf):
     return rounded(out.select("municipio", "data_hora", *WX_MEASURES), *WX_MEASURES)
 
 
+@query(f"WITH {WX} SELECT municipio, data_hora, CASE WHEN municipio = 'st_1' THEN 1.5 ELSE {sr('temp_ar_c AS x').rpartition(' AS ')[0]} END AS temp_ar_c FROM wx")
+def versioned_staging(spark, sf):
+    """One station replaced by a new version of the table."""
+    root = shared_dir(spark, "staging")
+    rows = wx(spark, sf).select("municipio", "data_hora", "temp_ar_c")
+    sinks.write_staging(rows, root, fmt="snapshot")
+    sinks.write_staging(rows.where("municipio = 'st_1'").withColumn("temp_ar_c", F.lit(1.5)), root, fmt="snapshot")
+    return rounded(raw.read_staging(spark, root, "snapshot").select("municipio", "data_hora", "temp_ar_c"), "temp_ar_c")
+
+
 @query(f"WITH {FEAT} SELECT municipio, data_hora, {sr(*S.FEATURE_COLUMNS)} FROM feat")
 def read_features(spark, sf):
     root = shared_dir(spark, "features")

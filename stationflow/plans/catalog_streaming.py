@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import schema as S
 from ..operators import accuracy as A
 from ..session import shared_dir
-from ..sources import sinks
+from ..sources import sinks, snapshots
 from ..streaming import jobs
 from . import views as V
 from .catalog_forecast import EDGES, ERRORS, FORECAST_SUMS, METRICS, TTL, _cum2, _sel2, with_forecast_sums
@@ -103,7 +103,7 @@ def incremental_raw_ingest(spark, sf):
     for part, data in (("a", rows), ("b", rows.where(F.hour(S.TIME) < 6).withColumn("temp_ar_c", F.lit(1.5)))):
         sinks.write_raw_station_files(data, f"{root}/{part}")
         _finished(jobs.incremental_raw_ingest(spark, root, out, out + "-state", columns, station=_station_folder(), glob="*.txt"))
-    return rounded(spark.read.parquet(out).select(S.KEY, S.TIME, "temp_ar_c"), "temp_ar_c")
+    return rounded(snapshots.read(spark, out).select(S.KEY, S.TIME, "temp_ar_c"), "temp_ar_c")
 
 
 def _station_folder():

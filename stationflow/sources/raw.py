@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .. import schema as S
 from ..functions import text as X
 from ..operators.joins import spread_join
-from . import streams
+from . import snapshots, streams
 
 
 def _paths(paths: str | Sequence[str]) -> list[str]:
@@ -175,7 +175,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_staging(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
-    """Clean rows from staging, Parquet (default) or CSV with a header."""
+    """Clean rows from staging: Parquet (default), CSV with a header, or the newest version of a snapshot table."""
+    if fmt == "snapshot":
+        return snapshots.read(spark, root)
     if fmt == "csv":
         return spark.read.schema(S.CLEAN_SCHEMA).option("header", "true").csv(root)
     return spark.read.parquet(root)

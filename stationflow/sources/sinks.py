@@ -11,6 +11,7 @@ from ..functions import numbers as N
 from ..operators.accuracy import prediction_rows, upsert_accuracy
 from ..operators.profiles import replace_docs
 from ..operators.series import time_chunk
+from . import snapshots
 from .raw import _exists
 
 FILE_HOURS = 24 * 365
@@ -35,7 +36,11 @@ def write_partitions(df: DataFrame, root: str, by: str = S.KEY, t: str | None =
 
 
 def write_staging(df: DataFrame, root: str, by: str = S.KEY, t: str = S.TIME, fmt: str = "parquet") -> None:
-    write_partitions(df, root, by, t, fmt)
+    """Replace the stations in ``df``; ``fmt="snapshot"`` makes a new version of the table, the old one stays readable."""
+    if fmt == "snapshot":
+        snapshots.replace(_spread(df, by, t), root, [by])
+    else:
+        write_partitions(df, root, by, t, fmt)
 
 
 def write_features(df: DataFrame, root: str, by: str = S.KEY, t: str = S.TIME) -> DataFrame:

@@ -16,7 +16,7 @@ from ..functions.times import hours_after
 from ..operators import accuracy as A
 from ..operators.cleaning import clean
 from ..operators.service import metric_histogram, quantile_columns
-from ..session import shared_dir
+from ..sources import snapshots
 from ..sources.raw import LINE_SOURCE, _exists, numbered_lines, parse_lines
 from . import state
 
@@ -174,28 +174,24 @@ def incremental_raw_ingest(
 
     For each station and hour the row of the newest file stays (``file_time``, then path,
     then the line as text), whether it came before or comes now; only the partitions (station,
-    year) that new rows reach are rewritten. A file is always within one batch.
+    year) that new rows reach are written anew, as a new version of the table (``sources/snapshots.py``). A batch
+    that dies leaves the version before it readable, one that is sent again changes nothing.
+    A file is always within one batch. Read the table with ``snapshots.read``.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        if batch.isEmpty():
+        at = snapshots.pointer(spark, out)
+        if at.batches.get(checkpoint, -1) >= batch_id or batch.isEmpty():
             return
         rows = parse_lines(numbered_lines(batch), columns)
         rows = (rows if station is None else rows.withColumn(S.KEY, station)).where(F.col(S.KEY).isNotNull())
         new = clean(rows.withColumnRenamed("path", "file"), (S.KEY, "file", "file_time")).withColumn("ano", F.year(S.TIME))
-        if _exists(spark, out):
-            old = spark.read.schema(new.schema).parquet(out)
-            touched = new.select(S.KEY, "ano").distinct()
-            new = new.unionByName(old.join(touched, [S.KEY, "ano"], "left_semi"))
+        if at.version:
+            new = new.unionByName(snapshots.read(spark, out, only=new))
         rest = [c for c in new.columns if c not in (S.KEY, S.TIME, "file_time", "file")]
         newest = F.max(F.struct("file_time", "file", *rest)).alias("__n")
         merged = new.groupBy(S.KEY, S.TIME).agg(newest).select(S.KEY, S.TIME, "__n.*")
-        path = shared_dir(spark, "ingest")  # read before its source is replaced
-        merged.write.parquet(path)
-        (
-            spark.read.schema(merged.schema).parquet(path).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy(S.KEY, "ano").parquet(out)
-        )
+        snapshots.replace(merged, out, [S.KEY, "ano"], checkpoint, batch_id)
 
     lines = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(raw_dir)
     stamped = lines.select("value", *[F.col(source).alias(c) for c, source in LINE_SOURCE.items()])

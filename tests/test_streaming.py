@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stationflow import schema as S
 from stationflow.operators import service as M
+from stationflow.sources import snapshots
 from stationflow.streaming import jobs, state
 from tests.test_cleaning import HEADER, station_file
 from tests.test_forecast import points
@@ -190,7 +191,7 @@ def test_raw_files_replace_their_hours(spark, tmp_path):
 
     def load():
         run(jobs.incremental_raw_ingest(spark, str(raw), out, ck, cols))
-        df = spark.read.parquet(out)
+        df = snapshots.read(spark, out)
         return {(r[0], r[1]): r[2] for r in df.groupBy(S.KEY, "ano").agg(F.sum("temp_ar_c")).collect()}
 
     name = "INMET_S_RS_A881_DOM PEDRITO_01-01-{y}_A_31-12-{y}.CSV"
