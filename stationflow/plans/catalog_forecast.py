@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions import numbers as N, text as X, times as D
+from ..functions import numbers as N, table_functions as T, text as X, times as D
 from ..operators import accuracy as A, experiments as R, forecast as C, gram as G, series as Q, service as M, windows as W
 from ..session import shared_dir
 from . import views as V
@@ -64,6 +64,48 @@ def custom_scorer(spark, sf):
     return rounded(points, "temp_ar_c")
 
 
+def _contexts(spark, sf):
+    """Rows before each request that can be served, with its horizon."""
+    asked = C.resolve_models(V.requests(spark, sf), V.catalogue(spark)).where("status = 'ok'").drop("status")
+    _, rows = W.last_n_before(asked, wx(spark, sf), F.col("sequence_length"))
+    at = F.col("reference_date").cast("timestamp_ntz").alias("reference_date")
+    return rows.join(asked.select("request_id", at, "horizon"), "request_id")
+
+
+@query(f"""WITH {FC}, d AS (SELECT request_id, CAST(reference_date + to_hours(hour_ahead) AS DATE) AS target_date,
+ hour(reference_date + to_hours(hour_ahead)) AS hr, temp_ar_c AS v FROM pts),
+p AS (SELECT *, CASE WHEN hr < 7 THEN 'madrugada' WHEN hr < 12 THEN 'manha' WHEN hr < 17 THEN 'tarde' ELSE 'noite' END AS period FROM d),
+m AS (SELECT *, row_number() OVER (PARTITION BY request_id, target_date, period ORDER BY v DESC, hr) AS r FROM p)
+SELECT request_id, strftime(target_date, '%Y-%m-%d') AS target_date, period, {sr('min(v) AS temperature_min_c',
+ 'max(v) AS temperature_max_c', 'avg(v) AS temperature_avg_c')}, printf('%02dh', max(hr) FILTER (WHERE r = 1)) AS peak_hour,
+count(*) AS n_hours FROM m GROUP BY ALL""")
+def sql_period_stats(spark, sf):
+    """Two table functions in one SQL text: forecasts of the contexts, summed up by part of the day."""
+    T.register(spark)
+    out = spark.sql(
+        """WITH points AS (
+          SELECT request_id, reference_date + make_dt_interval(0, hour_ahead) AS timestamp, value AS temp_ar_c
+          FROM season_forecast(TABLE({contexts}), season => 24))
+        SELECT * FROM period_stats(TABLE(points))""",
+        contexts=_contexts(spark, sf),
+    )
+    out = out.withColumn("target_date", F.col("target_date").cast("string"))
+    return rounded(out, "temperature_min_c", "temperature_max_c", "temperature_avg_c")
+
+
+@query(f"""WITH {RQ}, {WX}, {CATALOGUE}, c AS (SELECT rq.request_id, cat.sequence_length AS n, w.*, row_number() OVER (PARTITION BY rq.request_id ORDER BY w.data_hora DESC) AS back,
+ count(*) OVER (PARTITION BY rq.request_id) AS available FROM rq JOIN cat USING (model_type, horizon) JOIN wx w ON w.municipio = rq.municipio AND w.data_hora <= rq.reference_date),
+v AS (SELECT request_id, 'temp_ar_c' AS "column", temp_ar_c AS x FROM c WHERE available >= n AND back <= n
+ UNION ALL SELECT request_id, 'umidade_rel_ar_percent', umidade_rel_ar_percent FROM c WHERE available >= n AND back <= n)
+SELECT request_id, "column", count(*) AS window_rows, {sr('min(x) AS min', 'max(x) AS max', 'avg(x) AS mean')} FROM v GROUP BY 1, 2""")
+def sql_window_stats(spark, sf):
+    T.register(spark)
+    out = spark.sql(
+        "SELECT * FROM window_stats(TABLE({contexts}), 'temp_ar_c,umidade_rel_ar_percent')", contexts=_contexts(spark, sf)
+    )
+    return rounded(out, "min", "max", "mean")
+
+
 @query(f"""WITH {RQ}, h AS (SELECT request_id, reference_date, horizon, unnest(generate_series(1, least(horizon, 100))) AS hour_ahead FROM rq)
 SELECT request_id, reference_date, horizon, hour_ahead, reference_date + to_hours(hour_ahead) AS timestamp,
 CAST(hour_ahead AS DOUBLE) / 2 AS temp_ar_c FROM h""")
