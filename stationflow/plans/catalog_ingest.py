@@ -59,11 +59,30 @@ def _station_names(spark, sf):
     return c.select("c_custkey", name.alias("name"), F.concat(F.lit("/raw/"), name).alias("path"))
 
 
-@query("""SELECT lower(c_mktsegment) || '_do_sul' AS municipio, c_mktsegment || ' do Sul' AS original, count(*) AS n_files
-FROM customer WHERE c_custkey % 7 <> 0 GROUP BY ALL""")
+def _renamed(spark, root, pattern, name):
+    """Give the files that Spark has written below a folder names of their own; a file for each station and year."""
+    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for r in raw.list_files(spark, root, pattern).select("path").collect():
+        new = path(name(dict(p.split("=") for p in r.path.split("/") if "=" in p)))
+        fs.mkdirs(new.getParent())
+        fs.rename(path(r.path), new)
+
+
+@query(f"""WITH {WX} SELECT municipio, upper(municipio) AS original, count(DISTINCT year(data_hora)) AS n_files, count(*) AS n_rows
+FROM wx GROUP BY 1, 2""")
 def discover_station_files(spark, sf):
-    found = raw.station_files(_station_names(spark, sf))
-    return found.groupBy("municipio", "original").agg(F.count("path").alias("n_files"))
+    """A folder of station files and others; those that are found are read."""
+    root, out = _raw_dir(spark, sf), shared_dir(spark, "stations")
+    _renamed(spark, root, "*.txt", lambda p: (
+        f"{out}/{p['ano']}/INMET_S_RS_A801_{p['municipio'].upper()}_01-01-{p['ano']}_A_31-12-{p['ano']}.CSV"))
+    spark.range(1).select(F.lit("a;b").alias("value")).write.text(f"{out}/other")
+    _renamed(spark, f"{out}/other", "*.txt", lambda p: f"{out}/other/notes.csv")
+    found = raw.discover_station_files(spark, out)
+    cols = [S.RAW_DATE, S.RAW_HOUR]
+    rows = raw.read_station_csv(spark, [r.path for r in found.select("path").collect()], cols)
+    n = rows.groupBy("municipio").agg(F.count(F.lit(1)).alias("n_rows"))
+    return found.groupBy("municipio", "original").agg(F.count("path").alias("n_files")).join(n, "municipio")
 
 
 @query(f"""WITH f AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN c_name || '.csv' ELSE {STATION_NAME} END AS name FROM customer),
@@ -89,13 +108,17 @@ def match_terms(spark, sf):
     return C.match_terms(d, ["SRC1", "src2", "nothing"]).groupBy("term").agg(F.count("path").alias("n_files"))
 
 
-@query("SELECT lower(c_name) AS municipio, count(*) AS n FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1")
+@query(f"""WITH {WX} SELECT municipio, count(*) AS n FROM wx WHERE municipio NOT LIKE '%2' GROUP BY 1""")
 def discover_staging_files(spark, sf):
-    c = table(spark, sf, "customer")
-    slug = F.lower("c_name")
-    base = F.when(F.col("c_custkey") % 3 == 0, F.lit("other")).otherwise(slug)
-    files = c.select(F.concat(F.lit("/staging/"), slug, F.lit("/"), base, F.lit(".csv")).alias("path"))
-    return raw.staging_files(files).groupBy("municipio").agg(F.count("path").alias("n"))
+    """CSV files named like their folder, but for some stations; those that are found are read."""
+    root, out = shared_dir(spark, "csv"), shared_dir(spark, "staging-files")
+    rows = wx(spark, sf).select("municipio", "data_hora", "temp_ar_c")
+    rows.repartition("municipio").write.partitionBy("municipio").option("header", "true").csv(root)
+    _renamed(spark, root, "*.csv", lambda p: (
+        f"{out}/{p['municipio']}/{'other' if p['municipio'].endswith('2') else p['municipio']}.csv"))
+    paths = [r.path for r in raw.discover_staging_files(spark, out).select("path").collect()]
+    lines = spark.read.option("header", "true").csv(paths).select(F.col("_metadata.file_path").alias("path"))
+    return raw.staging_files(lines).groupBy("municipio").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(WX_ALL)
@@ -137,27 +160,38 @@ def read_serving(spark, sf):
     odd = wx(spark, sf).withColumn(
         "temp_ar_c", F.when(F.hour("data_hora") == 5, float("inf")).otherwise(F.col("temp_ar_c"))
     )
-    out, missing = SF.prepare_serving(odd, ["temp_ar_c", "umidade_rel_ar_percent", "vento_vel_ms"])
+    # the folder itself holds no data: the first one below it is served, the other not
+    root = shared_dir(spark, "serving")
+    odd.write.partitionBy("municipio").parquet(f"{root}/h072")
+    odd.where("municipio = 'st_1'").write.parquet(f"{root}/h168")
+    out, missing = SF.read_serving(spark, root, ["temp_ar_c", "umidade_rel_ar_percent", "vento_vel_ms"], f"{root}/no-models")
     return rounded(out, "temp_ar_c", "umidade_rel_ar_percent").withColumn("missing", F.lit(",".join(missing)))
 
 
 @query("""SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'weather_forecasting' END AS experiment_name,
 CASE WHEN s_suppkey % 3 = 0 THEN 168 ELSE 24 END AS sequence_length, CASE WHEN s_suppkey % 3 = 0 THEN 72 ELSE 1 END AS horizon,
-0.8::DOUBLE AS train_ratio, 'lstm' AS model_type, 50 AS epochs, 'medium' AS risk_level, 14 AS n_features FROM supplier""")
+0.8::DOUBLE AS train_ratio, CASE WHEN s_suppkey % 5 = 0 THEN 'xgboost' ELSE 'lstm' END AS model_type, 50 AS epochs, 'medium' AS risk_level, 14 AS n_features,
+CASE WHEN s_suppkey % 5 = 0 THEN 'model.model_type is xgboost, not one of lstm, transformer, tft, nbeats' END AS problem FROM supplier""")
 def read_experiments(spark, sf):
+    """A JSON file for each hundred suppliers."""
     s = table(spark, sf, "supplier")
-    even, third = F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") % 3 == 0
+    even, third, fifth = (F.col("s_suppkey") % n == 0 for n in (2, 3, 5))
     text = F.to_json(
         F.struct(
-            F.when(even, F.col("s_name")).alias("experiment_name"),
+            F.when(even, F.col("s_name")).alias("experiment_name"), F.col("s_suppkey").cast("string").alias("run_name"),
             F.when(third, F.struct(F.lit(168).alias("sequence_length"), F.lit(72).alias("horizon"))).alias("data"),
+            F.when(fifth, F.struct(F.lit("xgboost").alias("model_type"))).alias("model"),
         )
     )
-    raw_rows = s.select("s_suppkey", F.from_json(text, S.EXPERIMENT_SCHEMA).alias("c")).select("s_suppkey", "c.*")
-    out = records.fill_experiment_defaults(raw_rows)
+    root = shared_dir(spark, "experiments")
+    file = F.floor(F.col("s_suppkey") / 100).alias("file")
+    files = s.groupBy(file).agg(F.collect_list(text).alias("t"))
+    files.select("file", F.concat(F.lit("["), F.array_join("t", ","), F.lit("]")).alias("value")).write.partitionBy("file").text(root)
+    out = records.read_experiments(spark, root, invalid="mark", glob="*.txt")
     return out.select(
-        "s_suppkey", "experiment_name", "data.sequence_length", "data.horizon", "data.train_ratio",
-        "model.model_type", "epochs", "governance.risk_level", F.size("data.feature_columns").alias("n_features"),
+        F.col("run_name").cast("bigint").alias("s_suppkey"), "experiment_name", "data.sequence_length", "data.horizon",
+        "data.train_ratio", "model.model_type", "epochs", "governance.risk_level",
+        F.size("data.feature_columns").alias("n_features"), "problem",
     )
 
 

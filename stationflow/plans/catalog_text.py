@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schema as S
 from ..functions import numbers as N, text as X
 from ..operators import retrieval as V, vector_index as I
 from .registry import query
@@ -68,9 +69,13 @@ MIXED = """m AS (SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 0 THEN tex
 WHEN 2 THEN text || ' AIza' || repeat('a', 35) ELSE text END AS text FROM conversations WHERE role = 'assistant')"""
 
 
-@query(f"""WITH {MIXED}, t AS (SELECT conv_id, turn, CASE WHEN contains(text, 'Você é um assistente meteorológico') OR contains(text, 'Regras para escolha de tool')
- OR contains(text, 'Períodos do dia:') THEN 'system_leak' WHEN regexp_matches(text, 'AIza[0-9A-Za-z\\-_]{{35}}') THEN 'api_key_leak' END AS threat_type FROM m)
-SELECT conv_id, turn, threat_type IS NULL AS passed, threat_type FROM t""")
+LEAKS = "".join(
+    f" WHEN contains(text, {_lit(lit)}) THEN ['system_leak', {_lit(X.SYSTEM_REASON.format(lit))}]" for lit in X.SYSTEM_LITERALS
+) + f" WHEN regexp_matches(text, {_lit(X.API_KEY_PATTERN)}) THEN ['api_key_leak', {_lit(X.API_KEY_REASON)}]"
+
+
+@query(f"""WITH {MIXED}, t AS (SELECT conv_id, turn, CASE {LEAKS} END AS hit FROM m)
+SELECT conv_id, turn, hit IS NULL AS passed, hit[1] AS threat_type, coalesce(hit[2], '') AS reason FROM t""")
 def check_output(spark, sf):
     c = table(spark, sf, "conversations").where("role = 'assistant'")
     k = (F.col("conv_id") + F.col("turn")) % 5
@@ -79,7 +84,7 @@ def check_output(spark, sf):
         .when(k == 1, F.concat(F.lit("Regras para escolha de tool "), "text"))
         .when(k == 2, F.concat("text", F.lit(" AIza" + "a" * 35))).otherwise(F.col("text"))
     )
-    return c.select("conv_id", "turn", X.check_output(text).alias("g")).select("conv_id", "turn", "g.passed", "g.threat_type")
+    return c.select("conv_id", "turn", X.check_output(text).alias("g")).select("conv_id", "turn", "g.*")
 
 
 STRIPPED = r"trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(160))"
@@ -95,8 +100,9 @@ def validate_message(spark, sf):
     return d.select("doc_id", X.validate_message(text, 2000).alias("v")).select("doc_id", "v.*")
 
 
-@query("""SELECT conv_id, count(*) AS n_snippets, CAST(sum(length(text)) + 2 * (count(*) - 1) AS BIGINT) AS n_chars FROM conversations WHERE role = 'user' GROUP BY 1
-UNION ALL SELECT DISTINCT conv_id, 0, 47 FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'user')""")
+@query(f"""SELECT conv_id, count(*) FILTER (WHERE role = 'user') AS n_snippets,
+md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY turn, text) FILTER (WHERE role = 'user'), {_lit(S.NO_CONTEXT_TEXT)})) AS digest
+FROM conversations GROUP BY 1""")
 def join_snippets(spark, sf):
     c = table(spark, sf, "conversations")
     # one conversation is one answer's context: few turns
@@ -106,14 +112,15 @@ def join_snippets(spark, sf):
         ).alias("p")
     )
     return parts.select(
-        "conv_id", F.size("p").cast("bigint").alias("n_snippets"), F.length(X.join_snippets("p")).cast("bigint").alias("n_chars")
+        "conv_id", F.size("p").cast("bigint").alias("n_snippets"), F.md5(X.join_snippets("p")).alias("digest")
     )
 
 
-@query(r"""SELECT doc_id, count(*) FILTER (WHERE regexp_replace(s, '[\s\x{00a0}]+', '', 'g') <> '') AS n FROM (
-SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS s FROM documents) GROUP BY 1""")
+@query(r"""WITH s AS (SELECT doc_id, list_filter(string_split(text, chr(10) || chr(10)), lambda x: regexp_replace(x, '[\s\x{00a0}]+', '', 'g') <> '') AS p FROM documents)
+SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS digest FROM s""")
 def split_snippets(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(X.split_snippets("text")).cast("bigint").alias("n"))
+    parts = table(spark, sf, "documents").select("doc_id", X.split_snippets("text").alias("p"))
+    return parts.select("doc_id", F.size("p").cast("bigint").alias("n"), F.md5(F.array_join("p", "|")).alias("digest"))
 
 
 CENT = """p AS (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)"""

@@ -140,6 +140,11 @@ EXPERIMENT_SCHEMA = (
     "owner:string,risk_level:string,fairness_checked:boolean,"
     "training_data_version:string,git_sha:string>"
 )
+EXPERIMENT_CHOICES = {
+    "model.model_type": ["lstm", "transformer", "tft", "nbeats"],
+    "governance.model_type": ["classification", "regression", "generation"],
+    "governance.risk_level": ["low", "medium", "high", "critical"],
+}
 EXPERIMENT_DEFAULTS = {
     "experiment_name": "weather_forecasting",
     "epochs": 50,

@@ -32,19 +32,30 @@ def read_features(
     return drop_null_rows(select_required(df, kept))
 
 
+def datasets(spark: SparkSession, root: str) -> DataFrame:
+    """``folder, files`` of the Parquet data below a folder; folders of partitions (``name=value``) belong to the one above."""
+    folder = F.regexp_replace("path", "(/[^/=]+=[^/]*)*/[^/]+$", "").alias("folder")
+    return list_files(spark, root, "*.parquet").groupBy(folder).agg(F.count(F.lit(1)).alias("files"))
+
+
 def serving_path(spark: SparkSession, path: str, model_root: str | None = None) -> str:
-    """Folder to serve from: ``serving_data`` below the model root first, else ``path``."""
+    """What to serve from: the first ``serving_data`` below the model root; else ``path`` itself, if it is a file or
+    holds data; else the first folder below it that does. Only one is taken, as positions would repeat otherwise."""
     if model_root and _exists(spark, model_root):
-        found = list_files(spark, model_root, "*.parquet").where(
-            F.array_contains(F.split("path", "/"), "serving_data")
-        )
-        folder = F.regexp_extract("path", "^(.*?/serving_data)/", 1)
-        first = found.agg(F.min(folder)).first()[0]
+        found = datasets(spark, model_root).where(F.array_contains(F.split("folder", "/"), "serving_data"))
+        first = found.agg(F.min("folder")).first()[0]
         if first:
             return first
-    if not _exists(spark, path):
-        raise FileNotFoundError(f"no Parquet data in {path}")
-    return path
+    if _exists(spark, path):
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if not fs.getFileStatus(hadoop_path).isDirectory():
+            return path
+        own = fs.makeQualified(hadoop_path).toString()
+        first = datasets(spark, path).agg(F.min(F.struct(F.col("folder") != own, "folder"))).first()[0]
+        if first:
+            return first.folder
+    raise FileNotFoundError(f"no Parquet data in {path}" + (f", none in {model_root}" if model_root else ""))
 
 
 def read_serving(

@@ -12,13 +12,42 @@ from ..functions import text as X
 EVAL_SCHEMA = "user_input string, response string, reference string, retrieved_contexts array<string>"
 
 
-def read_experiments(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Experiment configurations, missing values filled with their defaults."""
+UNREADABLE = "_corrupt_record"
+
+
+def read_experiments(
+    spark: SparkSession, path: str | Sequence[str], invalid: str = "fail", glob: str = "*.json",
+) -> DataFrame:
+    """Experiment configurations, missing values filled with their defaults.
+
+    A configuration with a value of a wrong type or outside its choices (``S.EXPERIMENT_CHOICES``)
+    fails the job; with ``invalid="mark"`` all rows come, and ``problem`` tells what is wrong with them.
+    """
+    if invalid not in ("fail", "mark"):
+        raise ValueError("invalid is fail or mark")
     raw = (
-        spark.read.schema(S.EXPERIMENT_SCHEMA).option("multiLine", "true")
-        .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path)
+        spark.read.schema(f"{S.EXPERIMENT_SCHEMA}, {UNREADABLE} string").option("multiLine", "true")
+        .option("recursiveFileLookup", "true").option("pathGlobFilter", glob).json(path)
     )
-    return fill_experiment_defaults(raw.select(F.col("_metadata.file_path").alias("path"), "*"))
+    # every field takes part in the test, or Spark would not parse those that nobody selects
+    every = F.to_json(F.struct(*[c for c in raw.columns if c != UNREADABLE])).isNotNull()
+    named = raw.select(F.col("_metadata.file_path").alias("path"), "*", (F.col(UNREADABLE).isNotNull() & every).alias("__wrong"))
+    rows = fill_experiment_defaults(named)
+    problem = F.when(F.col("__wrong"), F.lit("a value has the wrong type")).otherwise(experiment_problem())
+    rows = rows.withColumn("problem", problem).drop(UNREADABLE, "__wrong")
+    if invalid == "mark":
+        return rows
+    wrong = F.concat(F.col("path"), F.lit(": "), F.col("problem"))
+    return rows.where(F.when(F.col("problem").isNull(), True).otherwise(F.raise_error(wrong).cast("boolean"))).drop("problem")
+
+
+def experiment_problem() -> Column:
+    """The first field of a filled configuration that is none of its choices, with its value; null if all are."""
+    found = F.lit(None).cast("string")
+    for name, choices in reversed(S.EXPERIMENT_CHOICES.items()):
+        said = F.concat(F.lit(f"{name} is "), F.col(name), F.lit(f", not one of {', '.join(choices)}"))
+        found = F.when(~F.col(name).isin(choices), said).otherwise(found)
+    return found
 
 
 def fill_experiment_defaults(df: DataFrame) -> DataFrame:
