@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
 from pyspark.sql import Column, functions as F
 
@@ -28,27 +29,42 @@ _FOLD_ONE = {ch: plain for ch, plain in _FOLD.items() if len(plain) == 1}
 _FOLD_MORE = {ch: plain for ch, plain in _FOLD.items() if len(plain) > 1}
 
 
+def _char_class(chars: Iterable[str]) -> str:
+    """Pattern for one of these non-ASCII characters, as ranges; others are told apart by one comparison.
+
+    Java compares a character with each member of a class in turn, so members are few and ASCII comes first.
+    """
+    runs: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return r"[[^\x00-\x7F]&&[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]]"
+
+
+_MORE_CLASS = _char_class(_FOLD_MORE)
+
+
 def fold_ascii(col: Column | str) -> Column:
     """ASCII form of a text: accents removed, ligatures and signs spelt out, other non-ASCII dropped.
 
-    Characters that stand for one letter are translated; only texts with one
-    that stands for several are taken apart.
+    Characters that stand for one letter are translated; those that stand for
+    several are looked for and each different one is replaced in one pass. ASCII texts are left alone.
     """
-    out = F.translate(as_col(col), "".join(_FOLD_ONE), "".join(_FOLD_ONE.values()))
+    text = as_col(col)
+    one = F.translate(text, "".join(_FOLD_ONE), "".join(_FOLD_ONE.values()))
     spelt = F.map_from_arrays(
         F.array(*[F.lit(ch) for ch in _FOLD_MORE]), F.array(*[F.lit(plain) for plain in _FOLD_MORE.values()])
     )
-    apart = F.transform(
-        F.split(out, ""), lambda ch: F.when(ch < "\x80", ch).otherwise(F.coalesce(F.try_element_at(spelt, ch), ch))
-    )
-    out = F.when(out.rlike("[" + "".join(_FOLD_MORE) + "]"), F.array_join(apart, "")).otherwise(out)
-    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
+    signs = F.array_distinct(F.regexp_extract_all(one, F.lit(_MORE_CLASS), F.lit(0)))
+    out = F.aggregate(signs, one, lambda s, ch: F.replace(s, ch, F.element_at(spelt, ch)))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.regexp_replace(out, r"[^\x00-\x7F]", ""))
 
 
 def slugify(col: Column | str) -> Column:
     """ASCII snake_case of a name."""
-    out = F.regexp_replace(F.lower(fold_ascii(col)), "[^a-z0-9]+", "_")
-    return F.regexp_replace(out, "^_+|_+$", "")
+    return F.btrim(F.regexp_replace(F.lower(fold_ascii(col)), "[^a-z0-9]+", "_"), F.lit("_"))
 
 
 def file_name(path: Column | str) -> Column:
@@ -58,6 +74,7 @@ def file_name(path: Column | str) -> Column:
 def parse_station_filename(col: Column | str) -> Column:
     """Struct (original, slug) from a station file name, null when it does not fit."""
     name = F.trim(F.regexp_extract(as_col(col), S.STATION_FILE_PATTERN, 1))
+
     slug = slugify(name)
     return F.when(slug != "", F.struct(name.alias("original"), slug.alias("slug")))
 

@@ -321,3 +321,31 @@ def test_experiment_files(spark, tmp_path):
     assert (row["experiment_name"], row["epochs"], row["data"]["sequence_length"]) == ("e", 50, 168)
     assert row["data"]["feature_columns"] == S.FEATURE_COLUMNS and row["model"]["model_type"] == "lstm"
     assert row["governance"]["owner"] is None and row["run_name"] is None
+
+
+def seconds(df, col):
+    """Shortest of three runs over all rows."""
+    import time
+
+    took = []
+    for _ in range(3):
+        began = time.perf_counter()
+        df.select(F.sum(F.xxhash64(col) % 7)).collect()
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
+def test_long_texts_are_folded_in_time(spark):
+    """Texts with a few signs cost a few times what a plain pattern costs (before: about fifty times)."""
+    text = F.concat(F.repeat(F.concat(F.col("id").cast("string"), F.lit(" o céu está nublado e chove muito, ")), 100), F.lit("ﬁno №7 漢"))
+    df = spark.range(0, 800, 1, 2).select(text.alias("n")).cache()
+    df.count()
+    assert seconds(df, X.slugify("n")) < 12 * seconds(df, F.regexp_replace("n", "[^a-z0-9]+", "_"))
+    assert df.select(X.slugify("n").alias("s")).where("s LIKE '0_o_ceu_esta_nublado%_muito_fino_no7'").count() == 1
+
+
+def test_every_sign_is_spelt_out(spark):
+    names = [f"a{ch}b" for ch in X._FOLD] + ["ﬁﬁ漢№é", "漢", "", None]
+    want = ["a" + X._FOLD[n[1:-1]] + "b" for n in names[:-4]] + ["fifiNoe", "", "", None]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    assert [r[0] for r in df.orderBy("i").select(X.fold_ascii("n")).collect()] == want
