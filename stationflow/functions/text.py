@@ -75,8 +75,10 @@ def parse_station_filename(col: Column | str) -> Column:
     """Struct (original, slug) from a station file name, null when it does not fit."""
     name = F.trim(F.regexp_extract(as_col(col), S.STATION_FILE_PATTERN, 1))
 
-    slug = slugify(name)
-    return F.when(slug != "", F.struct(name.alias("original"), slug.alias("slug")))
+    def pair(n: Column) -> Column:
+        return _once(slugify(n), lambda slug: F.when(slug != "", F.struct(n.alias("original"), slug.alias("slug"))))
+
+    return _once(name, pair)
 
 
 def label_lookup(col: Column | str, labels: dict, default: Column | None = None) -> Column:

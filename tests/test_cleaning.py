@@ -349,3 +349,14 @@ def test_every_sign_is_spelt_out(spark):
     want = ["a" + X._FOLD[n[1:-1]] + "b" for n in names[:-4]] + ["fifiNoe", "", "", None]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
     assert [r[0] for r in df.orderBy("i").select(X.fold_ascii("n")).collect()] == want
+
+
+def test_file_names_are_read_once(spark):
+    """A name's parts cost a few times what its pattern costs (before: the slug was made again for each use)."""
+    name = F.concat(F.lit("INMET_S_RS_A1_Sao "), F.col("id").cast("string"), F.lit(" do Sul_01-01-2026_A_31-03-2026.CSV"))
+    df = spark.range(0, 40_000, 1, 2).select(name.alias("n")).cache()
+    df.count()
+    p = X.parse_station_filename("n")
+    pattern = F.regexp_extract("n", S.STATION_FILE_PATTERN, 1)
+    assert seconds(df, F.concat(p["original"], p["slug"])) < 15 * seconds(df, pattern)
+    assert df.select(p["slug"].alias("s")).where("s = 'sao_7_do_sul'").count() == 1
