@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import schema as S
@@ -11,6 +14,8 @@ from ..functions import numbers as N
 from ..session import shared_dir
 
 MAX_QUERY_BLOCK = 1024
+MOST_SCORES = 2 << 20
+HELD_BLOCKS = 16
 
 
 def centroid(df: DataFrame, vec: str = "embedding", by: Sequence[str] = ()) -> DataFrame:
@@ -40,6 +45,62 @@ def semantic_drift(
     return both.select(*by, value.alias("drift"), (value > threshold).alias("alert"))
 
 
+def matrix_of(values: pa.Array, n: int) -> np.ndarray:
+    """``n`` vectors end to end as rows of doubles."""
+    return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
+
+
+def first_of_each(group: np.ndarray, distance: np.ndarray, ids: pa.Array, k: int) -> np.ndarray:
+    """Positions of the ``k`` smallest (distance, id) of each group, in order."""
+    values = ids.to_pandas()
+    rank = values.to_numpy() if values.dtype.kind in "iu" else pd.factorize(values, sort=True)[0]
+    order = np.lexsort((rank, distance, group))
+    sorted_group = group[order]
+    return order[np.arange(len(order)) - np.searchsorted(sorted_group, sorted_group) < k]
+
+
+def nearest(q: np.ndarray, d: np.ndarray, ids: pa.Array, k: int, worst: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``q``, row of ``d``, squared distance) of the ``k`` nearest to each, ties by id; none beyond ``worst``.
+
+    Products tell which rows can be among them, with slack for their rounding; distances of those are exact.
+    """
+    found = []
+    d2, step = (d * d).sum(axis=1), max(1, MOST_SCORES // max(1, len(d)))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        q2 = (part * part).sum(axis=1)
+        near = q2[:, None] + d2[None, :] - 2.0 * (part @ d.T)
+        slack = 1e-9 * (q2 + d2.max() + 1.0)
+        limit = np.full(len(part), np.inf) if worst is None else worst[at : at + step] + slack
+        good = near <= limit[:, None]
+        if k < len(d) and good.sum() > 4 * k * len(part):
+            good &= near <= (np.partition(near, k - 1, axis=1)[:, k - 1] + slack)[:, None]
+        qi, di = np.nonzero(good)
+        cuts = range(0, len(qi), max(1, MOST_SCORES // q.shape[1]))
+        exact = [((part[qi[c : c + cuts.step]] - d[di[c : c + cuts.step]]) ** 2).sum(axis=1) for c in cuts]
+        exact = np.concatenate(exact) if exact else np.empty(0)
+        best = first_of_each(qi, exact, ids.take(pa.array(di)), k)
+        found.append((qi[best] + at, di[best], exact[best]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _blocks(rows: DataFrame, vec: str, block: int, max_bytes: int) -> DataFrame:
+    """One row for ``block`` rows, or as many as ``max_bytes`` hold: the columns as lists, vectors end to end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            size = max(1, min(block, max_bytes // (8 * max(1, len(batch.column(vec)[0])))))
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                values = [part.column(c).flatten() if c == vec else part.column(c) for c in part.schema.names]
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(v)], v) for v in values], names=part.schema.names)
+
+    kinds = ", ".join(f"`{c}` {kind}" if c == vec else f"`{c}` array<{kind}>" for c, kind in rows.dtypes)
+    return rows.mapInArrow(run, kinds)
+
+
 def topk_similar(
     queries: DataFrame,
     docs: DataFrame,
@@ -48,63 +109,69 @@ def topk_similar(
     doc_id: str = "doc_id",
     vec: str = "embedding",
     block: int = MAX_QUERY_BLOCK,
-    max_bytes: int = 64 << 20,
+    max_bytes: int = 8 << 20,
 ) -> DataFrame:
     """The ``k`` documents nearest to each query (squared distance), exact.
 
     Different vectors under one ``query_id`` are queries of their own, ranked
-    apart; rows that repeat a query count once. Query vectors stream through the
-    driver a block at a time: a block has ``block`` rows, or fewer where their
-    vectors would take more than ``max_bytes``. It goes out with the tasks, and each
-    batch of documents returns only its ``k`` best per query, so pairs are never
-    shuffled. What a block finds is written to the shared folder before the next.
+    apart; rows that repeat a query count once. Queries and documents are written as blocks
+    of ``block`` rows, or fewer where their vectors would take more than ``max_bytes``;
+    Spark pairs the blocks, and a task keeps only the ``k`` best of each query over the blocks
+    of documents it sees. Neither side passes the driver, and pairs of rows are never shuffled.
     """
-    import numpy as np
-    import pandas as pd
-
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)
     qkind = dict(queries.dtypes)[query_id]
-    schema = f"{query_id} {qkind}, __vec long, {doc_id} {kinds[doc_id]}, distance double"
-    asked = queries.select(query_id, F.xxhash64(vec).alias("__vec"), vec).dropDuplicates([query_id, "__vec"])
-    out = shared_dir(spark, "nearest")
-
-    def blocks():
-        ids, vectors, size = [], [], 0
-        for r in asked.toLocalIterator():
-            size += 8 * len(r[2])
-            ids.append((r[0], r[1]))
-            vectors.append(r[2])
-            if len(ids) >= block or size >= max_bytes:
-                yield ids, np.array(vectors, dtype="float64")
-                ids, vectors, size = [], [], 0
-        if ids:
-            yield ids, np.array(vectors, dtype="float64")
-
-    def scan(ids, q):
-        q2 = (q * q).sum(axis=1)
-
-        def run(batches):
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                d = np.array(pdf[vec].tolist(), dtype="float64")
-                d2 = (d * d).sum(axis=1)
-                near = q2[:, None] + d2[None, :] - 2.0 * (q @ d.T)
-                take = min(k, len(d))
-                bound = np.partition(near, take - 1, axis=1)[:, take - 1]
-                slack = 1e-9 * (q2 + d2.max() + 1.0)
-                qi, di = np.nonzero(near <= (bound + slack)[:, None])
-                exact = ((q[qi] - d[di]) ** 2).sum(axis=1)
-                yield pd.DataFrame(
-                    {query_id: [ids[i][0] for i in qi], "__vec": [ids[i][1] for i in qi], doc_id: pdf[doc_id].to_numpy()[di], "distance": exact}
-                )
-
-        return docs.select(doc_id, vec).mapInPandas(run, schema)
-
-    spark.createDataFrame([], schema).write.parquet(out)
-    for ids, q in blocks():
-        scan(ids, q).write.mode("append").parquet(out)
-    w = Window.partitionBy(query_id, "__vec").orderBy("distance", doc_id)
-    found = spark.read.schema(schema).parquet(out).withColumn("rank", F.row_number().over(w))
-    return found.where(F.col("rank") <= k).drop("__vec")
+    double = F.col(vec).cast("array<double>").alias("v")
+    asked = queries.select(F.col(query_id).alias("query"), F.xxhash64(vec).alias("qvec"), double).dropDuplicates(["query", "qvec"])
+    rows = docs.select(F.col(doc_id).alias("doc"), double)
+    sides = []
+    for name, side in (("queries", asked), ("docs", rows)):
+        path = shared_dir(spark, "nearest-" + name)
+        _blocks(side, "v", block, max_bytes).write.parquet(path)
+        sides.append(spark.read.parquet(path))
+    numbered = sides[0].withColumnRenamed("v", "q").withColumn("block", F.xxhash64("query", "qvec"))
+    schema = f"query {qkind}, qvec long, doc {kinds[doc_id]}, distance double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple] = {}  # block of queries -> ids, vector hashes, row of the block, documents, distances
+
+        def out(kept: tuple) -> pa.RecordBatch:
+            query, qvec, row, doc, distance = kept
+            at = pa.array(row)
+            return pa.RecordBatch.from_arrays(
+                [query.take(at), qvec.take(at), doc, pa.array(distance)], names=["query", "qvec", "doc", "distance"]
+            )
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = {c: batch.column(c)[i] for c in batch.schema.names}
+                key, query, doc = one["block"].as_py(), one["query"].values, one["doc"].values
+                n = len(query)
+                q = matrix_of(one["q"].values, n)
+                d = matrix_of(one["v"].values, len(doc))
+                if q.shape[1] != d.shape[1]:
+                    raise ValueError(f"vectors of {q.shape[1]} and {d.shape[1]} components")
+                if key not in held and len(held) >= HELD_BLOCKS:
+                    yield out(held.pop(next(iter(held))))
+                if key in held:
+                    _, _, row, docs_, distance = held[key]
+                    worst = np.full(n, np.inf)
+                    counts = np.bincount(row, minlength=n)
+                    full = np.flatnonzero(counts >= k)
+                    worst[full] = distance[np.cumsum(counts)[full] - 1]
+                    qi, di, new = nearest(q, d, doc, k, worst)
+                    row, distance = np.concatenate([row, qi]), np.concatenate([distance, new])
+                    both = pa.concat_arrays([docs_, doc.take(pa.array(di))])
+                    best = first_of_each(row, distance, both, k)
+                    held[key] = query, one["qvec"].values, row[best], both.take(pa.array(best)), distance[best]
+                else:
+                    qi, di, new = nearest(q, d, doc, k)
+                    held[key] = query, one["qvec"].values, qi, doc.take(pa.array(di)), new
+        for kept in held.values():
+            yield out(kept)
+
+    found = numbered.crossJoin(sides[1]).mapInArrow(run, schema)
+    w = Window.partitionBy("query", "qvec").orderBy("distance", "doc")
+    ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "distance", "rank")

@@ -14,11 +14,12 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..session import shared_dir
-from .joins import spread_join
-from .retrieval import topk_similar
+from .retrieval import matrix_of, nearest, topk_similar
 
 SAMPLE_QUERIES = 64
 SAMPLE_VECTORS = 2_000
@@ -26,6 +27,8 @@ MOST_TABLES = 24
 MOST_HASHES = 12
 SHARD_ROWS = 1_000_000
 MOST_IDS = 100
+FULL_BYTES = 32 << 20
+SEND_ROWS = 10_000
 
 
 def meeting(distance: np.ndarray, width: float) -> np.ndarray:
@@ -132,7 +135,8 @@ def read_index(spark: SparkSession, path: str) -> tuple[Projections, int]:
 def search_index(queries: DataFrame, path: str, k: int = 3, query_id: str = "query_id", doc_id: str = "doc_id", vec: str = "embedding") -> DataFrame:
     """The ``k`` (at most ``MOST_IDS``) nearest documents of each query among those that share a bucket: ``query_id doc_id distance rank``.
 
-    Queries meet the index by table, shard and bucket, spread over sub-keys, and never pass
+    Rows and queries of a bucket lie one after the other in a task: the rows are held, the queries stream past them, and
+    only ``k`` results of a query leave the bucket. Buckets of more than ``FULL_BYTES`` are spread over several tasks. Nothing passes
     the driver; folders that no query needs are left out by Spark where the queries are few. Distances are exact.
     Different vectors under one id are ranked apart, as in ``topk_similar``.
     """
@@ -140,17 +144,70 @@ def search_index(queries: DataFrame, path: str, k: int = 3, query_id: str = "que
         raise ValueError(f"k is at most {MOST_IDS}")
     spark = queries.sparkSession
     projections, shards = read_index(spark, path)
-    asked = queries.select(query_id, F.col(vec).alias("__q")).withColumn("__vec", F.xxhash64("__q")).dropDuplicates([query_id, "__vec"])
-    asked = _bucketed(asked, projections, "__q").withColumn("shard", F.pmod("bucket", F.lit(shards)).cast("int"))
+    asked = queries.select(F.col(query_id).alias("query"), F.col(vec).alias("v")).withColumn("qvec", F.xxhash64("v")).dropDuplicates(["query", "qvec"])
+    asked = _bucketed(asked, projections, "v").withColumn("shard", F.pmod("bucket", F.lit(shards)).cast("int"))
     index = spark.read.parquet(f"{path}/rows")
-    met = spread_join(index, asked, ["table", "shard", "bucket"], [vec])
-    distance = F.aggregate(F.zip_with(vec, "__q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    scored = met.select(query_id, "__vec", F.explode("ids").alias(doc_id), distance.alias("distance"), F.xxhash64(vec).alias("__d"))
-    near = Window.partitionBy(query_id, "__vec").orderBy("distance", doc_id)
+    cell, most = ["table", "bucket"], max(1, FULL_BYTES // (8 * projections.dim))
+    parts = F.ceil(F.count(F.lit(1)) / most).cast("int").alias("parts")
+    crowded = index.groupBy(*cell).agg(parts).where("parts > 1")
+    wanted = index.join(asked.select("table", "shard").distinct(), ["table", "shard"], "left_semi")
+    own = F.pmod(F.xxhash64(vec), F.coalesce(F.col("parts"), F.lit(1))).cast("int")
+    rows = wanted.join(crowded, cell, "left").select(
+        *cell, own.alias("salt"), F.lit(False).alias("asks"), F.col(vec).alias("v"), F.xxhash64(vec).alias("dvec"), "ids",
+        F.lit(None).cast(asked.schema["query"].dataType).alias("query"), F.lit(None).cast("long").alias("qvec"),
+    )
+    every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("parts"), F.lit(1)) - 1))
+    probes = asked.join(crowded, cell, "left").select(
+        *cell, every.alias("salt"), F.lit(True).alias("asks"), "v", F.lit(None).cast("long").alias("dvec"),
+        F.lit(None).cast(index.schema["ids"].dataType).alias("ids"), "query", "qvec",
+    )
+    dealt = rows.unionByName(probes).repartition(*cell, "salt").sortWithinPartitions(*cell, "salt", "asks")
+    kinds = dict(dealt.dtypes)
+    met = dealt.mapInArrow(_meet(k, projections.dim), f"query {kinds['query']}, qvec long, dvec long, ids {kinds['ids']}, distance double")
+    scored = met.select("query", "qvec", "dvec", "distance", F.explode("ids").alias("doc"))
+    near = Window.partitionBy("query", "qvec").orderBy("distance", "doc")
     # a document comes once from each table it shares; as many times k are enough to hold k different ones
-    few = scored.withColumn("__r", F.row_number().over(near)).where(F.col("__r") <= k * projections.tables)
-    once = few.dropDuplicates([query_id, "__vec", doc_id, "__d"])
-    return once.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k).select(query_id, doc_id, "distance", "rank")
+    few = scored.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k * projections.tables)
+    once = few.dropDuplicates(["query", "qvec", "doc", "dvec"])
+    ranked = once.withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= k)
+    return ranked.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), "distance", "rank")
+
+
+def _meet(k: int, dim: int):
+    """The ``k`` nearest rows of a bucket for each of its queries; rows come before queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, packed, made = None, [], None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("table", "bucket", "salt", "asks")])
+            edges = (np.flatnonzero((at[:, 1:] != at[:, :-1]).any(axis=0)) + 1).tolist()
+            for a, b in zip([0, *edges], [*edges, batch.num_rows]):
+                if (here := tuple(at[:3, a].tolist())) != cell:
+                    cell, held, packed = here, [], None
+                part = batch.slice(a, b - a)
+                if not at[3, a]:
+                    held.append(part)
+                    packed = None
+                elif held:
+                    if packed is None:
+                        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                        packed = rows, matrix_of(rows.column("v").flatten(), rows.num_rows), pc.list_element(rows.column("ids"), 0)
+                    rows, d, first = packed
+                    qi, di, distance = nearest(matrix_of(part.column("v").flatten(), part.num_rows), d, first, k)
+                    qi, di = pa.array(qi), pa.array(di)
+                    made.append(pa.RecordBatch.from_arrays(
+                        [part.column("query").take(qi), part.column("qvec").take(qi), rows.column("dvec").take(di), rows.column("ids").take(di), pa.array(distance)],
+                        names=["query", "qvec", "dvec", "ids", "distance"],
+                    ))
+                    if sum(m.num_rows for m in made) >= SEND_ROWS or len(made) >= SEND_ROWS // 10:
+                        yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+                        made = []
+        if made:
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+
+    return run
 
 
 def indexed(docs: DataFrame, k: int = 3, target: float = 0.95, doc_id: str = "doc_id", vec: str = "embedding") -> str:

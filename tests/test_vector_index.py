@@ -60,3 +60,25 @@ def test_empty_index(spark, tmp_path):
     fitted = I.fit_projections(none)
     I.build_index(none, str(tmp_path / "index"), fitted)
     assert fitted.tables == 1
+
+
+def test_searches_bring_no_rows_to_the_driver(spark, tmp_path, monkeypatch):
+    """Every vector is a query; blocks of queries and documents meet in tasks, full buckets are spread."""
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=8)) for i in range(500)] + [(1000 + i, np.ones(8)) for i in range(300)]
+    docs = vectors(spark, rows).cache()
+    path = str(tmp_path / "index")
+    I.build_index(docs, path, I.Projections(8, 6.0, 1, 3), shards=1)
+    monkeypatch.setattr(I, "FULL_BYTES", 64 * 50)  # buckets over 50 rows
+    kind = type(docs)
+    with monkeypatch.context() as m:
+        for name in ("toLocalIterator", "collect", "toPandas", "take"):
+            m.setattr(kind, name, lambda *a, **b: (_ for _ in ()).throw(AssertionError("rows to the driver")))
+        exact = V.topk_similar(docs.withColumnRenamed("doc_id", "query_id"), docs, 4, block=64)
+    exact = {(r.query_id, r["rank"]): (r.doc_id, r.distance) for r in exact.collect()}
+    x, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    for i, v in rows[::37]:
+        d = ((x - v) ** 2).sum(axis=1)
+        assert [exact[i, r + 1][0] for r in range(4)] == ids[np.lexsort((ids, d))][:4].tolist()
+    found = I.search_index(docs.withColumnRenamed("doc_id", "query_id"), path, 4).collect()
+    assert len(found) == 4 * len(rows) and sum((r.doc_id, r.distance) == exact[r.query_id, r["rank"]] for r in found) >= 0.9 * len(found)
