@@ -3,13 +3,14 @@
 The processors keep rows of a key by time slot; a slot's timer fires once the
 watermark has passed its end, slots of a key in order of time. State lives in
 RocksDB, so a key may hold more rows than fit in memory; a task looks at one
-slot of a key at a time.
+slot of a key, or of a group of keys, at a time.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +20,9 @@ from ..functions.times import hours_after
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 SLOTS_PER_LIFE = 60
+KEY_GROUPS = 64
+HELD_ROWS = 200_000
+SEND_ROWS = 10_000
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -38,9 +42,10 @@ def clocked(stream: DataFrame, at: Column, late: str) -> DataFrame:
 
 
 class FirstRequests(StatefulProcessor):
-    """Judges the requests of a key in order of time: which ones no live earlier result answers.
+    """Judges the requests of a group of keys in order of time: which ones no live earlier result of their key answers.
 
-    Rows come as ``k`` (the key), ``row`` (the id), ``us``, ``beat`` (no request).
+    Rows come as ``g`` (the group), ``k`` (the key), ``row`` (the id), ``us``, ``beat`` (no request). State has an entry
+    for each slot of a group, not of a key, and is read and written once a batch for a slot.
     """
 
     def __init__(self, id_type: str, ttl_us: int, slot_us: int):
@@ -48,54 +53,88 @@ class FirstRequests(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot bigint", f"us array<bigint>, id array<{self.id_type}>")
-        self.anchor = handle.getValueState("anchor", "us bigint")
+        self.waiting = handle.getMapState("waiting", "slot bigint", f"us array<bigint>, id array<{self.id_type}>, k array<string>")
+        self.live = handle.getValueState("live", "k array<string>, us array<bigint>")
+        self.next = handle.getValueState("next", "slot bigint")
 
     def _end_ms(self, slot: int) -> int:
         return (slot + 1) * self.slot_us // 1000
 
-    def _forget_ms(self, anchor: int) -> int:
-        """One slot after a result has expired nothing can meet it any more."""
-        return self._end_ms((anchor + self.ttl_us) // self.slot_us + 1)
+    def _keep(self, new: dict[int, list[list]]) -> None:
+        """Add waiting rows to the state; a timer stands at the end of the first slot."""
+        for slot, rows in new.items():
+            if self.waiting.containsKey((slot,)):
+                rows = [list(old) + own for old, own in zip(self.waiting.getValue((slot,)), rows)]
+            self.waiting.updateValue((slot,), tuple(rows))
+        if new and (not self.next.exists() or min(new) < self.next.get()[0]):
+            self._wake(min(new))
+
+    def _wake(self, slot: int) -> None:
+        self.next.update((slot,))
+        self.handle.registerTimer(self._end_ms(slot))
+
+    def _rows(self, made: list[tuple], late: bool) -> pd.DataFrame:
+        k, row, us = zip(*made)
+        return pd.DataFrame({"k": k, "row": row, "anchor_us": pd.array(us, dtype="Int64"), "late": late})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs()
-        behind = []
+        new, n = {}, 0
         for frame in rows:
             frame = frame[~frame["beat"]]
-            for slot, own in frame.groupby(frame["us"] // self.slot_us):
-                slot = int(slot)
-                if self._end_ms(slot) <= watermark:
-                    behind += own["row"].tolist()
-                    continue
-                us, ids = own["us"].tolist(), own["row"].tolist()
-                if self.waiting.containsKey((slot,)):
-                    old = self.waiting.getValue((slot,))
-                    us, ids = list(old[0]) + us, list(old[1]) + ids
-                else:
-                    self.handle.registerTimer(self._end_ms(slot))
-                self.waiting.updateValue((slot,), (us, ids))
-        if behind:
-            yield pd.DataFrame({"k": key[0], "row": behind, "anchor_us": pd.array([None] * len(behind), dtype="Int64"), "late": True})
+            frame = frame.assign(slot=frame["us"] // self.slot_us).sort_values("slot", kind="stable")
+            behind = self._end_ms(frame["slot"]) <= watermark
+            if behind.any():
+                own = frame[behind]
+                yield self._rows([(k, row, None) for k, row in zip(own["k"].tolist(), own["row"].tolist())], True)
+                frame = frame[~behind]
+            columns = [frame[c].tolist() for c in ("us", "row", "k")]
+            slots, starts = np.unique(frame["slot"].to_numpy(), return_index=True)
+            for slot, a, b in zip(slots.tolist(), starts.tolist(), [*starts.tolist()[1:], len(frame)]):
+                held = new.setdefault(slot, [[], [], []])
+                for mine, column in zip(held, columns):
+                    mine += column[a:b]
+            n += len(frame)
+            if n >= HELD_ROWS:
+                self._keep(new)
+                new, n = {}, 0
+        self._keep(new)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
-        slot = end * 1000 // self.slot_us - 1
-        anchor = self.anchor.get()[0] if self.anchor.exists() else None
-        if self.waiting.containsKey((slot,)):
-            us, ids = self.waiting.getValue((slot,))
-            self.waiting.removeKey((slot,))
-            made = []
-            for at, row in sorted(zip(us, ids)):
+        """Judges every slot that the watermark has passed, one after the other."""
+        if not self.next.exists() or self._end_ms(self.next.get()[0]) > expiredTimerInfo.getExpiryTimeInMs():
+            return  # an earlier timer has judged the slot
+        watermark = timerValues.getCurrentWatermarkInMs()
+        slots = sorted(slot for (slot,) in self.waiting.keys())
+        due = [slot for slot in slots if self._end_ms(slot) <= watermark]
+        live = dict(zip(*self.live.get())) if self.live.exists() else {}
+        made = []
+        for slot in due:
+            for at, row, k in sorted(zip(*self.waiting.getValue((slot,))), key=lambda r: r[:2]):
+                anchor = live.get(k)
                 if anchor is None or at > anchor + self.ttl_us:
-                    anchor = at
-                    made.append((row, at))
-            if made:
-                self.anchor.update((anchor,))
-                self.handle.registerTimer(self._forget_ms(anchor))
-                yield pd.DataFrame({"k": key[0], "row": [m[0] for m in made], "anchor_us": pd.array([m[1] for m in made], dtype="Int64"), "late": False})
-        if anchor is not None and self._forget_ms(anchor) <= end:
-            self.anchor.clear()
+                    live[k] = at
+                    made.append((k, row, at))
+            self.waiting.removeKey((slot,))
+            if len(made) >= SEND_ROWS:
+                yield self._rows(made, False)
+                made = []
+                # results that no later slot can meet
+                live = {k: us for k, us in live.items() if us + self.ttl_us >= (slot + 1) * self.slot_us}
+        if made:
+            yield self._rows(made, False)
+        first = watermark * 1000 // self.slot_us * self.slot_us  # rows before it are late
+        live = {k: us for k, us in live.items() if us + self.ttl_us >= first}
+        if live:
+            self.live.update((list(live), list(live.values())))
+        elif self.live.exists():
+            self.live.clear()
+        if len(due) < len(slots):
+            self._wake(slots[len(due)])
+        elif live:  # to forget the last results
+            self._wake((max(live.values()) + self.ttl_us) // self.slot_us + 1)
+        else:
+            self.next.clear()
 
     def close(self) -> None:
         pass
@@ -103,7 +142,7 @@ class FirstRequests(StatefulProcessor):
 
 def ttl_requests(
     stream: DataFrame, key: Sequence[str], ts: str, row_id: str, ttl: int = S.CACHE_TTL_SECONDS, late: str = "1 hour",
-    slot_seconds: int | None = None,
+    slot_seconds: int | None = None, groups: int = KEY_GROUPS,
 ) -> DataFrame:
     """``key, row_id, anchor_us, late``: the requests that no live earlier result answers, and late ones.
 
@@ -113,6 +152,7 @@ def ttl_requests(
     that was judged already comes out with ``late`` true and is judged by nobody. A
     row with a null id is a heartbeat: it moves the watermark and is no request.
     The last result of a key is forgotten after its lifetime. A slot takes a sixtieth of a lifetime by default.
+    Keys are dealt into ``groups`` that share their state; a checkpoint keeps the number it began with.
     """
     key, slot_seconds = list(key), slot_seconds or max(1, ttl // SLOTS_PER_LIFE)
     use_rocksdb(stream.sparkSession)
@@ -120,11 +160,12 @@ def ttl_requests(
     of_key = stream.select(*key).schema
     # the key as one text: null parts stay apart from others, and numbers stay whole beside them
     # (heartbeats are left to the processor: Spark would take a filter to the rows before the watermark sees them)
+    text = F.to_json(F.struct(*key))
     rows = clocked(stream, F.col(ts), late).select(
-        F.to_json(F.struct(*key)).alias("k"), F.coalesce(F.col(row_id), F.lit("0").cast(id_type)).alias("row"),
+        F.pmod(F.xxhash64(text), F.lit(groups)).cast("int").alias("g"), text.alias("k"), F.coalesce(F.col(row_id), F.lit("0").cast(id_type)).alias("row"),
         F.col("__us").alias("us"), F.col(row_id).isNull().alias("beat"),
     )
-    judged = rows.groupBy("k").transformWithStateInPandas(
+    judged = rows.groupBy("g").transformWithStateInPandas(
         statefulProcessor=FirstRequests(id_type, ttl * 1_000_000, slot_seconds * 1_000_000),
         outputStructType=f"k string, row {id_type}, anchor_us bigint, late boolean", outputMode="Append", timeMode="EventTime",
     )

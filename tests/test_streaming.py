@@ -205,3 +205,20 @@ def test_raw_files_replace_their_hours(spark, tmp_path):
     old = (REF - dt.timedelta(days=400)).timestamp()
     os.utime(raw / name.format(y=2024).replace("_31-12", "_31-03"), (old, old))
     assert load() == {("dom_pedrito", 2023): 1.0, ("dom_pedrito", 2024): 13.0}
+
+
+def test_results_wait_for_requests_before_the_next_slot(spark, tmp_path):
+    """A result still answers a request that comes later and lies before the first slot that waits."""
+    made, late = judged_requests(spark, tmp_path, [[("a", 3000, 1), ("b", 9000, 2)], [("a", 6000, 3)]])
+    assert set(made) == {1, 2} and late == {}
+
+
+def test_state_grows_with_slots_and_not_with_keys(spark, tmp_path):
+    schema = "k string, ts timestamp, id bigint"
+    rows = [(f"k{i}", REF + dt.timedelta(seconds=60 * (i % 4)), i) for i in range(2000)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    q = jobs.ttl_first_requests(stream, ["k"], "ts", "id", f"{tmp_path}/out", f"{tmp_path}/ck")
+    run(q)
+    # before: an entry and a timer for each key, 2,000 of either
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 64 * 8
