@@ -355,10 +355,10 @@ def file_fingerprint(spark, sf):
     root = shared_dir(spark, "rows")
     line = F.concat_ws(",", "doc_id", "lang", "n_chars", "text")
     d = table(spark, sf, "documents").select("source", F.floor(F.col("doc_id") / 100).alias("block"), "doc_id", line.alias("value"))
-    ordered = d.repartition("source", "block").sortWithinPartitions("source", "block", "doc_id").drop("doc_id")
-    ordered.write.partitionBy("source", "block").text(root)
+    streams.write_lines(d, root, ["source", "block"], ["doc_id"])
     out = SF.file_fingerprint(spark, root, [".txt"])
-    return out.select(_folder(F.col("path"), "source").alias("source"), _folder(F.col("path"), "block").cast("bigint").alias("block"), "length", "sha256")
+    source = F.url_decode(F.nullif(_folder(F.col("path"), "source"), F.lit(streams.NO_VALUE)))
+    return out.select(source.alias("source"), _folder(F.col("path"), "block").cast("bigint").alias("block"), "length", "sha256")
 
 
 @query("""SELECT 'src3' AS preferred, '/spec/' || source || '/' || CAST(doc_id AS VARCHAR) || '.parquet' AS path, n_chars AS length, 0 AS level

@@ -360,3 +360,21 @@ def test_file_names_are_read_once(spark):
     pattern = F.regexp_extract("n", S.STATION_FILE_PATTERN, 1)
     assert seconds(df, F.concat(p["original"], p["slug"])) < 15 * seconds(df, pattern)
     assert df.select(p["slug"].alias("s")).where("s = 'sao_7_do_sul'").count() == 1
+
+
+def test_many_small_files_are_written_by_tasks(spark, tmp_path):
+    """A file for each key, nothing moved afterwards; readers deal files by number as well as by bytes."""
+    import hashlib
+
+    from stationflow.sources import features, streams
+
+    rows = [(s, b, i, f"{i} é") for s in ("a b", "x/y", "100%+", None) for b in range(300) for i in (2, 1)]
+    df = spark.createDataFrame(rows, "source string, block int, id int, value string")
+    assert streams.write_lines(df, str(tmp_path / "out"), ["source", "block"], ["id"]) == 1200
+    names = [p for p, _ in streams.files_under(str(tmp_path / "out"))]
+    assert len(names) == 1200 and all(p.endswith("/lines.txt") for p in names)
+    got = features.file_fingerprint(spark, str(tmp_path / "out"), [".txt"]).collect()
+    assert {(r.length, r.sha256) for r in got} == {(10, hashlib.sha256("1 é\n2 é\n".encode()).hexdigest())}
+    assert len(got) == 1200 and len(streams.DigestReader(str(tmp_path / "out"), [], 1000, 1 << 30).partitions()) == 3
+    assert streams.write_lines(df.limit(0), str(tmp_path / "none"), ["source"], ["id"]) == 0
+    assert features.file_fingerprint(spark, str(tmp_path / "none")).count() == 0
