@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from stationflow.llm.common import staged, table, text_key
+from stationflow.llm.common import small_batches, staged, table, text_key
 from stationflow.llm.decontam import decontaminate
 from stationflow.llm.jaccard import near_duplicates
 from stationflow.llm.langid import judge, learn
@@ -27,7 +27,8 @@ def _matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents whose language cannot be told: no letters, or a tie of the best two."""
     found = judge(F.col("text"), learn(docs.select("text", "lang")))
-    return docs.withColumn("__found", found).where(~F.col("__found.rejected")).drop("__found")
+    with small_batches(spark):  # written here, as later jobs would send texts in large batches
+        return staged(docs.withColumn("__found", found).where(~F.col("__found.rejected")).drop("__found"), "judged")
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import os
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from stationflow.session import shared_dir
@@ -30,6 +34,45 @@ def staged(df: DataFrame, purpose: str, partition_by: Sequence[str] = ()) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def written(df: DataFrame, purpose: str, make: Callable[[Batches], Batches] | None = None, schema: str | None = None) -> DataFrame:
+    """As ``staged`` for operators on Arrow batches; in a local folder each task writes its file itself.
+
+    For the mode of each file that Spark's writer creates in a local folder, Hadoop starts two child
+    processes of the executor, and a child that is just being started shares, and counts, all its memory.
+    ``make`` is applied to the batches before, as by ``mapInArrow`` with ``schema``. Each batch is a row group.
+    A file gets its name when it is whole; a task that is run again replaces it.
+    """
+    spark = df.sparkSession
+    made = df.mapInArrow(make, schema) if make else df
+    path = shared_dir(spark, purpose)
+    if not path.startswith("file:/"):
+        made.write.parquet(path)
+        return spark.read.schema(made.schema).parquet(path)
+    folder = "/" + path.removeprefix("file:").lstrip("/")
+    os.makedirs(folder)
+
+    def run(batches: Batches) -> Batches:
+        part = f"part-{TaskContext.get().partitionId():05d}.parquet"
+        name, out = f"{folder}/.{part}-{TaskContext.get().taskAttemptId()}", None
+        try:
+            for batch in make(batches) if make else batches:
+                if batch.num_rows:
+                    out = out or pq.ParquetWriter(name, batch.schema, use_dictionary=False)
+                    out.write_table(pa.Table.from_batches([batch]))
+        finally:
+            if out is not None:
+                out.close()
+        if out is not None:
+            os.replace(name, f"{folder}/{part}")
+        yield from ()
+
+    df.mapInArrow(run, "done boolean").collect()
+    return spark.read.schema(made.schema).parquet(path)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
     """Jobs run inside send rows to Python in batches of this size; the session's setting comes back after."""

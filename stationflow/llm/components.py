@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import staged
+from .common import written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -21,16 +21,16 @@ def components(edges: DataFrame) -> DataFrame:
     Self-loops are kept as single nodes. No neighbour list is gathered in a row.
     """
     loops = edges.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("root"))
-    e = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(e)
     while before[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.where("u <> v").distinct(), "large")
+        large = written(large.where("u <> v").distinct(), "large")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(
+        e = written(
             small.union(down.select("u", F.col("m").alias("v")))
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small",
         )

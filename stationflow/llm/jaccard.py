@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import small_batches, staged, text_key
+from .common import small_batches, text_key, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -279,14 +279,14 @@ def _near_duplicates(docs: DataFrame, threshold: float, target_recall: float) ->
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), F.col("text").cast("string").alias("text")
     )
-    features = staged(
-        rows.mapInArrow(_features(runs, threshold), "doc_id long, key long, cid long, n long, paths array<long>"), "features"
+    features = written(
+        rows, "features", _features(runs, threshold), "doc_id long, key long, cid long, n long, paths array<long>"
     )
     one = features.where("cid IS NOT NULL").groupBy("cid").agg(
         F.count("*").alias("weight"), F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("rep"), F.first("paths").alias("paths")
     )
-    classes = staged(one, "classes")
-    level = staged(_sized(classes.select("cid", F.explode("paths").alias("bucket"))), "level")
+    classes = written(one, "classes")
+    level = written(_sized(classes.select("cid", F.explode("paths").alias("bucket"))), "level")
     level = level.select("cid", "bucket", "size")
     leaves, depth = level.where(F.col("size") <= SMALL), FIRST_LEVELS
     big, dense = level.where(F.col("size") > SMALL), []
@@ -294,20 +294,19 @@ def _near_duplicates(docs: DataFrame, threshold: float, target_recall: float) ->
     while depth < MOST_LEVELS and not big.isEmpty():
         if sets is None:
             # written, so that Spark knows whether the texts must be dealt out to meet them
-            members = staged(classes.join(big.select("cid").distinct(), "cid", "left_semi").select("cid", "rep"), "large")
-            sets = staged(_with_sets(rows, members).dropDuplicates(["cid"]), "sets")
+            members = written(classes.join(big.select("cid").distinct(), "cid", "left_semi").select("cid", "rep"), "large")
+            sets = written(_with_sets(rows, members).dropDuplicates(["cid"]), "sets")
         todo = big.groupBy("cid").agg(F.collect_set("bucket").alias("paths"))
-        split = sets.join(todo, "cid").mapInArrow(_go_on, "cid long, parent long, bucket long")
-        split = staged(split, f"level{depth}")
+        split = written(sets.join(todo, "cid"), f"level{depth}", _go_on, "cid long, parent long, bucket long")
         counts = split.groupBy("parent", "bucket").agg(F.count("*").alias("size")).where("size > 1")
         of = big.groupBy(F.col("bucket").alias("parent")).agg(F.max("size").alias("whole"))
         largest = counts.groupBy("parent").agg(F.max("size").alias("size")).join(of, "parent")
-        alike = staged(largest.where(F.col("size") > DENSE * F.col("whole")).select("parent"), f"dense{depth}")
+        alike = written(largest.where(F.col("size") > DENSE * F.col("whole")).select("parent"), f"dense{depth}")
         dense.append(big.join(alike.withColumnRenamed("parent", "bucket"), "bucket", "left_semi"))
-        counts = staged(counts.join(alike, "parent", "left_anti"), f"counts{depth}")
+        counts = written(counts.join(alike, "parent", "left_anti"), f"counts{depth}")
         level = split.join(counts, ["parent", "bucket"]).select("cid", "bucket", "size")
         leaves = leaves.unionByName(level.where(F.col("size") <= SMALL))
-        big = staged(level.where(F.col("size") > SMALL), f"big{depth}")
+        big = written(level.where(F.col("size") > SMALL), f"big{depth}")
         depth += 1
     for part in dense:
         big = big.unionByName(part.select(*big.columns))
@@ -321,10 +320,10 @@ def _near_duplicates(docs: DataFrame, threshold: float, target_recall: float) ->
         "cid", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("g")
     )
     groups = few.union(middle).union(cut).groupBy("cid").agg(F.collect_set("g").alias("groups"))
-    members = staged(classes.select("cid", "rep", "weight").join(groups, "cid"), "members")
+    members = written(classes.select("cid", "rep", "weight").join(groups, "cid"), "members")
     sent = _with_sets(rows, members).select(F.explode("groups").alias("g"), "cid", "weight", "tokens", "groups")
-    links = staged(
-        sent.repartition("g").sortWithinPartitions("g", "cid").mapInArrow(_compare(threshold), "cid long, links long, low long"), "links"
+    links = written(
+        sent.repartition("g").sortWithinPartitions("g", "cid"), "links", _compare(threshold), "cid long, links long, low long"
     )
     roots = components(links.select(F.col("cid").alias("u"), F.col("low").alias("v")))
     known = (
@@ -333,7 +332,7 @@ def _near_duplicates(docs: DataFrame, threshold: float, target_recall: float) ->
         .join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left")
         .withColumn("root", F.coalesce("root", "cid"))
     )
-    known = staged(known, "known")
+    known = written(known, "known")
     ids = known.groupBy("root").agg(F.min("first_id").alias("class_id"))
     known = known.join(ids, "root").select(
         "cid", "root", "class_id", F.col("first_id").alias("text_class"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")

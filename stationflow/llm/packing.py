@@ -17,20 +17,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import small_batches, staged
-from .tokens import encoded, tokenizer_path
+from .tokens import encoding, tokenizer_path
 
 CAPACITY = 2048
 PART_ITEMS = 20_000
 NUMBER = "piece_no"
 
 
-def cut_pieces(ids: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Pieces of documents (columns ``doc_id n_tokens ids``): only longer ones are cut.
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-    The first piece takes what is left over, all others are full. Gives
-    ``doc_id piece start length ids_crc32`` and, if asked, ``ids``.
-    """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
+
+def _cut(capacity: int, with_ids: bool = False):
+    """Batches of pieces from batches of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,7 +54,16 @@ def cut_pieces(ids: DataFrame, capacity: int = CAPACITY, with_ids: bool = False)
                 out, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
             )
 
-    return ids.select("doc_id", "ids").mapInArrow(run, schema)
+    return run
+
+
+def cut_pieces(ids: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+    """Pieces of documents (columns ``doc_id n_tokens ids``): only longer ones are cut.
+
+    The first piece takes what is left over, all others are full. Gives
+    ``doc_id piece start length ids_crc32`` and, if asked, ``ids``.
+    """
+    return ids.select("doc_id", "ids").mapInArrow(_cut(capacity, with_ids), PIECES + ", ids array<int>" * with_ids)
 
 
 def least_bins(counts: np.ndarray, capacity: int, enough: int | None = None) -> int:
@@ -264,11 +271,14 @@ def certificate(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize, cut and place whole documents: one row per piece."""
+    """Tokenize, cut and place whole documents: one row per piece.
+
+    Both steps on texts share a Python worker: one each would double the workers, and an encoder stays in each of them.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = encoded(rows, path or tokenizer_path()).select("doc_id", "ids")
+    encode, cut = encoding(path or tokenizer_path(), ["doc_id"]), _cut(capacity)
     with small_batches(docs.sparkSession):
-        return place(cut_pieces(ids, capacity), capacity)
+        return place(rows.mapInArrow(lambda batches: cut(encode(batches)), PIECES), capacity)
 
 
 def fill(pieces: DataFrame, placed: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -193,10 +193,8 @@ def _with_ids(encoder: Encoder, batch: pa.RecordBatch, text: str) -> Iterator[tu
         yield part, counts, pa.ListArray.from_arrays(pa.array(ends), pa.array(ids))
 
 
-def encoded(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Replace the ``text`` column by ``ids`` (the end id included) and ``n_tokens``, row by row."""
-    kept = [c for c in rows.columns if c != text]
-    schema = rows.select(*kept).selectExpr("*", "0L n_tokens", "array(0) ids").schema
+def encoding(path: str, kept: Sequence[str], text: str = "text"):
+    """Batches with ``ids`` (the end id included) and ``n_tokens`` beside the ``kept`` columns, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared_encoder(path)
@@ -206,7 +204,14 @@ def encoded(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
                     [*(part.column(c) for c in kept), pa.array(counts), ids], names=[*kept, "n_tokens", "ids"]
                 )
 
-    return rows.mapInArrow(run, schema)
+    return run
+
+
+def encoded(rows: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Replace the ``text`` column by ``ids`` (the end id included) and ``n_tokens``, row by row."""
+    kept = [c for c in rows.columns if c != text]
+    schema = rows.select(*kept).selectExpr("*", "0L n_tokens", "array(0) ids").schema
+    return rows.mapInArrow(encoding(path, kept, text), schema)
 
 
 def write_token_table(

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pytest
 
-from stationflow.llm import components, jaccard, queries, shingles
+from stationflow.llm import common, components, jaccard, queries, shingles
 
 from .helpers import SF, documents, plain
 
@@ -152,3 +152,39 @@ def test_repeats_leave_a_task_once(spark):
     finally:
         jaccard.similar_pairs = keep
     assert sent == {"n": 2} and sorted((r["cid"], r["links"]) for r in out) == [(1, 1), (2, 500)]
+
+
+def _written_files(spark, monkeypatch, tmp_path, work):
+    """Names of the files that ``work`` leaves in the shared folder."""
+    monkeypatch.setattr(common, "shared_dir", lambda _, purpose: f"file://{tmp_path}/{purpose}-{len(list(tmp_path.iterdir()))}")
+    work()
+    return [f.name for f in tmp_path.rglob("*") if f.is_file()]
+
+
+def test_no_child_process_for_each_file(spark, monkeypatch, tmp_path):
+    # Hadoop's local writer leaves a .crc file beside each file, and starts a child of the executor for the mode of either
+    rows = variants(5, 6, 4)
+    files = _written_files(spark, monkeypatch, tmp_path, lambda: jaccard.near_duplicates(documents(spark, rows)).collect())
+    assert any(f.endswith(".parquet") for f in files) and not [f for f in files if f.endswith(".crc")]
+
+
+def test_written_rows(spark, monkeypatch, tmp_path):
+    df = spark.sql("SELECT IF(id % 3 = 0, NULL, id) a, struct(id x, NULL y) b, IF(id % 2 = 0, array(id, 7L), NULL) c, string(id) d FROM range(50)")
+    df = df.withColumn("b", df.b.cast("struct<x:long,y:long>")).repartition(7)
+
+    def twice(batches):
+        for batch in batches:
+            yield batch
+            yield batch
+
+    def check():
+        out = common.written(df, "rows")
+        assert out.schema.simpleString() == df.schema.simpleString() and plain(out, *df.columns) == plain(df, *df.columns)
+        empty = common.written(df.where("d = 'x'"), "none")
+        assert empty.columns == df.columns and empty.count() == 0
+        assert common.written(df.select("d"), "more", twice, "d string").count() == 100
+        (tmp_path / "part").mkdir()
+        (tmp_path / "part" / ".part-00000.parquet-9").write_bytes(b"broken off")  # of a task that failed
+        assert spark.read.schema("d string").parquet(f"file://{tmp_path}/part").count() == 0
+
+    assert not [f for f in _written_files(spark, monkeypatch, tmp_path, check) if f.endswith(".crc")]
